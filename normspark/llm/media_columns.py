@@ -355,27 +355,27 @@ def _coefficients(batch: _Batch) -> np.ndarray:
         at += count
     for (refine, _, ac), scans in sorted(groups.items()):
         if ac:
-            cols = [np.concatenate(x) for x in zip(*(_ac_segments(a, s) for a, s in scans), strict=True)]
+            cols = _ac_segments(scans)
             (_refine_ac if refine else _first_ac)(out, raw, words, luts, begin, cols)
         else:
             _dc(out, raw, words, luts, begin, scans, refine)
     return out.reshape(-1, 64)
 
 
-def _ac_segments(at: int, scan: tuple) -> tuple[np.ndarray, ...]:
+def _ac_segments(scans: list[tuple[int, tuple]]) -> list[np.ndarray]:
     """By segment: its number, first block, end block, low, high, shift, table (one component a scan)."""
-    image, (c,), low, high, _, shift, (table,), count, restart = scan
-    top_h, top_v = max(x.h for x in image.components), max(x.v for x in image.components)
-    cols = -(-(-(-image.width * c.h // top_h)) // 8)
-    rows = -(-(-(-image.height * c.v // top_v)) // 8)
-    if (rows, cols) != (c.rows, c.cols):
-        # padding blocks of interleaved scans are not coded here; only whole-macro-block images are laid out for it
-        raise ValueError("image sides must be multiples of a macro block")
-    total = rows * cols
-    step = restart or total
-    first = np.arange(count) * step
-    same = np.ones(count, np.int64)
-    return at + np.arange(count), c.base + first, c.base + np.minimum(first + step, total), same * low, same * high, same * shift, same * table
+    rows = []
+    for at, (image, (c,), low, high, _, shift, (table,), count, restart) in scans:
+        top_h, top_v = max(x.h for x in image.components), max(x.v for x in image.components)
+        if image.width % (8 * top_h) or image.height % (8 * top_v):
+            # padding blocks of interleaved scans are not coded here; only whole-macro-block images are laid out for it
+            raise ValueError("image sides must be multiples of a macro block")
+        total = c.rows * c.cols
+        rows.append((at, c.base, total, restart or total, low, high, shift, table, count))
+    at, base, total, step, low, high, shift, table, count = np.array(rows, np.int64).T
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at, base, total, step, low, high, shift, table = (np.repeat(x, count) for x in (at, base, total, step, low, high, shift, table))
+    return [at + nth, base + nth * step, base + np.minimum((nth + 1) * step, total), low, high, shift, table]
 
 
 def _first_ac(out, raw, words, luts, begin, cols) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dup, packing, quality_rules, secret_scan, sentence_pieces, token_counts
+from . import language_id, media_columns, near_dup, packing, personal_data, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
 from .common import table
 
 
@@ -21,7 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_rules.digest,
         "op3_packing": _over("documents", packing.digest),
         "op4_sentence_pieces": _over("documents", sentence_pieces.digest),
+        "op5_media_columns": _over("documents", media_columns.digest),
         "op6_near_dup": _over("documents", near_dup.digest),
+        "op7_url_filter": _over("pages", url_filter.digest),
+        "op8_personal_data": _over("documents", personal_data.digest),
         "op9_token_counts": _over("documents", token_counts.digest),
         "op10_language_id": _over("documents", language_id.digest),
         "pipeline": lambda spark, sf_dir: importlib.import_module("corpus_pipeline").run(spark, sf_dir),
