@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "d10_blame"
+from normspark.plans import catalog, changes, documents, reports, search, streams  # noqa: F401  (they register)
+from normspark.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "e15_batch_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
