@@ -113,7 +113,7 @@ def ac_refine(comp, low, high, al):
 def sparse_file(blocks, quant):
     """A 4:4:4 image 8 pixels high with sparse coefficients, two refinements and no restarts."""
     n = len(blocks[0])
-    table = lambda kind: M._marker(0xC4, bytes([kind, *[0] * 7, 0xF1, *[0] * 8, *range(0xF1)]))
+    table = lambda kind: M._marker(0xC4, bytes([kind, *[0] * 7, 0xFB, *[0] * 8, *range(0xFB)]))
     head = b"\xff\xd8" + M._marker(0xDB, bytes([0]) + bytes(quant)) + M._marker(0xC2, bytes([8]) + (8).to_bytes(2, "big") + (8 * n).to_bytes(2, "big") + bytes([3, 1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
     out = head + table(0x00) + table(0x10)
     out += M._scan([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 1) + dc_scan(blocks, 1)
