@@ -36,6 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (its columns must be of bounded size); else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def slices(sizes: list[int], budget: int) -> Iterator[slice]:
     """Runs of consecutive items whose sizes add up to about ``budget``; a larger item stands alone."""
     start = total = 0

@@ -8,10 +8,10 @@ earliest dart on its cells. Two texts keep the same dart with a probability of t
 text of any weight needs about k ln k darts, not k per shingle.
 
 Texts with equal word sequences form a class by hash aggregation. Classes that share a band are linked
-to the smallest class there, verified on their whole shingle multisets; members that are not similar to
-it go on to the next leader of the band's bucket, and each leader meets all members it is not yet
-connected with, until no pair is left: no all-pairs step and no cap. Connected groups get the smallest
-doc_id as their class id.
+to a leader there (the one that shares most bands with others), verified on their whole shingle multisets.
+Members that are not connected with it meet further leaders; whatever then shares a bucket and is still
+apart is joined by its rarest cells (an exact prefix filter), so no link is lost and no cap is needed.
+Connected groups get the smallest doc_id as their class id.
 
 Defined results: null and empty texts (no words) are groups of their own row, never linked; rows with a
 null doc_id are kept with themselves as class id null; repeated rows fall into one group; a group's id is
@@ -23,10 +23,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, per_text, slices, stored
+from .common import mix64, per_text, shared_dir, slices, small_side, stored
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**24 = 0.9999.
@@ -179,9 +179,7 @@ def _verify(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:
 
     one = packed.select(F.col("rep").alias("a"), F.col("cells").alias("cells_a"))
     two = packed.select(F.col("rep").alias("b"), F.col("cells").alias("cells_b"))
-    # lengths alone rule out pairs before any multiset travels
-    sized = pairs.where("least(n_a, n_b) >= %r * greatest(n_a, n_b)" % least).select("a", "b")
-    rows = sized.join(one, "a").join(two, "b").select("a", "b", "cells_a", "cells_b")
+    rows = small_side(pairs, IDS // 2).join(one, "a").join(two, "b").select("a", "b", "cells_a", "cells_b")
 
     def run(batches):
         for batch in batches:
@@ -220,42 +218,94 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``copy_class`` (smallest doc_id with the same words) and ``class_id`` (smallest doc_id of the near-duplicate group), one row per row of ``docs``."""
     sig = stored(per_text(docs, ["doc_id"], "words long, key long, bands array<long>", _signatures).select("__keep.doc_id", "words", "key", "bands"), "signatures")
     with_words = sig.where("words > 0 and doc_id is not null")
-    classes = with_words.groupBy("key", "words").agg(F.min("doc_id").alias("rep"))
-    # the bands of a class are those of its representative
-    reps = with_words.join(classes.select(F.col("rep").alias("doc_id"), F.col("words").alias("w"), F.col("key").alias("k")), "doc_id").where("key = k and words = w").groupBy(F.col("doc_id").alias("rep"), "words").agg(F.first("bands").alias("bands"))
-    banded = reps.select("rep", F.greatest(F.col("words") - (WORDS - 1), F.lit(1)).alias("n"), F.posexplode("bands").alias("band", "hash"))
-    crowded = banded.groupBy("band", "hash").agg(F.count("*").alias("c")).where("c > 1").select("band", "hash")
-    members = stored(banded.join(crowded, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "rep", "n"), "buckets")
+    # equal words have equal bands, so any row's stand for the class
+    classes = stored(with_words.groupBy("key", "words").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    # the band's number is part of its hash
+    banded = classes.select("rep", F.greatest(F.col("words") - (WORDS - 1), F.lit(1)).alias("n"), F.explode("bands").alias("bucket"))
+    crowded = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    members = banded.join(crowded, "bucket").select("bucket", "rep", "n", "c")
+    # a text in the middle of its group shares more bands with more texts, so it makes the better leader
+    members = stored(members, "members")
+    middle = stored(members.groupBy("rep").agg(F.sum("c").alias("degree")), "degrees")
+    members = stored(members.join(middle, "rep").select("bucket", "rep", "n", "degree"), "buckets")
     # multisets are made once, for the classes that share a bucket with another
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.join(small_side(middle.select(F.col("rep").alias("doc_id")), IDS), "doc_id", "left_semi")
     packed = per_text(texts, ["doc_id"], "cells binary", _packed).select(F.col("__keep.doc_id").alias("rep"), "cells").groupBy("rep").agg(F.max("cells").alias("cells"))
     packed = stored(packed, "cells")
-    left, edges, seen = members, None, None
-    while True:
-        lead = left.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("l")).select("bucket", F.col("l.rep").alias("b"), F.col("l.n").alias("n_b"))
-        pairs = members.join(lead, "bucket").where("rep <> b").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"), F.when(F.col("rep") > F.col("b"), F.col("n")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("rep") > F.col("b"), F.col("n_b")).otherwise(F.col("n")).alias("n_b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+    joined = _linked(members, packed, least)
+    rows = sig.select("doc_id", "key", "words").join(classes.select("key", "words", "rep"), ["key", "words"], "left")
+    rows = rows.select("doc_id", F.when(F.col("words") > 0, F.least("rep", "doc_id")).otherwise(F.col("doc_id")).alias("copy_class"))
+    joined = rows.join(joined.select(F.col("node").alias("copy_class"), "group"), "copy_class", "left")
+    return joined.select("doc_id", "copy_class", F.coalesce("group", "copy_class").alias("class_id"))
+
+
+#: Rows of ids (8 or 16 bytes each) that a broadcast may have; more are joined by a shuffle.
+IDS = 2_000_000
+
+#: Rounds with one leader a bucket before the rest of the buckets' members is joined by rare cells.
+LEADER_ROUNDS = 1
+
+
+def _linked(members: DataFrame, packed: DataFrame, least: float) -> DataFrame:
+    """``node``, ``group`` of all links of at least ``least`` between members of a bucket.
+
+    A leader meets the members of its bucket that are not connected with it so far. After a few such rounds
+    the members of buckets that still hold several groups are joined by ``_rare_pairs``, which misses no link.
+    """
+    spark = members.sparkSession
+    edges_at, seen_at = shared_dir(spark, "links"), shared_dir(spark, "seen")
+    spark.createDataFrame([], "a long, b long").write.parquet(edges_at)
+    spark.createDataFrame([], "a long, b long").write.parquet(seen_at)
+    read = lambda path: spark.read.schema("a long, b long").parquet(path)
+    split = members.withColumn("group", F.col("rep"))
+    for _ in range(LEADER_ROUNDS):
+        lead = split.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"), "n", "group")).alias("l"))
+        lead = lead.select("bucket", (-F.col("l.r")).alias("b"), F.col("l.n").alias("n_b"), F.col("l.group").alias("group_b"))
+        pairs = split.join(lead, "bucket").where("group <> group_b").where("least(n, n_b) >= %r * greatest(n, n_b)" % least)
+        pairs = pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct().join(read(seen_at), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             break
-        linked = stored(_verify(pairs, packed, least), "links")
-        edges = linked if edges is None else edges.unionByName(linked)
-        seen = pairs.select("a", "b") if seen is None else seen.unionByName(pairs.select("a", "b"))
-        # the leader is through, and so is every member that it is linked with directly
-        out = left.join(lead, "bucket").withColumn("a", F.greatest("rep", "b")).withColumn("c", F.least("rep", "b"))
-        hit = linked.select("a", F.col("b").alias("c"), F.lit(True).alias("hit"))
-        left = stored(out.join(hit, ["a", "c"], "left").where("rep <> b and hit is null").select("bucket", "rep", "n"), "left")
-    if edges is None:
-        linked_to = None
-    else:
-        linked_to = components(edges)
-    rows = sig.join(classes, ["key", "words"], "left")
-    rows = rows.select("doc_id", F.when(F.col("words") > 0, F.least("rep", "doc_id")).otherwise(F.col("doc_id")).alias("copy_class"))
-    if linked_to is None:
-        return rows.withColumn("class_id", F.col("copy_class"))
-    joined = rows.join(linked_to.select(F.col("node").alias("copy_class"), "group"), "copy_class", "left")
-    return joined.select("doc_id", "copy_class", F.coalesce("group", "copy_class").alias("class_id"))
+        _verify(pairs, packed, least).write.mode("append").parquet(edges_at)
+        pairs.write.mode("append").parquet(seen_at)
+        now = components(read(edges_at))
+        grouped = members.join(now.select(F.col("node").alias("rep"), "group"), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+        grouped = stored(grouped.select("bucket", "rep", "n", "degree", "group"), "grouped")
+        # buckets within one group are done; leaders that are through step aside
+        still = grouped.join(grouped.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("bucket"), "bucket", "left_semi")
+        led = lead.select("bucket", F.col("b").alias("rep"), F.lit(True).alias("led"))
+        split = stored(still.join(led, ["bucket", "rep"], "left").withColumn("degree", F.when(F.col("led"), 0).otherwise(F.col("degree"))).drop("led"), "split")
+    rest = stored(_rare_pairs(split.select("rep", "group").distinct(), packed, least).join(read(seen_at), ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        _verify(rest, packed, least).write.mode("append").parquet(edges_at)
+    return components(read(edges_at))
+
+
+def _rare_pairs(rows: DataFrame, packed: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of different groups that may have the similarity ``least``; no such pair is missed.
+
+    With all cells in one order, rarest first, two texts that similar share a cell among the first
+    n - ceil(least * n) + 1 of each, and their first shared cell leaves room for the overlap they need. Texts
+    that differ from all others in many cells have only cells of their own there and meet nobody. In each
+    cell's list, members of its largest group are not paired with each other.
+    """
+    def cells_of(raw: list[bytes]) -> list[list]:
+        return [[np.frombuffer(x, np.int64) for x in raw]]
+
+    rows = stored(rows, "apart")
+    each = per_text(packed.join(small_side(rows, IDS), "rep", "left_semi"), ["rep"], "cell array<long>", cells_of, "cells").select("__keep.rep", F.explode("cell").alias("cell"))
+    # one shuffle by cell serves the counts; a cell's list has a row per text at most
+    counted = each.withColumn("df", F.count("*").over(Window.partitionBy("cell")))
+    of_text = Window.partitionBy("rep")
+    placed = counted.withColumn("at", F.row_number().over(of_text.orderBy("df", "cell")) - 1).withColumn("n", F.count("*").over(of_text))
+    prefix = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * least)) & (F.col("df") > 1))
+    prefix = stored(prefix.select("rep", "n", "cell", "at").join(small_side(rows, IDS), "rep"), "prefix")
+    main = prefix.groupBy("cell", "group").agg(F.count("*").alias("m")).groupBy("cell").agg(F.max(F.struct("m", "group")).alias("g"), F.count("*").alias("groups")).where("groups > 1").select("cell", F.col("g.group").alias("main"))
+    outer = prefix.join(main, "cell").where("group <> main").select("cell", *(F.col(c).alias(f"x_{c}") for c in ("rep", "group", "n", "at")))
+    need = F.ceil((F.col("n") + F.col("x_n")) * (least / (1 + least)) - 1e-9)
+    fits = (F.col("group") != F.col("x_group")) & (F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) >= need)
+    pairs = prefix.join(outer, (prefix["cell"] == outer["cell"]) & fits)
+    return pairs.select(F.greatest("rep", "x_rep").alias("a"), F.least("rep", "x_rep").alias("b")).distinct()
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -266,7 +316,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate group the document with the smallest doc_id stays (one row of repeated ones)."""
     found = stored(groups(docs).select("doc_id", "class_id"), "groups")
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    gone = small_side(stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone"), IDS)
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
