@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_side, stored
 
 
 @dataclass(frozen=True)
@@ -195,7 +195,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts with secrets come back redacted (``n_chars`` follows the text), all others as they were."""
     ledger = shared_dir(spark, "ledger")
     extend_ledger(docs, ledger)
-    hit = findings(spark, ledger).select("__blob", F.lit(True).alias("__hit"))
+    hit = small_side(stored(findings(spark, ledger).select("__blob", F.lit(True).alias("__hit")), "hits"), 200_000)  # 64 bytes each
     rows = docs.withColumn("__blob", blob_id(F.col("text"))).join(hit, "__blob", "left")
     text = F.when(F.col("__hit"), redact(F.col("text"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
