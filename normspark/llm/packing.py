@@ -15,6 +15,7 @@ packed as often as they occur; an empty table gives an empty result; ties in ran
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +44,11 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError("the tokenizer must mark the ends of words")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -52,12 +58,42 @@ class WordIds:
             if len(self.known) > CACHE:
                 self.known = {"": b""}
                 new = set().union(*split) - self.known.keys()
-            words = list(new)
-            for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words. The tokenizer folds case and cuts between letters and marks, so a word of
+        letters is tokenized once for all its spellings with capitals and a mark behind it."""
+        core = {w: _core(w) for w in new}
+        todo = ({c for c, _ in core.values()} | {m for _, m in core.values()}) - self.known.keys()
+        plain = [w for w in todo if w.isalpha()]
+        rest = [w for w in todo if not w.isalpha()]
+        # words of letters are tokenized many at a time and told apart by the tokens that end a word
+        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.known.update(zip(group, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+            else:
+                rest += group
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[word] = array("I", got.ids).tobytes()
+        for word, (c, mark) in core.items():
+            self.known[word] = self.known[c] + self.known[mark]
+
+
+def _core(word: str) -> tuple[str, str]:
+    """A word as (part to tokenize, mark behind it)."""
+    letters, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+    if letters.isascii() and letters.isalpha():
+        return letters.lower(), mark
+    if letters.isalpha():
+        return letters, mark
+    return word, ""
+
 
 @lru_cache(maxsize=1)
 def _ids(path: str) -> WordIds:
