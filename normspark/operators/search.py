@@ -8,10 +8,12 @@ any for the query. Nothing scans the catalog per query: every stage is an equi j
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from normspark.functions.scalars import adjacent_transpositions, digits_only, dotted, normalize_query, parse_query
@@ -86,7 +88,18 @@ def first_stage(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("least", least).where("stage = least").select("query_id", "slug", "stage")
 
 
-@pandas_udf("double")
+@lru_cache(maxsize=200_000)
+def _alike(token: str, word: str) -> bool:
+    """Two words with a ratio of at least 0.72; the cheap upper bounds are tried first."""
+    m = difflib.SequenceMatcher(None, token, word)
+    return m.real_quick_ratio() >= 0.72 and m.quick_ratio() >= 0.72 and m.ratio() >= 0.72
+
+
+def _close(tokens: list[str], words: list[str]) -> bool:
+    return all(any(_alike(t, w) for w in words) for t in tokens)
+
+
+@pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of normalised texts, at least 0.7 when each word of ``a`` has one of 0.72 in ``b``."""
 
@@ -94,30 +107,29 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         if not q or not c:
             return 0.0
         r = difflib.SequenceMatcher(None, q, c).ratio()
-        words = c.split()
-        close = all(any(difflib.SequenceMatcher(None, t, w).ratio() >= 0.72 for w in words) for t in q.split())
-        return max(r, 0.7) if close else r
+        return max(r, 0.7) if r < 0.7 and _close(q.split(), c.split()) else r
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def best_ratio(a: pd.Series, names: pd.Series, description: pd.Series) -> pd.Series:
-    """The best ratio over the names; 0.72 at least when every word of the query is close to one of the description."""
-
-    def near(q: str, c: str) -> float:
-        r = difflib.SequenceMatcher(None, q, c).ratio()
-        words = c.split()
-        return max(r, 0.7) if all(any(difflib.SequenceMatcher(None, t, w).ratio() >= 0.72 for w in words) for t in q.split()) else r
+    """The best ratio over the names, 0 if below 0.56; 0.72 at least when every word of the query is close to one of the description."""
 
     def one(q: str, all_names: list, text: str) -> float:
         if not q:
             return 0.0
-        best = max((near(q, c) for c in all_names if c), default=0.0)
-        words = text.split()
-        if best < 0.72 and all(any(near(t, w) >= 0.72 for w in words) for t in q.split()):
-            best = 0.72
-        return best
+        best, tokens = 0.0, q.split()
+        for c in all_names:
+            if c:
+                m = difflib.SequenceMatcher(None, q, c)
+                floor = max(best, 0.56)
+                if m.real_quick_ratio() >= floor and m.quick_ratio() >= floor:
+                    r = m.ratio()
+                    best = max(best, r if r >= 0.56 else 0.0)
+                if best < 0.7 and _close(tokens, c.split()):
+                    best = 0.7
+        return 0.72 if best < 0.72 and text and _close(tokens, text.split()) else best
 
     return pd.Series([one(x, list(n), d or "") for x, n, d in zip(a, names, description, strict=True)])
 
@@ -170,15 +182,21 @@ def search(queries: DataFrame, catalog: DataFrame, articles: DataFrame | None =
     q, laws = parsed(queries), prepared(catalog)
     found = by_number(q, laws).unionByName(by_transposition(q, laws)).unionByName(by_terms(q, laws)).unionByName(by_prefix(q, laws)).unionByName(fallback(q, laws))
     pairs = first_stage(found).join(q, "query_id").join(laws, "slug")
-    asked = F.when(F.col("p.terms") != "", F.col("p.terms")).otherwise(F.col("normal"))
+    # what is certain without any ratio comes first: exact hits hide the others, and 700 is the most a ratio can give
+    rows = scored(pairs, F.lit(0.0))
+    rows = rows.withColumn("__any", F.max("exact").over(Window.partitionBy("query_id"))).where(F.col("p.article").isNotNull() | ~F.col("__any") | F.col("exact")).drop("__any")
+    terms = F.when(F.col("score") < 700, F.col("p.terms")).otherwise("")
     if native:
-        best = F.array_max(F.transform("names", lambda n: edit_ratio(F.col("p.terms"), n)))
-        similarity = edit_ratio(asked, F.col("n_title"))
+        best = F.array_max(F.transform("names", lambda n: edit_ratio(terms, n)))
     else:
-        best, similarity = best_ratio(F.col("p.terms"), F.col("names"), F.col("n_description")), ratio(asked, F.col("n_title"))
-    rows = scored(pairs.withColumn("__best", best), F.col("__best")).withColumn("similarity", similarity)
+        best = best_ratio(terms, F.col("names"), F.col("n_description"))
+    rows = scored(rows.withColumn("__best", best), F.col("__best"))
     if articles is not None:
         rows = boosted(rows, articles)
+    # only rows whose score reaches the page need the ratio that breaks ties
+    rows = rows.where("score > 0").withColumn("__r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("__r") <= limit)
+    asked = F.when(F.col("p.terms") != "", F.col("p.terms")).otherwise(F.col("normal"))
+    rows = rows.withColumn("similarity", edit_ratio(asked, F.col("n_title")) if native else ratio(asked, F.col("n_title")))
     return ranked(rows, limit).select("query_id", "rank", "slug", "score", "stage", "suggestion")
 
 

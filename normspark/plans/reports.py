@@ -65,9 +65,9 @@ def f7_law_listing(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, coalesce(articles, 0) AS articles, latest FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS articles, arg_max(l_linestatus, (l_shipdate, l_linenumber)) AS latest FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+SELECT o_orderkey, coalesce(articles, 0) AS articles, latest FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS articles, arg_max(l_linestatus, (l_shipdate, l_linenumber, l_linestatus)) AS latest FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def f8_law_detail(t: Tables) -> DataFrame:
-    parts = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("articles"), F.max_by("l_linestatus", F.struct("l_shipdate", "l_linenumber")).alias("latest"))
+    parts = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("articles"), F.max_by("l_linestatus", F.struct("l_shipdate", "l_linenumber", "l_linestatus")).alias("latest"))
     return t.orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("articles", F.lit(0)).alias("articles"), "latest")
 
 
@@ -221,7 +221,7 @@ def g6_not_active(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(busy, "c_custkey", "left_anti")
 
 
-@query("SELECT user_id, n, CASE WHEN n < 5 THEN least(3600, (15 * 2 ** (n - 1))::INTEGER) END AS delay FROM (SELECT user_id, (count(*) % 9)::INTEGER AS n FROM events GROUP BY 1)")
+@query("SELECT user_id, n, CASE WHEN n < 5 THEN least(3600, (15 * 2 ** (n - 1))::INTEGER) END AS delay FROM (SELECT user_id, (count(*) % 9 + 1)::INTEGER AS n FROM events GROUP BY 1)")
 def g7_retry_delay(t: Tables) -> DataFrame:
-    rows = t.events.groupBy("user_id").agg((F.count("*") % 9).cast("int").alias("n"))
+    rows = t.events.groupBy("user_id").agg((F.count("*") % 9 + 1).cast("int").alias("n"))
     return rows.select("user_id", "n", S.retry_delay(F.col("n")).alias("delay"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from normspark.functions.scalars import ACCENTED, PLAIN
@@ -32,7 +33,7 @@ FUNCTIONS = (
 )
 
 
-@udtf(returnType="pos: int, text: string")
+@udtf(returnType=T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType())]))
 class HtmlParagraphs:
     """Lines of one page in order."""
 
