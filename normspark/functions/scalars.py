@@ -162,7 +162,8 @@ def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
     """Name-based identifier, version 5."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
     variant = F.get(F.array(*map(F.lit, "89ab")), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4)
-    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    parts = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    return F.when(name.isNotNull(), parts)
 
 
 def retry_delay(attempts: Column, base: int = 15, most: int = 3600, give_up: int = 5) -> Column:
