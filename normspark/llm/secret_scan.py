@@ -167,13 +167,18 @@ def _masker(rule: Rule, mask: str):
     return piece
 
 
-def redact(text: Column, rules: Sequence[Rule] = RULES, mask: str = "[SECRET]") -> Column:
-    """``text`` with each counted match replaced by ``mask``, rule after rule (an assignment keeps its name)."""
+def redacted(rows: DataFrame, chosen: Column, text_col: str = "text", rules: Sequence[Rule] = RULES, mask: str = "[SECRET]") -> DataFrame:
+    """``rows`` where the ``chosen`` ones have each counted match replaced by ``mask``, rule after rule (an assignment keeps its name).
+
+    One projection a rule: as a single expression every rule would repeat the text of all rules before it.
+    """
     for rule in rules:
+        text = F.col(text_col)
         parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), _matches(text, rule).alias("found"))
         done = F.array_join(F.transform(parts, _masker(rule, mask)), "")
-        text = F.when(text.rlike(rule.pattern), done).otherwise(text)
-    return text
+        may = chosen & text.contains(rule.hint) if rule.hint else chosen
+        rows = rows.withColumn(text_col, F.when(may & text.rlike(rule.pattern), done).otherwise(text))
+    return rows
 
 
 def spans_text(spans: Column) -> Column:
@@ -197,8 +202,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     extend_ledger(docs, ledger)
     hit = small_side(stored(findings(spark, ledger).select("__blob", F.lit(True).alias("__hit")), "hits"), 200_000)  # 64 bytes each
     rows = docs.withColumn("__blob", blob_id(F.col("text"))).join(hit, "__blob", "left")
-    text = F.when(F.col("__hit"), redact(F.col("text"))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    rows = redacted(rows, F.coalesce("__hit", F.lit(False)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
