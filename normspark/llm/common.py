@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -53,6 +54,18 @@ def slices(sizes: list[int], budget: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def release() -> None:
+    """Give freed memory back to the system: an idle worker would keep it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: Rows that ``per_text`` hands on at once; what a worker holds besides the incoming batch follows from it.
+ROWS = 1000
+
+
 def per_text(df: DataFrame, keep: Sequence[str], fields: str, fn: Callable[[list], Sequence], text_col: str = "text") -> DataFrame:
     """Row by row: ``__keep`` (a struct of the ``keep`` columns, untouched) and what ``fn`` makes of the whole texts.
 
@@ -69,9 +82,11 @@ def per_text(df: DataFrame, keep: Sequence[str], fields: str, fn: Callable[[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["__keep", *names])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                out = fn(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["__keep", *names])
+        release()
 
     return rows.mapInArrow(run, schema)
 
