@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -187,10 +190,47 @@ def urn_year(urn: Column) -> Column:
 # ------------------------------------------------------------------ search
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What case folding and NFKD without combining marks make of single lower-case characters, where that changes a normalised text.
+
+    The first table maps to one character or none, the second to several. Other word characters count as ``_``, the rest as a space.
+    """
+    seen = lambda c: c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else "_" if c.isalnum() or c == "_" else " "
+    one, many = {}, {}
+    for i in range(0x80, 0x110000):
+        c = chr(i)
+        if c.lower() != c or 0xD800 <= i < 0xE000:
+            continue
+        got = "".join(map(seen, (m for m in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(m))))
+        got = re.sub(r"([_ ])\1+", r"\1", got)
+        if got != seen(c):
+            (one if len(got) < 2 else many)[c] = got
+    return one, many
+
+
+def _fold(x: Column) -> Column:
+    """Lower-case text without marks, as case folding and NFKD leave it; other letters and digits are ``_``."""
+    one, many = _folds()
+    text = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    rest = {k: v for k, v in many.items() if k != "ß"}  # rare ones: only texts that hold any are taken apart
+    table = F.create_map(*(F.lit(v) for pair in rest.items() for v in pair))
+    apart = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
+    spans: list[list[str]] = []
+    for c in rest:
+        if spans and ord(spans[-1][1]) + 1 == ord(c):
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    text = F.when(text.rlike(f"[{''.join(f'{a}-{b}' for a, b in spans)}]"), apart).otherwise(text)
+    keys = sorted(one, key=lambda c: not one[c])  # those that go stand last
+    return F.regexp_replace(F.translate(text, "".join(keys), "".join(one[c] for c in keys)), r"[\p{L}\p{N}&&[^a-z0-9]]", "_")
+
+
 def normalize_query(x: Column) -> Column:
     """Case and marks folded, the words numero / no / n dropped, other characters to single spaces."""
-    folded = without_marks(F.lower(x))
-    dropped = F.regexp_replace(folded, r"\b(?:numero|no|n)\b|\bn[.]\b", " ")
+    folded = F.when(x.rlike(r"[^\x00-\x7f]"), _fold(x)).otherwise(F.lower(x))
+    dropped = F.regexp_replace(folded, r"(?<![a-z0-9_])(?:numero|no|n)(?![a-z0-9_])", " ")
     return collapse(F.regexp_replace(dropped, "[^a-z0-9]+", " "))
 
 
@@ -218,13 +258,16 @@ TYPE_WORDS = (
 
 
 def query_type(x: Column) -> Column:
-    normal = normalize_query(x)
-    out = F.lit(None).cast("string")
-    for word, name in reversed(TYPE_WORDS):
-        out = F.when(normal.rlike(rf"\b{word}\b"), name).otherwise(out)
-    for phrase, name in reversed(TYPE_PHRASES):
-        out = F.when(F.contains(normal, F.lit(phrase)), name).otherwise(out)
-    return out
+    def named(normal: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for word, name in reversed(TYPE_WORDS):
+            out = F.when(normal.rlike(rf"\b{word}\b"), name).otherwise(out)
+        for phrase, name in reversed(TYPE_PHRASES):
+            out = F.when(F.contains(normal, F.lit(phrase)), name).otherwise(out)
+        return out
+
+    # one element, so that the text is normalised once
+    return F.get(F.transform(F.array(normalize_query(x)), named), F.lit(0))
 
 
 _ARTICLE = r"(?iu)\b(?:art(?:igo)?\.?\s*)(\d+[a-z]?)\b"
