@@ -2,8 +2,9 @@
 
 Rules decide first: of those that fit a URL's host (the rule's host or a subdomain of it) and path (by
 prefix) the longest wins. URLs with an allow or block rule are the accepted and rejected examples of two
-Markov models of variable order: counts of all n-grams up to ``ORDER`` + 1 bytes over all examples, gathered
-in map-side sums; the ``max_grams`` most frequent of each model stay (the model's stated size). A model
+Markov models of variable order: counts of all n-grams up to ``ORDER`` + 1 bytes over all examples, every one
+of them, as a stored table. A window of ``ORDER`` + 1 bytes fits a long, and its low bytes are its shorter
+grams, so scoring is joins of windows: each order's probabilities come from the order below. A model
 backs off by Witten-Bell smoothing, the longest context first, down to uniform bytes. A URL's score is the
 difference of the two log-likelihoods per byte; the cut is calibrated on a hashed fifth of the examples that
 no count has seen, from histograms of scores by class.
@@ -16,14 +17,13 @@ everything that no rule decides is allowed; repeated rows repeat; an empty table
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, per_text, slices
+from .common import mix64, slices, stored
 
 ORDER = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -84,26 +84,65 @@ def _grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return context, gram, of, sizes
 
 
-def count_grams(examples: DataFrame) -> DataFrame:
-    """``accepted, context, gram, n`` over all rows of ``examples`` (``url``, ``accepted``)."""
+def _windows(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Each position's byte and the ``ORDER`` before it, the byte itself lowest, zeros before the start; each position's URL."""
+    raw = [(u or "").encode("utf-8", "surrogatepass") for u in urls]
+    pad = bytes(ORDER)
+    data = np.frombuffer(b"".join(x for r in raw for x in (pad, r)) or b"\0", np.uint8).astype(np.int64)
+    sizes = np.array([len(r) for r in raw], np.int64)
+    of = np.repeat(np.arange(len(raw)), sizes)
+    at = np.arange(sizes.sum()) + ORDER * (of + 1)
+    window = np.zeros(len(at), np.int64)
+    for k in range(ORDER + 1):
+        window |= data[at - k] << (8 * k)
+    return window, of
+
+
+def windows(urls: DataFrame) -> DataFrame:
+    """``id, window, n, yes, no``: how often a window is in a URL (``id``, ``url``), and in accepted and rejected examples.
+
+    ``accepted`` is null for URLs that are no examples; ``copies`` rows have the URL.
+    """
 
     def run(batches):
         for batch in batches:
-            urls, accepted = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-            for s in slices([len(u) for u in urls], 400_000):
-                context, gram, of, _ = _grams(urls[s])
-                for kind in (True, False):
-                    mine = accepted[s][of] == kind
-                    g, i, n = np.unique(gram[:, mine].ravel(), return_index=True, return_counts=True)
-                    c = context[:, mine].ravel()[i]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(g), pa.bool_()), pa.array(c.view(np.int64)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["accepted", "context", "gram", "n"])
-
-    got = examples.select("url", "accepted").where("url is not null").mapInArrow(run, "accepted boolean, context long, gram long, n long")
-    return got.groupBy("accepted", "context", "gram").agg(F.sum("n").alias("n"))
+            ids, copies = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            texts, accepted = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            good, bad = np.array([a is True for a in accepted]), np.array([a is False for a in accepted])
+            for s in slices([len(u) for u in texts], 400_000):
+                window, of = _windows(texts[s])
+                order = np.lexsort((window, of))
+                window, of = window[order], of[order]
+                first = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (of[1:] != of[:-1])][: len(of)])
+                n, of = np.diff(np.r_[first, len(window)]), of[first]
+                times = n * copies[s][of]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids[s][of], window[first], n, times * good[s][of], times * bad[s][of])], names=["id", "window", "n", "yes", "no"])
+
+    return urls.select("id", "url", "copies", "accepted").mapInArrow(run, "id long, window long, n long, yes long, no long")
+
+
+def gains(found: DataFrame) -> DataFrame:
+    """``window, gain``: log-probability of each window's last byte in the accepted model less that in the rejected one."""
+    each = found.groupBy("window").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    low = lambda k: F.col("window").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+    grams = each.select("yes", "no", F.posexplode(F.array(*(low(k) for k in range(ORDER + 1)))).alias("k", "gram")).groupBy("k", "gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    context = Window.partitionBy("k", F.shiftright("gram", 8))  # at most 256 rows
+    stats = grams.select("k", "gram", *(c for side in ("yes", "no") for c in (F.col(side), F.sum(side).over(context).alias(f"{side}_total"), F.count_if(F.col(side) > 0).over(context).alias(f"{side}_kinds"))))
+    stats = stored(stats, "url-grams")
+    out = None
+    for k in range(ORDER + 1):
+        level = stats.where(F.col("k") == k)
+        if out is None:
+            level = level.select("*", *(F.lit(1 / 256).alias(f"{side}_p") for side in ("yes", "no")))
+        else:  # at most 256 grams share a shorter one
+            level = level.withColumn("below", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(out, "below")
+        mixed = lambda side: F.when(F.col(f"{side}_total") > 0, (F.col(side) + F.col(f"{side}_kinds") * F.col(f"{side}_p")) / (F.col(f"{side}_total") + F.col(f"{side}_kinds"))).otherwise(F.col(f"{side}_p"))
+        out = level.select(F.col("gram").alias("below"), mixed("yes").alias("yes_p"), mixed("no").alias("no_p"))
+    return out.select(F.col("below").alias("window"), (F.log("yes_p") - F.log("no_p")).alias("gain"))
 
 
 class Markov:
-    """Counts of grams, and of their contexts: totals and numbers of different followers."""
+    """The same model over arrays, for the tests: counts of grams, and of their contexts totals and numbers of different followers."""
 
     def __init__(self, context: np.ndarray, gram: np.ndarray, n: np.ndarray):
         order = np.argsort(gram)
@@ -130,36 +169,11 @@ class Markov:
         return np.log(p)
 
 
-@lru_cache(maxsize=2)
-def _model(key: bytes) -> Markov:
-    context, gram, n = np.frombuffer(key, np.uint64).reshape(3, -1)
-    return Markov(context, gram, n)
-
-
-def learn(examples: DataFrame, max_grams: int = 200_000) -> tuple[bytes, bytes]:
-    """The rejected and the accepted model: their most frequent grams, ties by hash."""
-    counts = count_grams(examples)
-    tops = [counts.where(F.col("accepted") == kind).orderBy(F.desc("n"), "gram", "context").limit(max_grams) for kind in (False, True)]
-    both = tops[0].unionByName(tops[1]).toPandas()  # one job: the counts' exchange serves both
-    parts = [both[both["accepted"] == kind] for kind in (False, True)]
-    no, yes = (np.stack([p[c].to_numpy(np.int64).view(np.uint64) for c in ("context", "gram", "n")]).tobytes() for p in parts)
-    return no, yes
-
-
-def scored(rows: DataFrame, models: tuple[bytes, bytes], keep: list[str], url_col: str = "url") -> DataFrame:
-    """``__keep`` and ``score``: accepted less rejected log-likelihood per byte."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)  # at most 24 bytes * max_grams each
-
-    def run(urls: list[str | None]) -> list[list]:
-        no, yes = map(_model, shared.value)
-        out = []
-        for s in slices([len(u or "") for u in urls], 400_000):
-            context, gram, of, sizes = _grams(urls[s])
-            gain = yes.log_likelihood(context, gram) - no.log_likelihood(context, gram)
-            out += (np.bincount(of, gain, len(sizes)) / np.maximum(sizes, 1)).tolist()
-        return [out]
-
-    return per_text(rows, keep, "score double", run, url_col)
+def scores(urls: DataFrame) -> DataFrame:
+    """``url`` and ``score`` of the distinct ``urls``: accepted less rejected log-likelihood per byte."""
+    found = windows(urls)
+    sums = found.select("id", "window", "n").join(gains(found), "window").groupBy("id").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    return urls.join(sums, "id").select("url", (F.col("gain") / F.octet_length("url")).alias("score"))
 
 
 def calibrate(scores: DataFrame, bins: int = 200) -> float:
@@ -180,16 +194,17 @@ def calibrate(scores: DataFrame, bins: int = 200) -> float:
     return cut
 
 
-def judged(pages: DataFrame, keep: list[str], rules: tuple[UrlRule, ...] = RULES, max_grams: int = 200_000) -> DataFrame:
+def judged(pages: DataFrame, keep: list[str], rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """``keep`` columns, ``host``, ``path``, ``rule``, ``verdict`` and ``score``."""
     url = F.col("url")
     rows = pages.select(F.struct(*keep).alias("__k"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    known = rows.where("r is not null").select("url", (F.col("r.verdict") == "allow").alias("accepted"))
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    models = learn(known.where(~held), max_grams)
-    cut = calibrate(scored(known.where(held), models, ["accepted"]).select("score", "__keep.accepted"))
-    out = scored(rows, models, ["__k", "host", "path", "r"]).select("__keep.*", "score")
+    urls = rows.where("url <> ''").groupBy("url").agg(F.count("*").alias("copies"), F.any_value("r.verdict").alias("verdict"))
+    urls = urls.select(F.monotonically_increasing_id().alias("id"), "url", "copies", F.when(~held, F.col("verdict") == "allow").alias("accepted"))
+    got = scores(stored(urls, "urls"))
+    out = stored(rows.join(got, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "url-scores")
+    cut = calibrate(out.where(F.col("r").isNotNull() & held).select("score", (F.col("r.verdict") == "allow").alias("accepted")))
     by_score = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
     return out.select("__k.*", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", by_score).alias("verdict"), "score")
 
