@@ -51,15 +51,51 @@ def by_number(q: DataFrame, laws: DataFrame) -> DataFrame:
     return hit.where((F.col("p.number_sequence").isNull() | (F.col("p.number_sequence") == F.col("sequence"))) & (F.col("p.year").isNull() | (F.col("p.year") == F.col("year"))) & _typed(q)).select("query_id", "slug", F.lit(1).alias("stage"))
 
 
+def _spots(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def holding(needles: DataFrame, laws: DataFrame, fields: Column) -> DataFrame:
+    """``w, slug``: the distinct ``needles`` (``w``) and the laws with a field (array of texts) that contains them.
+
+    Each needle meets only the laws with its rarest 3-gram (or itself, if it is shorter); they are then read.
+    """
+    texts = laws.select("slug", F.filter(fields, lambda x: x != "").alias("texts"))
+    grams = texts.select("slug", F.explode(F.array_distinct(F.flatten(F.transform("texts", lambda x: F.concat(_spots(x, 1), _spots(x, 2), _spots(x, 3)))))).alias("g"))
+    w = F.col("w")
+    parts = needles.where("w <> ''").select("w").distinct().select("w", F.explode(F.when(F.length(w) < 3, F.array(w)).otherwise(F.array_distinct(_spots(w, 3)))).alias("g"))
+    often = grams.groupBy("g").agg(F.count("*").alias("n"))
+    # a gram that no law has makes its needle's count 0
+    rarest = parts.join(often, "g", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0").select("w", "m.g")
+    return rarest.join(grams, "g").join(texts, "slug").where(F.exists("texts", lambda x: F.contains(x, w))).select("w", "slug")
+
+
 def by_transposition(q: DataFrame, laws: DataFrame) -> DataFrame:
-    """Stage 2: a word with two letters exchanged is among the words of a hot law's aliases."""
+    """Stage 2: a word with two letters exchanged occurs in a hot law's alias."""
+    variants = q.select("query_id", "p", F.explode("swapped").alias("w"))
+    hot = laws.where("hot")
+    hits = holding(variants, hot, F.col("n_aliases")).join(hot.select("slug", "law_type"), "slug")
+    return variants.join(hits, "w").where(_typed(q)).select("query_id", "slug", F.lit(2).alias("stage")).distinct()
+
+
+def by_terms(q: DataFrame, laws: DataFrame) -> DataFrame:
+    """Stage 3: the phrase or a word of four letters or more occurs in the title, description or an alias."""
+    words = F.filter(F.split("p.terms", " "), lambda x: F.length(x) >= 4)
+    tokens = q.select("query_id", "p", F.explode(F.array_distinct(F.concat(F.array("p.terms"), words))).alias("w")).where("w <> ''")
+    hits = holding(tokens, laws, F.concat(F.array("n_title", "n_description"), "n_aliases")).join(laws.select("slug", "law_type"), "slug")
+    return tokens.join(hits, "w").where(_typed(q)).select("query_id", "slug", F.lit(3).alias("stage")).distinct()
+
+
+def by_transposed_word(q: DataFrame, laws: DataFrame) -> DataFrame:
+    """Of stage 2, what is a whole word of an alias."""
     variants = q.select("query_id", "p", F.explode("swapped").alias("w"))
     words = laws.where("hot").select("slug", "law_type", F.explode(F.array_distinct(F.split(F.array_join("n_aliases", " "), " "))).alias("w"))
     return variants.join(words, "w").where(_typed(q)).select("query_id", "slug", F.lit(2).alias("stage")).distinct()
 
 
-def by_terms(q: DataFrame, laws: DataFrame) -> DataFrame:
-    """Stage 3: a word of four letters or more is a word of the title, description or an alias."""
+def by_word(q: DataFrame, laws: DataFrame) -> DataFrame:
+    """Of stage 3, a word of four letters or more that is a whole word of the title, description or an alias."""
     tokens = q.select("query_id", "p", F.explode(F.array_distinct(F.split("p.terms", " "))).alias("w")).where("length(w) >= 4")
     words = laws.select("slug", "law_type", F.explode(_words("n_title", "n_description")).alias("w"))
     return tokens.join(words, "w").where(_typed(q)).select("query_id", "slug", F.lit(3).alias("stage")).distinct()
@@ -70,8 +106,7 @@ def by_prefix(q: DataFrame, laws: DataFrame) -> DataFrame:
     first = F.get(F.split("p.terms", " "), F.lit(0))
     keys = q.where("p.terms <> ''").select("query_id", "p", F.when(F.length(first) <= 4, F.left(first, F.lit(2))).otherwise(F.left(first, F.lit(3))).alias("g"))
     whole = F.concat_ws(" ", "n_title", F.array_join("n_aliases", " "))
-    spots = lambda n: F.when(F.length(whole) >= n, F.transform(F.sequence(F.lit(1), F.length(whole) - (n - 1)), lambda i: F.substr(whole, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = laws.select("slug", "law_type", F.explode(F.array_distinct(F.concat(spots(2), spots(3)))).alias("g"))
+    grams = laws.select("slug", "law_type", F.explode(F.array_distinct(F.concat(_spots(whole, 2), _spots(whole, 3)))).alias("g"))
     return keys.join(grams, "g").where(_typed(q)).select("query_id", "slug", F.lit(4).alias("stage")).distinct()
 
 

@@ -86,7 +86,16 @@ def e6_transposed_alias(t: Tables) -> DataFrame:
     catalog = _catalog(t).withColumn("aliases", F.array(F.translate(F.lower(F.regexp_replace(F.get("aliases", F.lit(0)), "[^A-Za-z0-9]", "")), "0123456789", "abcdefghij")))
     swap = F.concat(F.substring(plain, 2, 1), F.left(plain, F.lit(1)), F.substr(plain, F.lit(3)))
     queries = t.part.where("p_partkey % 10 = 3").select(F.col("p_partkey").cast("string").alias("query_id"), swap.alias("query"))
-    return E.by_transposition(E.parsed(queries), E.prepared(catalog)).agg(F.count("*").alias("pairs"))
+    return E.by_transposed_word(E.parsed(queries), E.prepared(catalog)).agg(F.count("*").alias("pairs"))
+
+
+@query()
+def e6_transposed_alias_all(t: Tables) -> DataFrame:
+    """A title's first word with two letters exchanged, anywhere in the names of hot parts as aliases."""
+    first = F.get(F.split("p_name", " "), F.lit(0))
+    swap = F.concat(F.left(first, F.lit(1)), F.substring(first, 3, 1), F.substring(first, 2, 1), F.substr(first, F.lit(4)))
+    queries = t.part.select(swap.alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
+    return E.by_transposition(E.parsed(queries), E.prepared(_catalog(t).withColumn("aliases", F.array("title")))).select("query_id", "slug")
 
 
 @query("""
@@ -94,7 +103,14 @@ WITH q AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FRO
 SELECT DISTINCT q.p_partkey::VARCHAR AS query_id, c.p_partkey::VARCHAR AS slug FROM q JOIN c USING (w) WHERE length(w) >= 4 AND regexp_matches(w, '^[a-z]+$')""")
 def e7_term_lookup(t: Tables) -> DataFrame:
     queries = t.part.where("p_partkey % 10 = 3").select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("query"))
-    return E.by_terms(E.parsed(queries), E.prepared(_catalog(t).withColumn("aliases", F.array().cast("array<string>")))).select("query_id", "slug")
+    return E.by_word(E.parsed(queries), E.prepared(_catalog(t).withColumn("aliases", F.array().cast("array<string>")))).select("query_id", "slug")
+
+
+@query()
+def e7_term_lookup_all(t: Tables) -> DataFrame:
+    """Phrases and parts of words too, which the SQL of ``e7_term_lookup`` leaves out; the tests compare with brute force."""
+    queries = t.part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).distinct()
+    return E.by_terms(E.parsed(queries), E.prepared(_catalog(t))).select("query_id", "slug")
 
 
 @query("""
