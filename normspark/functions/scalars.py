@@ -40,6 +40,22 @@ def any_date(x: Column, formats: Sequence[str] = ("dd/MM/yyyy", "yyyy-MM-dd", "y
     return F.coalesce(*(F.try_to_date(x, f) for f in formats))
 
 
+@lru_cache(maxsize=1)
+def _case_folds() -> dict[str, str]:
+    """Characters whose case folding holds ASCII letters that lower case does not give."""
+    plain = lambda x: re.sub("[^a-z0-9]", "", x)
+    lower = (chr(i) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000 and chr(i).lower() == chr(i))
+    return {c: plain(c.casefold()) for c in lower if plain(c.casefold())}
+
+
+def flat_folded(x: Column) -> Column:
+    """The ASCII letters and digits of the case-folded text; marked letters go."""
+    out = F.lower(x)
+    for c, v in _case_folds().items():
+        out = F.replace(out, F.lit(c), F.lit(v))
+    return F.regexp_replace(F.when(x.rlike(r"[^\x00-\x7f]"), out).otherwise(F.lower(x)), "[^a-z0-9]", "")
+
+
 def roman(n: Column) -> Column:
     """Roman numeral of 1 to 3999; other integers as they are."""
     places = (

@@ -108,3 +108,33 @@ def contained_passages(docs: DataFrame, passages: DataFrame, block: int = 8) ->
     pairs = keyed.join(key.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
     texts = docs.select("doc_id", collapse(F.coalesce("text", F.lit(""))).alias("t"))
     return pairs.join(texts, "doc_id").join(key.select("item_id", "p"), "item_id").where(F.expr("contains(t, p)")).select("item_id", "doc_id")
+
+
+def flat_passages(docs: DataFrame, passages: DataFrame, least: int = 40) -> DataFrame:
+    """(passage, doc) pairs where the doc's letters and digits contain the passage's, of at least ``least``.
+
+    Docs are cut into blocks of half that length; a passage's first ``least`` characters hold one whole block wherever they
+    lie, so its keys are all substrings of that length there. ``docs`` (doc_id, text), ``passages`` (item_id, text).
+    """
+    from normspark.functions.scalars import flat_folded
+
+    half = least // 2
+    items = passages.select("item_id", flat_folded(F.col("text")).alias("p")).where(F.length("p") >= least)
+    keys = items.select("item_id", F.explode(F.array_distinct(F.array(*(F.substring("p", i, half) for i in range(1, least - half + 2))))).alias("k"))
+    texts = docs.select("doc_id", flat_folded(F.col("text")).alias("t"))
+    blocks = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(f"(.{{{half}}})"), F.lit(1)))).alias("k"))
+    pairs = blocks.join(keys, "k").select("doc_id", "item_id").distinct()
+    return pairs.join(texts, "doc_id").join(items, "item_id").where(F.contains("t", F.col("p"))).select("item_id", "doc_id")
+
+
+def verified_additions(nodes: DataFrame, amendments: DataFrame, least: int = 40) -> DataFrame:
+    """Paragraphs whose note names an amending law (number and year) that repeats their text.
+
+    ``nodes``: ``law``, ``node_id``, ``node_type``, ``source_note``, ``text``; ``amendments``: ``number`` as printed, ``year``, ``text``.
+    """
+    from normspark.functions.scalars import flat_folded, note_law_number, note_law_year
+
+    note = F.col("source_note")
+    named = nodes.where("node_type = 'paragraph'").select("law", "node_id", note_law_number(note).alias("number"), note_law_year(note).alias("year"), flat_folded(F.col("text")).alias("p"))
+    bodies = amendments.select("number", "year", flat_folded(F.col("text")).alias("t"))
+    return named.where(F.length("p") >= least).join(bodies, ["number", "year"]).where(F.contains("t", F.col("p"))).select("law", "node_id", "number", "year").distinct()

@@ -82,6 +82,12 @@ def d8_verified_additions(t: Tables) -> DataFrame:
     return D.contained_passages(t.documents, t.benchmark)
 
 
+@query()
+def d8_verified_additions_all(t: Tables) -> DataFrame:
+    """Passages of any number of words, compared by letters and digits only; the tests compare with brute force."""
+    return D.flat_passages(t.documents, t.benchmark)
+
+
 @query("""
 WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM pages)
 SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'partial' WHEN regexp_matches(host, '(^|\\.)(example\\.org|example\\.net)$') THEN 'verified_primary' ELSE 'verified_source' END AS level FROM u""")
