@@ -205,7 +205,7 @@ SELECT n_nationkey, s, coalesce(n, 0) AS n, CASE coalesce(n, 0) WHEN 0 THEN 'not
 FROM r LEFT JOIN c ON n_nationkey = c_nationkey AND s = c_mktsegment""")
 def h3_resolved(t: Tables) -> DataFrame:
     names = t.customer.select(F.col("c_mktsegment").alias("s")).distinct().unionByName(t.spark.range(1).select(F.lit("NONE").alias("s")))
-    refs = t.nation.select("n_nationkey").join(F.broadcast(names.distinct().limit(100)))  # market segments
+    refs = names.distinct().crossJoin(F.broadcast(t.nation.select("n_nationkey")))  # 25 nations at every size
     pool = t.customer.select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("s"), "c_custkey")
     return H.resolved(refs, pool, ["n_nationkey", "s"], "c_custkey")
 

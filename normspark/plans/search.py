@@ -50,7 +50,16 @@ def e1_normalize_all(t: Tables) -> DataFrame:
 SELECT p_partkey, p_partkey::VARCHAR AS number, CASE WHEN p_size % 2 = 0 THEN '4' END AS sequence, CASE WHEN p_size < 50 THEN 2000 + p_size ELSE 1900 + p_size END AS year, 'Lei' AS law_type, '' AS terms
 FROM part WHERE p_partkey BETWEEN 1000 AND 9999999 AND p_size BETWEEN 10 AND 99""")
 def e2_parse_query(t: Tables) -> DataFrame:
-    rows = t.part.where("p_partkey between 1000 and 9999999 and p_size between 10 and 99")
+    return _parsed_parts(t.part.where("p_partkey between 1000 and 9999999 and p_size between 10 and 99"))
+
+
+@query()
+def e2_parse_query_all(t: Tables) -> DataFrame:
+    """All parts, with short numbers and years of one digit; the tests compare with brute force."""
+    return _parsed_parts(t.part)
+
+
+def _parsed_parts(rows: DataFrame) -> DataFrame:
     text = F.concat(F.lit("Lei nº "), S.dotted(F.col("p_partkey").cast("string")), F.when(F.col("p_size") % 2 == 0, "-4").otherwise(""), F.lit("/"), F.col("p_size").cast("string"))
     p = S.parse_query(text)
     return rows.select("p_partkey", p["number"].alias("number"), p["number_sequence"].alias("sequence"), p["year"].alias("year"), p["law_type"].alias("law_type"), p["terms"].alias("terms"))
@@ -215,6 +224,14 @@ def j3_official_number(t: Tables) -> DataFrame:
     return rows.select("p_partkey", S.official_number(title, F.when(F.col("p_size") % 3 == 1, F.col("p_size").cast("string")).otherwise("")).alias("number"))
 
 
+@query()
+def j3_official_number_all(t: Tables) -> DataFrame:
+    """All parts, with printed and given numbers that are grouped; the tests compare with brute force."""
+    number = F.col("p_partkey").cast("string")
+    title = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Lei nº "), S.dotted(number), F.lit(" de 2018"))).otherwise("Lei sem número")
+    return t.part.select("p_partkey", S.official_number(title, F.when(F.col("p_size") % 3 == 1, number).otherwise("")).alias("number"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN NULL WHEN p_size < 50 THEN 2000 + p_size ELSE 1900 + p_size END AS year FROM part")
 def j4_full_year(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.full_year(F.when(F.col("p_size") >= 10, F.col("p_size").cast("string"))).alias("year"))
@@ -234,6 +251,12 @@ def j6_roman(t: Tables) -> DataFrame:
     return t.orders.where("o_orderkey between 1 and 3999").select(F.col("o_orderkey").alias("n")).distinct().select("n", S.roman(F.col("n")).alias("roman"))
 
 
+@query()
+def j6_roman_all(t: Tables) -> DataFrame:
+    """All order keys, those beyond 3999 as they are; the tests compare with brute force."""
+    return t.orders.select(F.col("o_orderkey").alias("n")).distinct().select("n", S.roman(F.col("n")).alias("roman"))
+
+
 @query("SELECT doc_id, sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS digest FROM documents")
 def j7_flat(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(S.flat(F.col("text"), strip_marks=False), 256).alias("digest"))
