@@ -7,7 +7,7 @@ language first in alphabetical order. The parse restarts every ``BLOCK`` folded
 blocks of all texts in a batch advance together as numpy vectors. Every block of a text counts.
 
 Bounds, all parameters: ``train_rows`` sampled documents and ``train_chars`` folded code points per
-language, ``max_languages`` languages (the most frequent). Documents are sampled by a hash of doc_id.
+language, every language. Documents are sampled by a hash of doc_id.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or when nothing could be
 learned; score = 1 - (fewest phrases / second fewest), 1.0 with a single learned language; a null doc_id
@@ -157,11 +157,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, train_rows: int = 64, train_chars: int = 20_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
+def learn(docs: DataFrame, train_rows: int = 64, train_chars: int = 20_000) -> tuple[tuple[str, str], ...]:
     """A bounded sample of labelled text by language: at most ``train_rows`` rows and ``train_chars`` code points each."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select(F.col("lang").alias("lang"), F.col("doc_id").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("text").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return ()
     # about four times the wanted rows pass the hash threshold, and the window cuts that small remainder exactly
