@@ -1,7 +1,8 @@
-"""What the training-data operators share: tables, the shared folder, batches of texts."""
+"""What the training-data operators share: tables, the shared folder, batches of texts, one model a worker."""
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,16 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_roots: set[str] = set()
+
+
+def _clear(spark: SparkSession, root: str) -> None:
+    """Remove what this application kept in the shared folder, unless its JVM has gone first."""
+    if spark.sparkContext._gateway is not None and spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that every executor can read, below ``spark.checkpoint.dir``.
+    """A new folder that every executor can read, below ``spark.checkpoint.dir`` and a folder of this application that goes when it exits.
 
-    Where the session does not name one (local tests), a temporary folder is set for the session.
+    Where a local session does not name one (as in tests), a temporary folder is set for it; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="normspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/normspark/{name}-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/normspark/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_clear, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +72,34 @@ def slices(sizes: list[int], budget: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+_model: list = [None, None]
+
+
+def model(key: tuple, build: Callable):
+    """The one model that this Python worker keeps: workers outlive stages, so the model of another key goes first."""
+    if _model[0] != key:
+        _model[:] = [None, None]
+        _model[:] = [key, build()]
+    return _model[1]
+
+
+class Known(dict):
+    """Remembered results by word, emptied where their bytes pass ``most``; one long word counts with all its bytes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def room(self, size: int) -> bool:
+        """Make room for entries of so many bytes; whether the others had to go."""
+        full = self.size + size > self.most and bool(self)
+        if full:
+            self.clear()
+            self.size = 0
+        self.size += size
+        return full
+
+
 def release() -> None:
     """Give freed memory back to the system: an idle worker would keep it while other stages run."""
     pa.default_memory_pool().release_unused()
@@ -62,33 +108,47 @@ def release() -> None:
         trim(0)
 
 
-#: Rows that ``per_text`` hands on at once; what a worker holds besides the incoming batch follows from it.
-ROWS = 1000
+#: Bytes of text that ``per_text`` turns into Python strings at once (a longer text stands alone), and rows at most.
+POINTS, ROWS = 1_000_000, 1000
+#: Rows of one Arrow batch between Spark and a worker: both sides hold a batch of whole texts.
+BATCH = 2000
+
+
+def _flat(rows: pa.Array) -> bool:
+    return not (pa.types.is_list(rows.type) or pa.types.is_large_list(rows.type))
 
 
 def per_text(df: DataFrame, keep: Sequence[str], fields: str, fn: Callable[[list], Sequence], text_col: str = "text") -> DataFrame:
     """Row by row: ``__keep`` (a struct of the ``keep`` columns, untouched) and what ``fn`` makes of the whole texts.
 
     ``fn`` gets a list of texts (None for null) and returns one sequence per field, each as long as the list.
-    Columns ride along as Arrow data, so no type is converted, and inside the struct no name can clash.
+    Only the text goes to Python and only the new fields come back; the other columns stay in Spark, and inside
+    the struct no name can clash. The function counts as nondeterministic, so that no filter repeats it.
     """
-    rows = df.select(F.struct(*keep).alias("__keep"), F.col(text_col).alias("__text"))
     more = T._parse_datatype_string(fields)
-    schema = T.StructType([rows.schema["__keep"], *more.fields])
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in more.fields]
     names = [f.name for f in more.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                out = fn(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["__keep", *names])
+            parts = []
+            for start in range(0, len(batch), ROWS):
+                rows = batch.slice(start, ROWS)
+                sizes = pc.fill_null(pc.binary_length(rows) if _flat(rows) else pc.list_value_length(rows), 0).to_pylist()
+                for s in slices(sizes, POINTS):
+                    out = fn(rows.slice(s.start, s.stop - s.start).to_pylist())
+                    parts.append(pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, kinds, strict=True))))
         release()
 
-    return rows.mapInArrow(run, schema)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    got = F.arrow_udf(run, more).asNondeterministic()(F.col(text_col))
+    return df.select(F.struct(*keep).alias("__keep"), got.alias("__got")).select("__keep", "__got.*")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

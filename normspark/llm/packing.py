@@ -9,24 +9,26 @@ two levels (row numbers within salted buckets, offsets from bucket counts), so t
 is no single sort.
 
 Defined results: a null text counts as empty and yields the piece of ``END_ID`` alone; repeated rows are
-packed as often as they occur; an empty table gives an empty result; ties in rank go by doc_id and start.
+packed as often as they occur; an empty table gives an empty result; ties in rank go by doc_id and start;
+very long texts are tokenised whole and cut into pieces; columns of any name may come along, they are dropped.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import per_text, slices, stored
+from .common import Known, model, per_text, slices, stored
 
 CAPACITY, END_ID = 4096, 2
-#: Cached words per Python worker (about 150 bytes each).
-CACHE = 400_000
+#: Bytes of remembered words per Python worker.
+CACHE = 48_000_000
+#: What a remembered word takes besides its characters and ids.
+ENTRY = 180
 
 
 class WordIds:
@@ -43,7 +45,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Known(CACHE)
         suffix = self.tokenizer.model.end_of_word_suffix
         if not suffix:
             raise ValueError("the tokenizer must mark the ends of words")
@@ -55,9 +57,9 @@ class WordIds:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split) - self.known.keys()
         if new:
-            if len(self.known) > CACHE:
-                self.known = {"": b""}
-                new = set().union(*split) - self.known.keys()
+            # a word, its core and its mark are entries: about ids of 4 bytes for every 4 characters each
+            if self.known.room(sum(map(len, new)) * 4 + 2 * ENTRY * len(new)):
+                new = set().union(*split)
             self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -87,7 +89,7 @@ class WordIds:
 
 def _core(word: str) -> tuple[str, str]:
     """A word as (part to tokenize, mark behind it)."""
-    letters, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+    letters, mark = (word[:-1], word[-1]) if word[-1:] in (*".,;:!?",) else (word, "")
     if letters.isascii() and letters.isalpha():
         return letters.lower(), mark
     if letters.isalpha():
@@ -95,11 +97,6 @@ def _core(word: str) -> tuple[str, str]:
     return word, ""
 
 
-@lru_cache(maxsize=1)
-def _ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -112,7 +109,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(texts: list[str | None]) -> tuple[list, list]:
-        ids, sizes, sums = _ids(path), [], []
+        ids, sizes, sums = model(("words", path), lambda: WordIds(path)), [], []
         for s in slices([len(t or "") for t in texts], 2_000_000):
             for raw in ids.encode([t or "" for t in texts[s]]):
                 raw += end

@@ -12,7 +12,6 @@ pieces of its start. Such a character is spelt with the byte pieces of its UTF-8
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 MARK, PENALTY = "▁", 10.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -49,7 +48,6 @@ class Vocabulary:
             raise ValueError(f"pieces cross a word's start: {bad[:3]}")
 
 
-@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 

@@ -12,17 +12,18 @@ table stays empty. Very long words are segmented whole.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, per_text, slices
+from .common import Known, mix64, model, per_text, slices
 from .pieces import MARK, Vocabulary, default_model, vocabulary, words
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 300_000
+#: Bytes of remembered words per Python worker, and what one takes besides its characters and ids.
+CACHE, ENTRY = 48_000_000, 180
+#: Cells of the tables of one group of words: words by code points.
+CELLS = 1_000_000
 
 
 def _points(strings: list[str]) -> np.ndarray:
@@ -33,6 +34,7 @@ def _points(strings: list[str]) -> np.ndarray:
 class Encoder:
     def __init__(self, path: str):
         self.vocabulary: Vocabulary = vocabulary(path)
+        self.spelling = _spelling(self.vocabulary)
         names = list(self.vocabulary.score)
         keys = np.zeros(len(names), np.uint64)
         for i, name in enumerate(names):
@@ -46,7 +48,7 @@ class Encoder:
             raise ValueError("two pieces share a hash")
         self.scores = np.array([self.vocabulary.score[n] for n in names], np.float64)[order]
         self.ids = np.array([self.vocabulary.id[n] for n in names], np.int64)[order]
-        self.known: dict[str, bytes] = {}
+        self.known = Known(CACHE)
 
     def _group(self, strings: list[str]) -> list[bytes]:
         """Ids of equally long words, as little-endian unsigned 32-bit integers."""
@@ -91,34 +93,32 @@ class Encoder:
         split = [words(t) for t in texts]
         new = set().union(*split) - self.known.keys()
         if new:
-            if len(self.known) > CACHE:
-                self.known = {}
+            if self.known.room(sum(map(len, new)) * 8 + ENTRY * len(new)):
                 new = set().union(*split)
             by_size: dict[int, list[str]] = {}
             for w in sorted(new):
                 by_size.setdefault(len(w), []).append(w)
-            for group in by_size.values():
-                self.known.update(zip(group, self._group(group), strict=True))
+            for size, group in by_size.items():
+                for i in range(0, len(group), step := max(1, CELLS // size)):
+                    part = group[i : i + step]
+                    self.known.update(zip(part, self._group(part), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian 32-bit ids; runs of byte pieces are read as UTF-8."""
-        table = _spelling(self)
+        table = self.spelling
         raw = b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
         text = raw.decode("utf-8", "surrogatepass").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=1)
-def _spelling(encoder: Encoder) -> list[bytes]:
-    v = encoder.vocabulary
+def _spelling(v: Vocabulary) -> list[bytes]:
     return [bytes([v.byte_of[i]]) if i in v.byte_of else (t or "").encode() for i, t in enumerate(v.text)]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return model(("encoder", path), lambda: Encoder(path))
 
 
 def encoded(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:

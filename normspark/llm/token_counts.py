@@ -8,15 +8,14 @@ words are counted whole.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import Known, model, per_text
 from .pieces import Vocabulary, default_model, vocabulary, words
 
-CACHE = 400_000
+#: Bytes of remembered words per Python worker, and what one takes besides its characters.
+CACHE, ENTRY = 48_000_000, 320
 
 
 class Counter:
@@ -28,7 +27,7 @@ class Counter:
         for piece, score in self.vocabulary.score.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.known: dict[str, tuple[int, float, int]] = {}
+        self.known = Known(CACHE)
 
     def word(self, word: str) -> tuple[int, float, int]:
         """(pieces, score, unknown characters) of the best segmentation of one word."""
@@ -61,8 +60,7 @@ class Counter:
         for w in words(text):
             got = known.get(w)
             if got is None:
-                if len(known) > CACHE:
-                    known.clear()
+                known.room(4 * len(w) + ENTRY)
                 got = known[w] = self.word(w)
             n += got[0]
             score += got[1]
@@ -70,9 +68,8 @@ class Counter:
         return n, score, unknown
 
 
-@lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return model(("counter", path), lambda: Counter(path))
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
