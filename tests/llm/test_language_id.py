@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 
 from normspark.llm import language_id as L
@@ -5,37 +7,53 @@ from tests.llm.conftest import DOCS, prose
 
 
 def phrases(text, sample):
-    """Greedy longest matches of a folded block in a folded sample."""
+    """Greedy longest matches of a folded text in a folded sample."""
     text, n, i = L.fold(text), 0, 0
-    for start in range(0, len(text), L.BLOCK):
-        block, i = text[start : start + L.BLOCK], 0
-        while i < len(block):
-            k = 1
-            while i + k <= len(block) and block[i : i + k] in sample:
-                k += 1
-            if block[i] not in sample:
-                k = 2
-            i += max(k - 1, 1)
-            n += 1
+    while i < len(text):
+        k = 1
+        while i + k <= len(text) and text[i : i + k] in sample:
+            k += 1
+        i += max(k - 1, 1)
+        n += 1
     return n
 
 
-def test_counts_equal_brute_force():
-    samples = (("aa", prose(1, 200)), ("bb", "der die das und nicht mit ein eine " * 5 + prose(2, 20)))
+def check(samples, texts):
     parser = L.CrossParser(samples)
-    texts = [prose(3, 120), "das und nicht", "zzz qqq", "x", "", "12 34", "Das, DAS!  und?nicht ß", prose(1, 200)]
-    counts, _, letters = parser.phrases(texts)
+    counts, letters = parser.phrases(texts)
     for t, row, has in zip(texts, counts, letters, strict=True):
         assert has == any(c.isalpha() for c in t)
-        want = [phrases(t, L.fold(s)) for _, s in samples]
-        # a symbol outside the sample ends the running phrase and is not part of any
-        assert all(abs(int(a) - b) <= sum(c not in L.fold(s) for c in L.fold(t)) for a, b, (_, s) in zip(row, want, samples, strict=True)), t
+        assert row.tolist() == [phrases(t, L.fold(s)) for _, s in samples], t[:80]
+
+
+def test_counts_equal_brute_force():
+    samples = (("aa", prose(1, 200)), ("bb", "der die das und nicht mit ein eine " * 5 + prose(2, 20)), ("cc", "the cat sat on the mat"))
+    check(samples, [prose(3, 120), "das und nicht", "zzz qqq", "x", "", "12 34", "Das, DAS!  und?nicht ß", prose(1, 200), "the中cat", "中", "the cat中中", " mat ", prose(5, 3000)])
+
+
+def test_counts_over_many_blocks(monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 16)
+    rnd = random.Random(4)
+    samples = (("aa", "abaab" * 9), ("bb", "aaa bb"), ("cc", "c"))
+    texts = ["".join(rnd.choice("aab c") for _ in range(rnd.randrange(400))) for _ in range(60)] + ["a" * 5000, "ab" * 2001, "aab" * 777, "abaab" * 500]
+    check(samples, texts)
+
+
+def test_large_alphabet_takes_little_memory():
+    rnd = random.Random(7)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    text = "".join(rnd.choice(letters) for _ in range(25_000))
+    tracemalloc.start()
+    parser = L.CrossParser((("en", prose(1, 4000)), ("zz", text)))
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 20e6
+    assert parser.predict([text[100:300], prose(3, 40)])[0] == ["zz", "en"]
+    check((("en", prose(1, 50)), ("zz", text)), [text[5:90] + "the" + text[2000:2100]])
 
 
 def test_held_out_accuracy(spark):
     words = {"xx": "alfa brag colt dun erf".split(), "yy": "zuim quop wexi vyro jazz".split()}
-    import random
-
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(60)), lang, "s", 0) for i in range(200) for lang in [("xx", "yy")[i % 2]]]
     got = {r.doc_id: r for r in L.digest(spark.createDataFrame(rows, DOCS)).collect()}
@@ -55,4 +73,7 @@ def test_edges(spark, docs, empty, clashing):
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (100, 101, 102))
     assert by[None].held_out is False and by[104].lang_pred == "de"
     kept = L.stage(spark, clashing, "")
-    assert kept.columns == clashing.columns and {r.doc_id for r in kept.collect()} == set(by) - {100, 101, 102}
+    out = kept.collect()
+    assert kept.columns == clashing.columns and {r.doc_id for r in out} == set(by) - {100, 101, 102}
+    assert all(r.lang == by[r.doc_id].lang_pred for r in out)
+    assert {r.lang for r in L.stage(spark, docs, "", languages=("de",)).collect()} == {"de"}
