@@ -1,14 +1,17 @@
 """Quality rules as a learned decision list.
 
-Per text a row of statistics is computed once and stored; a bounded, hashed sample of labelled rows
-(``max_labelled``) trains the list by sequential covering: a rule grows by the threshold with the largest
-FOIL gain, up to ``max_conditions``, is pruned back on held-back rows, and is kept while its held-back
-precision reaches ``precision``. The list is emitted as one ordered Spark ``CASE`` expression over the
-statistics columns: the first rule that fits drops the document, otherwise it is kept.
+A bounded, hashed sample of labelled rows (``max_labelled``) trains the list by sequential covering: a rule
+grows by the threshold with the largest FOIL gain, up to ``max_conditions``, is pruned back on held-back
+rows, and is kept while its held-back precision reaches ``precision``. At most ``max_rules`` rules are learned:
+both limits belong to the model, like the depth of a tree. The list is emitted as one ordered Spark ``CASE``
+expression over the statistics of every text: the first rule that fits drops the document, otherwise it is kept.
+Ids are sampled before texts are read, so statistics are made for the sample and then once for every text.
 
 Defined results: a null text has no words (all counts 0, base_failed, not kept); ties between thresholds
 go to the first statistic and the smaller threshold; conflicting labels of one doc_id count as the lower
-quality; without labelled rows the list is empty and the base rule alone decides; repeated rows repeat.
+quality; without labelled rows the list is empty and the base rule alone decides; repeated rows repeat; an
+empty table stays empty; very long texts are counted whole, at some 500 bytes of working memory a word;
+columns of any name may come along, also those of the statistics.
 """
 
 from __future__ import annotations
@@ -165,23 +168,23 @@ def base_failed() -> Column:
     return F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
 
 
-def learn(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> list[Rule]:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> list[Rule]:
     """Rules from the statistics of at most ``max_labelled`` labelled documents, taken in the order of a hash of doc_id."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q"))
-    some = some.orderBy(order, "doc_id").limit(max_labelled)  # its rows bound the broadcast: 16 bytes each
-    rows = stats.join(F.broadcast(some), "doc_id").where(~base_failed())
-    rows = rows.select(order.alias("h"), "doc_id", "__q", *(F.expr(e).cast("double").alias(k) for k, e in RATIOS.items()))
+    some = stored(some.orderBy(order, "doc_id").limit(max_labelled), "labelled")  # its rows bound the broadcast: 16 bytes each
+    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
+    rows = with_statistics(texts, ["doc_id"]).where(~base_failed()).select(F.col("__keep.doc_id").alias("doc_id"), *(F.expr(e).cast("double").alias(k) for k, e in RATIOS.items()))
+    rows = rows.join(F.broadcast(some), "doc_id").withColumn("h", order)
     got = rows.orderBy("h", *(c for c in rows.columns if c != "h")).limit(max_labelled).toPandas()
     x = {k: got[k].to_numpy(float) for k in RATIOS}
     return learn_list(x, got["__q"].to_numpy() == 0)
 
 
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """``__keep``, the counts, ``base_failed``, ``rule`` (first fitting rule) and ``kept``."""
-    stats = stored(with_statistics(docs, keep), "quality")
-    rules = learn(stats.withColumn("doc_id", F.col("__keep.doc_id")), labels)
-    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    """``__keep``, the counts, ``base_failed``, ``rule`` (first fitting rule) and ``kept``, in one pass over the texts."""
+    rules = learn(docs, labels)
+    out = with_statistics(docs, keep).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
@@ -192,12 +195,5 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that fail the base rule or fit a rule of the list go.
-
-    The list is learned from statistics by doc_id; then each document's own statistics are judged in one
-    pass over the texts, so that no join brings texts to a shuffle.
-    """
-    counted = stored(with_statistics(docs, ["doc_id"]), "quality")
-    rules = learn(counted.withColumn("doc_id", F.col("__keep.doc_id")), table(spark, sf_dir, "labels"))
-    rows = with_statistics(docs, docs.columns)
-    return rows.where(~base_failed() & verdict(rules).isNull()).select("__keep.*")
+    """Pipeline stage: documents that fail the base rule or fit a rule of the list go. No join brings texts to a shuffle."""
+    return judged(docs, table(spark, sf_dir, "labels"), docs.columns).where("kept").select("__keep.*")
