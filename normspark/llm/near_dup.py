@@ -1,26 +1,27 @@
 """Near-duplicate texts by DartMinHash signatures, banded joins and exact verification.
 
 A text is the multiset of its shingles of ``WORDS`` words (words are runs without ASCII blanks; a text of
-fewer words is one shingle). Similarity is the weighted Jaccard of two multisets: a shingle's second
-occurrence counts as an element of its own ("cell"). Darts fall on every cell as a hashed Poisson
-process in time, each aimed at one of ``BANDS * ROWS`` coordinates; a text keeps, per coordinate, the
-earliest dart on its cells. Two texts keep the same dart with a probability of their similarity, and a
-text of any weight needs about k ln k darts, not k per shingle.
-
-Texts with equal word sequences form a class by hash aggregation. Classes that share a band are linked
-to a leader there (the one that shares most bands with others), verified on their whole shingle multisets.
-Members that are not connected with it meet further leaders; whatever then shares a bucket and is still
-apart is joined by its rarest cells (an exact prefix filter), so no link is lost and no cap is needed.
-Connected groups get the smallest doc_id as their class id.
+fewer words is one shingle), a shingle's weight being its number of occurrences. Similarity is the weighted
+Jaccard of two multisets. The plane of each element, weight by time, is cut into strips of weight [0, 1),
+[1, 2), [2, 4), [4, 8), ...; into each strip fall hashed darts as a Poisson process in time, as dense as the strip is
+wide, each at a hashed weight and aimed at one of ``BANDS * ROWS`` coordinates. A text takes the darts below its
+weight and keeps, per coordinate, the earliest. Two texts keep the same dart with a probability of their
+similarity, and a text of any weight needs about k ln k darts, not k per element.
+
+Texts with equal word sequences (by a 128-bit hash) form a class by hash aggregation. Classes that share a band are
+linked to a leader there (the one that shares most bands with others), verified on their whole shingle multisets.
+What shares a bucket and is still apart is paired by its rarest cells within the bucket (an exact prefix
+filter), so no link of a bucket is lost and no cap is needed. Connected groups get the smallest doc_id as class id.
 
 Defined results: null and empty texts (no words) are groups of their own row, never linked; rows with a
-null doc_id are kept with themselves as class id null; repeated rows fall into one group; a group's id is
-its smallest doc_id.
+null doc_id are kept with themselves as class id null; repeated rows fall into one group; rows that share a doc_id
+but not the text are judged each by its text; a group's id is its smallest doc_id; an empty table stays empty; very
+long texts are compared whole, at about 150 bytes of working memory a code point; columns of any name may come along.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,17 +37,13 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2**64."""
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.empty(n, np.uint64)
-        p[0] = 1
-        if n > 1:
-            p[1:] = np.uint64(base)
-            p = np.multiply.accumulate(p)
-        out.append(p)
+        p = np.full(n, base, np.uint64)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
@@ -54,32 +51,24 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def cells(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of all texts: their hashes, sorted within each text, and the text of each; words by text; a hash of each text's words."""
+def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, sorted within each text; the text of each; words by text."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     n = len(texts)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64)
     ends = np.cumsum([len(r) + 1 for r in raw])
     blank = _BLANK[data]
     before = np.concatenate([[True], blank[:-1]])
     start = np.flatnonzero(~blank & before)
     stop = np.flatnonzero(blank & ~before)
-    size = 1 << int(len(data)).bit_length()
-    power, inverse = _powers(size)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
+    power, inverse = _powers(len(data))
+    total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
     word = mix64((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
     owner = np.searchsorted(ends, start, "right")
     count = np.bincount(owner, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
-    # a hash of the whole word sequence, position by position
-    place = np.arange(len(word)) - first[owner]
-    whole = np.zeros(n, np.uint64)
-    if len(word):
-        at = np.flatnonzero(count)
-        sums = np.add.reduceat(mix64(word ^ mix64(place.astype(np.uint64) + np.uint64(77))), first[:-1][at])
-        whole[at] = mix64(sums ^ count[at].astype(np.uint64))
     # shingles start at every word that has WORDS - 1 more of its text behind it; a short text has one
     long = np.maximum(count - WORDS + 1, np.minimum(count, 1))
     begin = np.repeat(first[:-1], long) + (np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long))
@@ -89,44 +78,65 @@ def cells(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for k in range(WORDS):
         part = np.where(k < count[of], padded[begin + k], np.uint64(0))
         shingle = mix64(shingle * np.uint64(0xD6E8FEB86659FD93) + part + np.uint64(k + 1))
-    order = np.lexsort((shingle, of))
-    shingle = shingle[order]
-    # the j-th occurrence of a shingle in a text is a cell of its own
+    return shingle[np.lexsort((shingle, of))], of, count
+
+
+def elements(shingle: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: hash, text, weight."""
     new = np.ones(len(shingle), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (of[1:] != of[:-1])
     run = np.flatnonzero(new)
-    nth = np.arange(len(shingle)) - np.repeat(run, np.diff(np.append(run, len(shingle))))
-    return np.where(nth > 0, mix64(shingle + nth.astype(np.uint64) * np.uint64(_BASE)), shingle), of, count, whole
+    return shingle[run], of[run], np.diff(np.append(run, len(shingle)))
+
+
+def cells(shingle: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A multiset as a set: the j-th occurrence of a shingle in a text gets a hash of its own. Sorted within each text."""
+    _, _, weight = elements(shingle, of)
+    nth = np.arange(len(shingle)) - np.repeat(np.cumsum(weight) - weight, weight)
+    cell = np.where(nth > 0, mix64(shingle + nth.astype(np.uint64) * np.uint64(_BASE)), shingle)
+    return cell[np.lexsort((cell, of))]
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
+    """Hashes as numbers between 0 and 1."""
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def darts(cell: np.ndarray, of: np.ndarray, n: int, k: int = BANDS * ROWS) -> np.ndarray:
-    """The signature of each of ``n`` texts: per coordinate the identity of the earliest dart (all 0 for a text without cells)."""
+def darts(element: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int, k: int = BANDS * ROWS) -> np.ndarray:
+    """The signature of each of ``n`` texts: per coordinate the identity of the earliest dart (all 0 for a text without elements)."""
     out = np.zeros((n, k), np.uint64)
-    weight = np.bincount(of, minlength=n)
-    todo, spare = np.flatnonzero(weight), 4.0
+    # strips of each element up to its weight: number, lower edge, width
+    strips = np.where(weight > 1, np.frexp(np.maximum(weight - 1, 1).astype(np.float64))[1] + 1, 1)
+    each = np.repeat(np.arange(len(element)), strips)
+    strip = np.arange(len(each)) - np.repeat(np.cumsum(strips) - strips, strips)
+    low = np.where(strip > 0, 2.0 ** (strip - 1), 0.0)
+    wide = np.maximum(low, 1.0)
+    seed, text, top = mix64(element[each] + strip.astype(np.uint64) * np.uint64(_BASE)), of[each], weight[each].astype(np.float64)
+    mass = np.bincount(of, weight, n)
+    todo, spare = np.flatnonzero(mass), 4.0
     while len(todo):
         # horizon of time within which a text of this weight gets k (ln k + spare) darts on average
         horizon = np.zeros(n)
-        horizon[todo] = k * (np.log(k) + spare) / weight[todo]
-        live = horizon[of] > 0
-        c, o = cell[live], of[live]
-        time, limit = np.zeros(len(c)), horizon[o]
+        horizon[todo] = k * (np.log(k) + spare) / mass[todo]
+        at = np.flatnonzero(horizon[text] > 0)
+        time = np.zeros(len(at))
         got_time, got_at, got_id = [], [], []
         turn = 0
-        while len(c):
+        while len(at):
             turn += 1
-            h = mix64(c + np.uint64(turn * 0x9E3779B97F4A7C15 & _M64))
-            time = time - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
-            alive = time < limit
-            c, o, time, limit, h = c[alive], o[alive], time[alive], limit[alive], h[alive]
+            h = mix64(seed[at] + np.uint64(turn * 0x9E3779B97F4A7C15 & _M64))
+            time = time - np.log(_unit(h)) / wide[at]
+            alive = time < horizon[text[at]]
+            at, time, h = at[alive], time[alive], h[alive]
             dart = mix64(h ^ np.uint64(0xA0761D6478BD642F))
-            got_time.append(time)
-            got_at.append(o * k + (dart % np.uint64(k)).astype(np.int64))
-            got_id.append(dart)
-        when, at, name = np.concatenate(got_time), np.concatenate(got_at), np.concatenate(got_id)
+            hit = low[at] + wide[at] * _unit(mix64(dart + np.uint64(1))) < top[at]
+            got_time.append(time[hit])
+            got_at.append(text[at[hit]] * k + (dart[hit] % np.uint64(k)).astype(np.int64))
+            got_id.append(dart[hit])
+        when, place, name = np.concatenate(got_time), np.concatenate(got_at), np.concatenate(got_id)
         order = np.argsort(-when, kind="stable")  # the earliest is written last
         flat = np.zeros(n * k, np.uint64)
-        flat[at[order]] = name[order] | np.uint64(1)
+        flat[place[order]] = name[order] | np.uint64(1)
         flat = flat.reshape(n, k)
         full = (flat != 0).all(axis=1)
         done = todo[full[todo]]
@@ -135,6 +145,12 @@ def darts(cell: np.ndarray, of: np.ndarray, n: int, k: int = BANDS * ROWS) -> np
     return out
 
 
+def word_key(text: str | None) -> bytes | None:
+    """A 128-bit hash of the word sequence; None without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def _bands(signature: np.ndarray) -> np.ndarray:
     grid = signature.reshape(len(signature), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), grid.shape[:2]).copy()
@@ -143,36 +159,44 @@ def _bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: Bytes of text whose darts fly at once.
+AT_ONCE = 500_000
+
+
 def _signatures(texts: list[str | None]) -> tuple[list, list, list]:
-    words, keys, bands = [], [], []
-    for s in slices([len(t or "") for t in texts], 1_000_000):
-        cell, of, count, whole = cells(texts[s])
-        got = _bands(darts(cell, of, len(count)))
+    words, bands = [], []
+    for s in slices([len(t or "") for t in texts], AT_ONCE):
+        shingle, of, count = shingles(texts[s])
+        got = _bands(darts(*elements(shingle, of), len(count)))
         words += count.tolist()
-        keys += whole.view(np.int64).tolist()
         bands += [list(b) if c else None for b, c in zip(got, count.tolist(), strict=True)]
-    return words, keys, bands
+    return words, list(map(word_key, texts)), bands
 
 
-def _packed(texts: list[str | None]) -> list[list[bytes]]:
+def _packed(texts: list[str | None]) -> list[list]:
     out = []
-    for s in slices([len(t or "") for t in texts], 1_000_000):
-        cell, of, count, _ = cells(texts[s])
-        order = np.lexsort((cell, of))
-        cell = cell[order]
+    for s in slices([len(t or "") for t in texts], AT_ONCE):
+        shingle, of, count = shingles(texts[s])
+        cell = cells(shingle, of).view(np.int64)
         cut = np.searchsorted(of, np.arange(len(count) + 1))
-        out += [cell[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return [out]
+        out += [cell[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [list(map(word_key, texts)), out]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two sorted arrays of distinct cells."""
+    """Weighted Jaccard of two arrays of distinct cells."""
     both = np.concatenate([a, b])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
     return common / (len(both) - common) if len(both) else 0.0
 
 
+def _rows(lists) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of its values."""
+    values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _verify(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:
     """``a, b`` of ``pairs`` whose similarity is at least ``least``. A hot side's join partitions are split by size."""
     import pyarrow as pa
@@ -183,7 +207,8 @@ def _verify(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            one, two = _rows(batch.column(2)), _rows(batch.column(3))
+            keep = [similarity(x, y) >= least for x, y in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
@@ -214,12 +239,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("group")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct())
 
 
-def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``copy_class`` (smallest doc_id with the same words) and ``class_id`` (smallest doc_id of the near-duplicate group), one row per row of ``docs``."""
-    sig = stored(per_text(docs, ["doc_id"], "words long, key long, bands array<long>", _signatures).select("__keep.doc_id", "words", "key", "bands"), "signatures")
-    with_words = sig.where("words > 0 and doc_id is not null")
-    # equal words have equal bands, so any row's stand for the class
-    classes = stored(with_words.groupBy("key", "words").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+def classes_of(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs``: ``doc_id, words, key``; and one per text with words: ``key``, ``copy_class`` (its smallest
+    doc_id), ``class_id`` (the smallest doc_id of its group) and ``kept_key`` (the group's text that has this doc_id)."""
+    sig = stored(per_text(docs, ["doc_id"], "words long, key binary, bands array<long>", _signatures).select("__keep.doc_id", "words", "key", "bands"), "signatures")
+    # equal words have equal bands, so any row's stand for the class; classes get numbers, as doc_ids may repeat
+    classes = sig.where("words > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     # the band's number is part of its hash
     banded = classes.select("rep", F.greatest(F.col("words") - (WORDS - 1), F.lit(1)).alias("n"), F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
@@ -229,14 +255,24 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     middle = stored(members.groupBy("rep").agg(F.sum("c").alias("degree")), "degrees")
     members = stored(members.join(middle, "rep").select("bucket", "rep", "n", "degree"), "buckets")
     # multisets are made once, for the classes that share a bucket with another
-    texts = docs.join(small_side(middle.select(F.col("rep").alias("doc_id")), IDS), "doc_id", "left_semi")
-    packed = per_text(texts, ["doc_id"], "cells binary", _packed).select(F.col("__keep.doc_id").alias("rep"), "cells").groupBy("rep").agg(F.max("cells").alias("cells"))
-    packed = stored(packed, "cells")
-    joined = _linked(members, packed, least)
-    rows = sig.select("doc_id", "key", "words").join(classes.select("key", "words", "rep"), ["key", "words"], "left")
-    rows = rows.select("doc_id", F.when(F.col("words") > 0, F.least("rep", "doc_id")).otherwise(F.col("doc_id")).alias("copy_class"))
-    joined = rows.join(joined.select(F.col("node").alias("copy_class"), "group"), "copy_class", "left")
-    return joined.select("doc_id", "copy_class", F.coalesce("group", "copy_class").alias("class_id"))
+    wanted = stored(classes.select("rep", "first", "key").join(middle.select("rep"), "rep", "left_semi"), "wanted")
+    texts = docs.join(small_side(wanted.select(F.col("first").alias("doc_id")).distinct(), IDS), "doc_id", "left_semi")
+    packed = per_text(texts, ["doc_id"], "key binary, cells array<long>", _packed).select(F.col("__keep.doc_id").alias("first"), "key", "cells")
+    packed = packed.join(small_side(wanted, IDS), ["first", "key"]).select("rep", "cells")
+    packed = stored(packed.groupBy("rep").agg(F.first("cells").alias("cells")), "cells")
+    joined = _linked(members, packed, least).select(F.col("node").alias("rep"), "group")
+    named = classes.select("rep", "key", "first").join(joined, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    chosen = named.groupBy("group").agg(F.min(F.struct("first", "key")).alias("one"))
+    by_key = named.join(chosen, "group").select("key", F.col("first").alias("copy_class"), F.col("one.first").alias("class_id"), F.col("one.key").alias("kept_key"))
+    return sig.select("doc_id", "words", "key"), stored(by_key, "by-key")
+
+
+def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id``, ``copy_class`` (smallest doc_id with the same words) and ``class_id`` (smallest doc_id of the near-duplicate group), one row per row of ``docs``."""
+    rows, by_key = classes_of(docs, least)
+    own = F.col("words").eqNullSafe(0) | F.col("doc_id").isNull()
+    joined = rows.join(by_key, "key", "left")
+    return joined.select("doc_id", *(F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("copy_class", "class_id")))
 
 
 #: Rows of ids (8 or 16 bytes each) that a broadcast may have; more are joined by a shuffle.
@@ -275,36 +311,35 @@ def _linked(members: DataFrame, packed: DataFrame, least: float) -> DataFrame:
         still = grouped.join(grouped.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("bucket"), "bucket", "left_semi")
         led = lead.select("bucket", F.col("b").alias("rep"), F.lit(True).alias("led"))
         split = stored(still.join(led, ["bucket", "rep"], "left").withColumn("degree", F.when(F.col("led"), 0).otherwise(F.col("degree"))).drop("led"), "split")
-    rest = stored(_rare_pairs(split.select("rep", "group").distinct(), packed, least).join(read(seen_at), ["a", "b"], "left_anti"), "pairs")
+    rest = stored(_rare_pairs(split.select("bucket", "rep", "group"), packed, least).join(read(seen_at), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         _verify(rest, packed, least).write.mode("append").parquet(edges_at)
     return components(read(edges_at))
 
 
 def _rare_pairs(rows: DataFrame, packed: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a, b`` of different groups that may have the similarity ``least``; no such pair is missed.
+    """Pairs ``a, b`` of different groups in one bucket that may have the similarity ``least``; no such pair is missed.
 
     With all cells in one order, rarest first, two texts that similar share a cell among the first
     n - ceil(least * n) + 1 of each, and their first shared cell leaves room for the overlap they need. Texts
-    that differ from all others in many cells have only cells of their own there and meet nobody. In each
-    cell's list, members of its largest group are not paired with each other.
+    that differ from all others in many cells have only cells of their own there and meet nobody; texts of common
+    cells alone meet within their bucket only. In each cell's list there, members of its largest group are not
+    paired with each other.
     """
-    def cells_of(raw: list[bytes]) -> list[list]:
-        return [[np.frombuffer(x, np.int64) for x in raw]]
-
     rows = stored(rows, "apart")
-    each = per_text(packed.join(small_side(rows, IDS), "rep", "left_semi"), ["rep"], "cell array<long>", cells_of, "cells").select("__keep.rep", F.explode("cell").alias("cell"))
-    # one shuffle by cell serves the counts; a cell's list has a row per text at most
-    counted = each.withColumn("df", F.count("*").over(Window.partitionBy("cell")))
-    of_text = Window.partitionBy("rep")
-    placed = counted.withColumn("at", F.row_number().over(of_text.orderBy("df", "cell")) - 1).withColumn("n", F.count("*").over(of_text))
+    each = packed.join(small_side(rows.select("rep").distinct(), IDS), "rep", "left_semi").select("rep", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
+    # counts are made where the cells are, and only those of shared cells go back to them
+    shared = stored(each.groupBy("cell").agg(F.count("*").alias("df")).where("df > 1"), "shared-cells")
+    counted = each.join(shared, "cell", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    placed = counted.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("df", "cell")) - 1)
     prefix = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * least)) & (F.col("df") > 1))
-    prefix = stored(prefix.select("rep", "n", "cell", "at").join(small_side(rows, IDS), "rep"), "prefix")
-    main = prefix.groupBy("cell", "group").agg(F.count("*").alias("m")).groupBy("cell").agg(F.max(F.struct("m", "group")).alias("g"), F.count("*").alias("groups")).where("groups > 1").select("cell", F.col("g.group").alias("main"))
-    outer = prefix.join(main, "cell").where("group <> main").select("cell", *(F.col(c).alias(f"x_{c}") for c in ("rep", "group", "n", "at")))
+    prefix = stored(prefix.select("rep", "n", "cell", "at").join(rows, "rep"), "prefix")
+    place = ["bucket", "cell"]
+    main = prefix.groupBy(*place, "group").agg(F.count("*").alias("m")).groupBy(*place).agg(F.max(F.struct("m", "group")).alias("g"), F.count("*").alias("groups")).where("groups > 1").select(*place, F.col("g.group").alias("main"))
+    outer = stored(prefix.join(main, place).where("group <> main").select(*place, *(F.col(c).alias(f"x_{c}") for c in ("rep", "group", "n", "at"))), "outer")
     need = F.ceil((F.col("n") + F.col("x_n")) * (least / (1 + least)) - 1e-9)
     fits = (F.col("group") != F.col("x_group")) & (F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) >= need)
-    pairs = prefix.join(outer, (prefix["cell"] == outer["cell"]) & fits)
+    pairs = prefix.join(outer, place).where(fits)
     return pairs.select(F.greatest("rep", "x_rep").alias("a"), F.least("rep", "x_rep").alias("b")).distinct()
 
 
@@ -314,14 +349,22 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate group the document with the smallest doc_id stays (one row of repeated ones)."""
-    found = stored(groups(docs).select("doc_id", "class_id"), "groups")
-    gone = small_side(stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone"), IDS)
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """Pipeline stage: of each near-duplicate group one row stays, the text with the smallest doc_id; rows without words or doc_id stay.
+
+    Ids alone are joined to the texts. Only rows that repeat a doc_id are told apart by their word sequences.
+    """
+    rows, by_key = classes_of(docs)
+    found = rows.where("words > 0 and doc_id is not null").join(by_key, "key")
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("kept_key"))
+    found = stored(found.select("doc_id", "key", stays.alias("stays")), "decisions")
+    again = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone = small_side(stored(found.where("not stays").select("doc_id").join(small_side(again, IDS), "doc_id", "left_anti"), "gone"), IDS)
+    single = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
-        return rest
-    # rows that repeat a doc_id: one of each text stays
-    single = rest.join(again, "doc_id", "left_anti").select(*docs.columns)
-    double = rest.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(double)
+        return single
+    single = single.join(small_side(again, IDS), "doc_id", "left_anti").select(*docs.columns)
+    more = per_text(docs.join(small_side(again, IDS), "doc_id", "left_semi").select(*docs.columns), docs.columns, "key binary", lambda texts: [list(map(word_key, texts))])
+    more = more.withColumn("doc_id", F.col("__keep.doc_id"))
+    right = found.where("stays").select("doc_id", "key").distinct()
+    texts = more.join(small_side(right, IDS // 4), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.first("__keep").alias("__keep"))
+    return single.unionByName(texts.select("__keep.*")).unionByName(more.where("key is null").select("__keep.*"))

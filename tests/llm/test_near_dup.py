@@ -42,21 +42,25 @@ def brute_groups(texts):
 
 def test_cells_give_weighted_jaccard():
     texts = [prose(1, 60), edited(prose(1, 60), [3]), prose(2, 9) + " " + prose(2, 9), "a b", "a b", "", None, "one two three four five six one two three four five six"]
-    cell, of, count, whole = N.cells(texts)
+    shingle, of, count = N.shingles(texts)
+    cell = N.cells(shingle, of)
     sets = [np.sort(cell[of == i]) for i in range(len(texts))]
     for i in range(len(texts)):
         assert len(sets[i]) == sum(shingles(texts[i]).values()) and count[i] == len((texts[i] or "").split())
         for j in range(i):
             assert abs(N.similarity(sets[i], sets[j]) - jaccard(texts[i], texts[j])) < 1e-12
-    assert whole[3] == whole[4] and whole[0] != whole[1]
+    assert N.word_key(" a  b\n") == N.word_key("a b") != N.word_key("ab") and len(N.word_key("a")) == 16 and N.word_key(" ") is N.word_key(None) is None
 
 
 def test_darts_collide_as_often_as_texts_are_similar():
-    texts = [prose(7, 400), edited(prose(7, 400), range(5, 400, 40)), edited(prose(7, 400), range(5, 400, 9)), "a"]
-    cell, of, count, _ = N.cells(texts)
-    sig = N.darts(cell, of, len(texts), 2000)
+    # the last three repeat shingles, so they have weights above one
+    texts = [prose(7, 400), edited(prose(7, 400), range(5, 400, 40)), edited(prose(7, 400), range(5, 400, 9)), "a", "a b c d e f g " * 40, "a b c d e f g " * 25, "a b c d e f g " * 25 + prose(8, 90)]
+    shingle, of, count = N.shingles(texts)
+    element, owner, weight = N.elements(shingle, of)
+    assert weight.max() >= 39
+    sig = N.darts(element, owner, weight, len(texts), 2000)
     assert (sig != 0).all()
-    for i, j in ((0, 1), (0, 2), (1, 2)):
+    for i, j in ((0, 1), (0, 2), (1, 2), (4, 5), (5, 6), (4, 6), (0, 6)):
         assert abs((sig[i] == sig[j]).mean() - jaccard(texts[i], texts[j])) < 0.05
 
 
@@ -86,6 +90,26 @@ def test_hot_group_of_copies_and_a_chain(spark):
     assert set(got.values()) == {0} and len(got) == 313
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_text(spark):
+    a, b, c = prose(21, 90), prose(22, 90), prose(23, 90)
+    rows = [(1, a), (1, b), (2, edited(a, [4])), (3, c), (3, c), (3, c + " "), (4, b), (5, ""), (5, None), (5, a), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted((r.class_id, r.doc_id) for r in N.digest(df).collect() if r.doc_id not in (None, 5))
+    assert got == [(1, 1), (1, 1), (1, 2), (1, 4), (3, 3), (3, 3), (3, 3)]
+    kept = sorted(((r.doc_id or 0), (r.text or "").strip()) for r in N.stage(spark, df, "").collect())
+    assert kept == sorted([(0, a), (1, a), (1, b), (3, c), (5, ""), (5, "")])
+
+
+def test_texts_of_common_passages_alone(spark):
+    lines = [prose(500 + i, 25) for i in range(24)]
+    texts = {}
+    for i in range(120):
+        k = i % 12
+        texts[i] = "\n".join([lines[(k + j) % 24] for j in range(10)] + ([prose(900 + i, 4)] if i % 3 else []))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
+    assert {r.doc_id: r.class_id for r in N.digest(df).collect()} == brute_groups(texts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (100, 300), (500, 7)]
     got = dict(N.components(spark.createDataFrame(edges, "a long, b long")).collect())
