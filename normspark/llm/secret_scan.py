@@ -1,12 +1,13 @@
 """Secret scans over content-addressed texts with an incremental ledger (DataFrame functions only).
 
-A text is a *blob*, addressed by the SHA-256 of its UTF-8 bytes. The ledger is a Parquet table with one
-row per (blob, rule, rule version) that was scanned, holding the spans found. ``scan`` looks up which
-pairs the ledger lacks, scans those blobs only, appends the outcome, and joins the findings of the
-current rules back to every path that carries the blob.
+A text is a *blob*, addressed by the SHA-256 of its UTF-8 bytes. The ledger is a Parquet table, partitioned by the
+blob's first digit; a row is one scan of a blob: the rules with their versions, and the spans found. ``scan`` looks
+up by ids alone which (blob, rule version) pairs the ledger lacks, fetches the texts of those blobs only, scans each
+text once for the rules it lacks, appends the outcome, and joins the findings of the current rules back to every
+path that carries the blob. A run without new pairs moves no text at all.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated results;
-an empty table gives an empty result and an empty ledger increment; path columns may have any names
+an empty table gives an empty result and no ledger rows; path columns may have any names
 (inner columns start with ``__``). Offsets are code points, the end is exclusive. Matches of one rule
 never overlap; spans of different rules may. Running sums over a blob's matches are windows over
 exploded rows, so very long texts with many matches spill instead of growing one value.
@@ -54,7 +55,10 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 
-LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
+LEDGER = "blob string, scanned array<string>, hits array<struct<start:int,end:int,kind:string,version:int>>, part string"
+
+#: Unseen blobs (about 300 bytes each: id and rule keys) whose ids are broadcast to pick out their texts.
+UNSEEN = 100_000
 
 
 def blob_id(text: Column) -> Column:
@@ -85,7 +89,7 @@ def _hits(text: Column, rule: Rule) -> Column:
 
 
 def _scan(todo: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Ledger rows with spans for the blobs of ``todo`` (``__blob``, ``__text``, ``__todo`` rule keys)."""
+    """A ledger row for each blob of ``todo`` (``__blob``, ``__text``, ``__todo`` rule keys), with or without spans."""
     text = F.col("__text")
 
     def of(rule: Rule) -> Column:
@@ -94,13 +98,14 @@ def _scan(todo: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             may = may & text.contains(rule.hint)
         return F.when(may & text.rlike(rule.pattern), F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), _hits(text, rule).alias("hits")))
 
-    each = todo.select("__blob", F.explode(F.array_compact(F.array(*map(of, rules)))).alias("__r"))
-    each = each.select("__blob", "__r.kind", "__r.version", F.posexplode("__r.hits").alias("__pos", "__hit"))
+    each = todo.select("__blob", "__todo", F.explode_outer(F.array_compact(F.array(*map(of, rules)))).alias("__r"))
+    each = each.select("__blob", "__todo", "__r.kind", "__r.version", F.posexplode_outer("__r.hits").alias("__pos", "__hit"))
     upto = Window.partitionBy("__blob", "kind", "version").orderBy("__pos")
     end = F.sum(F.col("__hit.gap") + F.col("__hit.long")).over(upto).cast("int")
-    each = each.select("__blob", "kind", "version", "__hit", end.alias("end")).where("__hit.ok")
-    span = F.struct((F.col("end") - F.col("__hit.long")).alias("start"), "end")
-    return each.groupBy("__blob", "kind", "version").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    each = each.withColumn("end", end)
+    span = F.when(F.col("__hit.ok"), F.struct((F.col("end") - F.col("__hit.long")).cast("int").alias("start"), "end", "kind", "version"))
+    rows = each.groupBy("__blob").agg(F.first("__todo").alias("scanned"), F.array_sort(F.collect_list(span)).alias("hits"))
+    return rows.select(F.col("__blob").alias("blob"), "scanned", "hits", F.left("__blob", F.lit(1)).alias("part"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -114,46 +119,49 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def extend_ledger(docs: DataFrame, ledger: str, text_col: str = "text", rules: Sequence[Rule] = RULES) -> None:
     """Scan the (blob, rule version) pairs of ``docs`` that the ledger at ``ledger`` lacks and append them.
 
-    A blob scanned without a hit is recorded too, with an empty span list. The write is one Spark job with
-    committed output, so a lost executor costs only its own tasks.
+    Ids are compared first. The texts of few unseen blobs are picked out by their broadcast ids before anything
+    is shuffled; those of many are made distinct in one shuffle. Either way equal texts meet as partial aggregates
+    in each map task, so a huge group of copies is one row a task. The write is one Spark job with committed
+    output, so a lost executor costs only its own tasks.
     """
     spark = docs.sparkSession
-    known = read_ledger(spark, ledger)
     every = F.array(*(F.lit(r.key) for r in rules))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # equal texts meet as partial aggregates in each map task, so a huge group of copies is one row a task
-    blobs = docs.select(blob_id(F.col(text_col)).alias("__blob"), text.alias("__text")).groupBy("__blob").agg(F.first("__text").alias("__text"))
-    seen = known.groupBy(F.col("blob").alias("__blob")).agg(F.collect_set(F.concat_ws("@", "kind", F.col("version").cast("string"))).alias("__seen"))
-    todo = blobs.join(seen, "__blob", "left").withColumn("__todo", F.array_except(every, F.coalesce("__seen", F.array().cast("array<string>")))).where(F.size("__todo") > 0)
-    hits = _scan(todo, rules).select(F.col("__blob").alias("blob"), "kind", "version", "spans")
-    hits.write.mode("append").parquet(ledger)
-    # what was scanned and is clean: ids only, the texts are not read a second time into a shuffle
-    pairs = docs.select(blob_id(F.col(text_col)).alias("blob")).distinct()
-    pairs = pairs.select("blob", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))).alias("r")).select("blob", "r.*")
-    clean = pairs.join(read_ledger(spark, ledger).select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-    clean.select("blob", "kind", "version", F.array().cast("array<struct<start:int,end:int>>").alias("spans")).write.mode("append").parquet(ledger)
+    seen = read_ledger(spark, ledger).groupBy(F.col("blob").alias("__blob")).agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("__seen"))
+    ids = docs.select(blob_id(F.col(text_col)).alias("__blob")).distinct()
+    todo = ids.join(seen, "__blob", "left").select("__blob", F.array_except(every, F.coalesce("__seen", F.array().cast("array<string>"))).alias("__todo")).where(F.size("__todo") > 0)
+    todo = stored(todo, "unseen")
+    n = todo.limit(UNSEEN + 1).count()
+    if not n:
+        return
+    rows = docs.select(blob_id(F.col(text_col)).alias("__blob"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    if n <= UNSEEN:
+        blobs = rows.join(F.broadcast(todo), "__blob").groupBy("__blob").agg(F.first("__text").alias("__text"), F.first("__todo").alias("__todo"))
+    else:
+        blobs = rows.groupBy("__blob").agg(F.first("__text").alias("__text")).join(todo, "__blob")
+    _scan(blobs, rules).write.mode("append").partitionBy("part").parquet(ledger)
 
 
 def findings(spark: SparkSession, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per blob with a secret: ``__blob`` and ``__spans`` (start, kind rank, end, kind) in order of start, then rule."""
     rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))))
-    rows = read_ledger(spark, ledger).where(F.size("spans") > 0)
-    rows = rows.withColumn("rank", rank[F.concat_ws("@", "kind", F.col("version").cast("string"))]).where("rank is not null")
-    one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind")))
+    current = lambda h: rank[F.concat_ws("@", h["kind"], h["version"].cast("string"))]
+    hits = F.filter("hits", lambda h: current(h).isNotNull())
+    rows = read_ledger(spark, ledger).where(F.size("hits") > 0).select("blob", hits.alias("hits")).where(F.size("hits") > 0)
+    one = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), current(h).alias("rank"), h["end"].alias("end"), h["kind"].alias("kind")))
     return rows.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.flatten(F.collect_list(one))).alias("__spans"))
 
 
 def scan(docs: DataFrame, paths: Sequence[str], ledger: str | None = None, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every row's ``paths`` columns with ``blob`` and ``spans`` (array of start, rank, end, kind; null without any).
 
-    ``ledger`` None keeps the increment in a new folder of the shared directory. Paths of one hot blob are
-    split by the adaptive skew join; the blob's spans are aggregated before they meet the paths.
+    ``ledger`` None keeps the increment in a new folder of the shared directory. A blob's spans are aggregated and
+    stored before they meet the paths, so that the adaptive skew join can split the paths of one hot blob.
     """
     spark = docs.sparkSession
     ledger = ledger or shared_dir(spark, "ledger")
     extend_ledger(docs, ledger, text_col, rules)
     rows = docs.select(*paths, blob_id(F.col(text_col)).alias("__blob"))
-    return rows.join(findings(spark, ledger, rules), "__blob", "left").select(*paths, F.col("__blob").alias("blob"), F.col("__spans").alias("spans"))
+    return rows.join(stored(findings(spark, ledger, rules), "findings"), "__blob", "left").select(*paths, F.col("__blob").alias("blob"), F.col("__spans").alias("spans"))
 
 
 def _masker(rule: Rule, mask: str):

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from normspark.llm import secret_scan as S
 
 CASES = [
@@ -40,19 +42,37 @@ def test_ledger_scans_each_pair_once(spark, tmp_path):
     one = spark.createDataFrame([(1, CASES[0]), (2, CASES[0]), (3, "clean")], "doc_id long, text string")
     path = f"file://{tmp_path}/ledger"
     first = S.scan(one, ["doc_id"], path).collect()
-    rows = spark.read.parquet(path)
-    assert rows.count() == 2 * len(S.RULES) == rows.select("blob", "kind", "version").distinct().count()
+    pairs = lambda: spark.read.parquet(path).select("blob", F.explode("scanned"))
+    rows = pairs()
+    assert rows.count() == 2 * len(S.RULES) == rows.distinct().count()
     assert sorted(r.doc_id for r in first if r.spans) == [1, 2]
     S.scan(one, ["doc_id"], path).collect()
-    assert spark.read.parquet(path).count() == 2 * len(S.RULES)
+    assert pairs().count() == 2 * len(S.RULES)
     more = one.union(spark.createDataFrame([(4, CASES[3])], one.schema))
     newer = (S.Rule("hex", 2, r"[0-9a-f]{20,}"), *S.RULES[:2])
     got = {r.doc_id: r.spans for r in S.scan(more, ["doc_id"], path, rules=newer).collect()}
     # only version 2 of the changed rule on old blobs, all three rules on the new one
-    assert spark.read.parquet(path).count() == 2 * len(S.RULES) + 2 + 3
+    assert pairs().count() == 2 * len(S.RULES) + 2 + 3 == pairs().distinct().count()
     assert [s.kind for s in got[4]] == ["hex"]
 
 
+def test_increments_fetch_unseen_texts_only(spark, tmp_path, monkeypatch):
+    fetched, real = [], S._scan
+    monkeypatch.setattr(S, "_scan", lambda todo, rules: fetched.append(sorted(r["__text"] for r in todo.collect())) or real(todo, rules))
+    path = f"file://{tmp_path}/ledger"
+    old = [(i, f"text {i % 5} token = abcdefghijklmnop{i % 5}") for i in range(40)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.spans for r in S.scan(make(old), ["doc_id"], path).collect()}
+    assert len(fetched.pop()) == 5 and not fetched
+    assert {r.doc_id: r.spans for r in S.scan(make(old), ["doc_id"], path).collect()} == want and not fetched
+    got = {r.doc_id: r.spans for r in S.scan(make([*old, (99, "new"), (98, "new"), (97, None)]), ["doc_id"], path).collect()}
+    assert fetched == [["", "new"]] and got == want | {99: None, 98: None, 97: None}
+    # beyond the broadcast bound the same pairs are scanned
+    monkeypatch.setattr(S, "UNSEEN", 1)
+    S.scan(make([*old, (1, "one more"), (2, "two more")]), ["doc_id"], path).collect()
+    assert fetched[1] == ["one more", "two more"] and spark.read.parquet(path).count() == 9
+
+
 def test_redaction_leaves_clean_texts(spark):
     df = spark.createDataFrame([(1, CASES[0], "en", "s", 5), (2, "nothing here", "en", "s", 12), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in S.stage(spark, df, "").collect()}
