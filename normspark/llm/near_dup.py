@@ -262,8 +262,10 @@ def classes_of(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, D
     packed = stored(packed.groupBy("rep").agg(F.first("cells").alias("cells")), "cells")
     joined = _linked(members, packed, least).select(F.col("node").alias("rep"), "group")
     named = classes.select("rep", "key", "first").join(joined, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
-    chosen = named.groupBy("group").agg(F.min(F.struct("first", "key")).alias("one"))
-    by_key = named.join(chosen, "group").select("key", F.col("first").alias("copy_class"), F.col("one.first").alias("class_id"), F.col("one.key").alias("kept_key"))
+    named = stored(named, "named")
+    # stored, so that the adaptive skew join can split a large group
+    chosen = stored(named.groupBy("group").agg(F.min(F.struct("first", "key")).alias("one"), F.count("*").alias("n")).where("n > 1"), "chosen")
+    by_key = named.join(chosen, "group", "left").select("key", F.col("first").alias("copy_class"), F.coalesce("one.first", "first").alias("class_id"), F.coalesce("one.key", "key").alias("kept_key"))
     return sig.select("doc_id", "words", "key"), stored(by_key, "by-key")
 
 
