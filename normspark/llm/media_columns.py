@@ -1,7 +1,7 @@
 """Media columns: progressive JPEG images in binary columns, decoded to full-resolution RGB tensors in numpy.
 
-``decode`` reads any Huffman-coded 8-bit progressive JPEG of three components (spectral selection and
-successive approximation, restart intervals, 1x1 to 2x2 chroma sampling). The entropy-coded segments of
+``decode`` reads any Huffman-coded 8-bit progressive JPEG of one or three components (spectral selection and
+successive approximation, restart intervals, sides of any length, any chroma sampling). The entropy-coded segments of
 all images of a batch advance together, one symbol (or, in refinement scans, one coefficient) a step, into
 coefficient arrays; these are inverse-transformed as one matrix product of integers (exact in float64, so
 equal images give equal pixels), chroma is upsampled by repetition, and RGB comes from integer arithmetic.
@@ -12,7 +12,8 @@ blocks. Quantisers are 1. Scans: DC without its low bit, AC 1-5 and 6-63 without
 refinements of DC and AC. Unused blocks of the last row hold byte 32.
 
 Defined results: null counts as the empty text; payloads are never empty (at least 192 bytes); equal texts
-give equal bytes, tensors and features; repeated rows repeat; an empty table stays empty. The longest payload
+give equal bytes, tensors and features; repeated rows repeat; an empty table stays empty. Bytes that are no such
+JPEG (null, empty, cut off, another format) give a null tensor and a reason. The longest payload
 is what one image holds (4095 x 4095 macro blocks, 6.4 GB); one image must fit a worker's memory.
 """
 
@@ -223,6 +224,8 @@ class Component:
     quantiser: int
     rows: int = 0
     cols: int = 0
+    high: int = 0  # rows and columns of blocks without the padding to whole macro blocks
+    wide: int = 0
     base: int = 0  # first block in the batch's coefficient array
 
 
@@ -261,6 +264,8 @@ class _Batch:
         return got
 
     def add(self, raw: bytes) -> None:
+        if raw[:2] != b"\xff\xd8":
+            raise ValueError("no JPEG")
         image, huffman, restart, at = Image(), {}, 0, 2
         marks = [m.start() for m in _MARK.finditer(raw)]
         index = {m: i for i, m in enumerate(marks)}
@@ -280,10 +285,15 @@ class _Batch:
             elif kind == 0xC2:
                 image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
                 image.components = [Component(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, len(body), 3)]
+                if body[0] != 8 or len(image.components) not in (1, 3) or not image.width or not image.height or not all(c.h and c.v for c in image.components):
+                    raise ValueError("only 8-bit images of one or three components are read")
+                if len(image.components) == 1:  # alone, a component has one block a macro block
+                    image.components[0].h = image.components[0].v = 1
                 top_h, top_v = max(c.h for c in image.components), max(c.v for c in image.components)
                 across, down = -(-image.width // (8 * top_h)), -(-image.height // (8 * top_v))
                 for c in image.components:
                     c.rows, c.cols, c.base = down * c.v, across * c.h, self.blocks
+                    c.high, c.wide = -(-image.height * c.v // (8 * top_v)), -(-image.width * c.h // (8 * top_h))
                     self.blocks += c.rows * c.cols
             elif kind == 0xC4:
                 i = 0
@@ -317,6 +327,8 @@ class _Batch:
                 self.scans.append((image, [c for c, _ in chosen], low, high, approx >> 4, approx & 15, tables, count, restart))
                 following = stop
             at = following
+        if not image.components:
+            raise ValueError("no frame")
         self.images.append(image)
 
 
@@ -340,6 +352,7 @@ def _coefficients(batch: _Batch) -> np.ndarray:
     out = np.zeros(batch.blocks * 64, np.int32)
     sizes = np.array([len(d) for d in batch.data], np.int64)
     begin = (np.cumsum(sizes) - sizes) * 8
+    stop = begin + sizes * 8
     raw = np.frombuffer(b"".join(batch.data) + b"\xff" * 16, np.uint8)
     words = np.zeros(len(raw) - 8, np.uint64)
     for i in range(8):
@@ -356,31 +369,41 @@ def _coefficients(batch: _Batch) -> np.ndarray:
     for (refine, _, ac), scans in sorted(groups.items()):
         if ac:
             cols = _ac_segments(scans)
-            (_refine_ac if refine else _first_ac)(out, raw, words, luts, begin, cols)
+            (_refine_ac if refine else _first_ac)(out, raw, words, luts, begin, stop, *cols)
         else:
-            _dc(out, raw, words, luts, begin, scans, refine)
+            _dc(out, raw, words, luts, begin, stop, scans, refine)
     return out.reshape(-1, 64)
 
 
-def _ac_segments(scans: list[tuple[int, tuple]]) -> list[np.ndarray]:
-    """By segment: its number, first block, end block, low, high, shift, table (one component a scan)."""
-    rows = []
-    for at, (image, (c,), low, high, _, shift, (table,), count, restart) in scans:
-        top_h, top_v = max(x.h for x in image.components), max(x.v for x in image.components)
-        if image.width % (8 * top_h) or image.height % (8 * top_v):
-            # padding blocks of interleaved scans are not coded here; only whole-macro-block images are laid out for it
-            raise ValueError("image sides must be multiples of a macro block")
-        total = c.rows * c.cols
-        rows.append((at, c.base, total, restart or total, low, high, shift, table, count))
+def _ac_segments(scans: list[tuple[int, tuple]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The stored block of each coded one, and by segment: its number, first coded block, end block, low, high, shift, table (one component a scan).
+
+    Such scans code a component's own blocks only, without the padding to whole macro blocks.
+    """
+    rows, places, first = [], [], 0
+    for at, (_, (c,), low, high, _, shift, (table,), count, restart) in scans:
+        total = c.wide * c.high
+        unit = np.arange(total)
+        places.append(c.base + unit // c.wide * c.cols + unit % c.wide)
+        rows.append((at, first, total, restart or total, low, high, shift, table, count))
+        first += total
     at, base, total, step, low, high, shift, table, count = np.array(rows, np.int64).T
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at, base, total, step, low, high, shift, table = (np.repeat(x, count) for x in (at, base, total, step, low, high, shift, table))
-    return [at + nth, base + nth * step, base + np.minimum((nth + 1) * step, total), low, high, shift, table]
+    block, end = base + nth * step, base + np.minimum((nth + 1) * step, total)
+    if (block >= end).any():
+        raise ValueError("more segments than blocks")
+    return np.concatenate(places), [at + nth, block, end, low, high, shift, table]
+
+
+def _ended(pos: np.ndarray, stop: np.ndarray) -> None:
+    if (pos > stop).any():
+        raise ValueError("entropy-coded data end early")
 
 
-def _first_ac(out, raw, words, luts, begin, cols) -> None:
+def _first_ac(out, raw, words, luts, begin, stop, place, cols) -> None:
     number, block, end, low, high, shift, table = cols
-    pos, k = begin[number].copy(), low.copy()
+    pos, stop, k = begin[number].copy(), stop[number], low.copy()
     table = table << 16
     while len(block):
         window = _window(words, pos)
@@ -393,8 +416,10 @@ def _first_ac(out, raw, words, luts, begin, cols) -> None:
         bits = _take(window, used, extra)
         pos = pos + used + extra
         k = k + np.where(ended, 0, run)
+        if (k > high)[~ended].any():
+            raise ValueError("a run of zeros beyond the band")
         put = ~plain
-        where = block * 64 + k
+        where = place[block] * 64 + k
         if put.all():
             out[where] = _extend(bits, size) << shift
         else:
@@ -405,12 +430,13 @@ def _first_ac(out, raw, words, luts, begin, cols) -> None:
         k = np.where(done, low, k)
         live = block < end
         if not live.all():
-            pos, k, block, end, low, high, shift, table = (x[live] for x in (pos, k, block, end, low, high, shift, table))
+            _ended(pos[~live], stop[~live])
+            pos, stop, k, block, end, low, high, shift, table = (x[live] for x in (pos, stop, k, block, end, low, high, shift, table))
 
 
-def _refine_ac(out, raw, words, luts, begin, cols) -> None:
+def _refine_ac(out, raw, words, luts, begin, stop, place, cols) -> None:
     number, block, end, low, high, shift, table = cols
-    pos, k = begin[number].copy(), low.copy()
+    pos, stop, k = begin[number].copy(), stop[number], low.copy()
     table = table << 16
     run = np.zeros(len(block), np.int64)  # zero coefficients still to pass
     fresh = np.zeros(len(block), np.int64)  # value to put after them
@@ -430,7 +456,7 @@ def _refine_ac(out, raw, words, luts, begin, cols) -> None:
             run[ask] = r
             fresh[ask] = np.where(size > 0, np.where(bits > 0, 1, -1) << shift[ask], 0)
             need[ask] = False
-        where = block * 64 + k
+        where = place[block] * 64 + k
         now = out[where]
         old = now != 0
         bit = raw[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8) & 1
@@ -438,9 +464,9 @@ def _refine_ac(out, raw, words, luts, begin, cols) -> None:
         pos = pos + old
         if not old.all():
             free = ~old & (rest == 0)
-            place = free & (run == 0)
-            out[where[place]] = fresh[place]
-            need |= place
+            put = free & (run == 0)
+            out[where[put]] = fresh[put]
+            need |= put
             run = run - free
         k = k + 1
         done = k > high
@@ -451,10 +477,11 @@ def _refine_ac(out, raw, words, luts, begin, cols) -> None:
             need |= done
             live = block < end
             if not live.all():
-                pos, k, block, end, low, high, shift, table, run, fresh, rest, need = (x[live] for x in (pos, k, block, end, low, high, shift, table, run, fresh, rest, need))
+                _ended(pos[~live], stop[~live])
+                pos, stop, k, block, end, low, high, shift, table, run, fresh, rest, need = (x[live] for x in (pos, stop, k, block, end, low, high, shift, table, run, fresh, rest, need))
 
 
-def _dc(out, raw, words, luts, begin, scans, refine: bool) -> None:
+def _dc(out, raw, words, luts, begin, stop, scans, refine: bool) -> None:
     """DC scans: the blocks of each segment in coding order as rows, one column a step."""
     groups: dict[tuple, list] = {}
     for at, s in scans:
@@ -464,7 +491,7 @@ def _dc(out, raw, words, luts, begin, scans, refine: bool) -> None:
         where, number, table, shift = [], [], [], []
         per = sum(h * v for h, v in shape)
         for at, (image, chosen, _, _, _, sh, tables, count, _) in members:
-            across, down = chosen[0].cols // shape[0][0], chosen[0].rows // shape[0][1]
+            across, down = (chosen[0].cols // shape[0][0], chosen[0].rows // shape[0][1]) if len(chosen) > 1 else (chosen[0].wide, chosen[0].high)
             unit = np.arange(across * down)
             parts = []
             for c, (h, v) in zip(chosen, shape, strict=True):
@@ -482,7 +509,8 @@ def _dc(out, raw, words, luts, begin, scans, refine: bool) -> None:
             widest = max(w.shape[1] for w in where)
             where = [np.pad(w, ((0, 0), (0, widest - w.shape[1])), constant_values=-1) for w in where]
         grid, shift = np.concatenate(where), np.concatenate(shift)
-        pos, table = begin[np.concatenate(number)].copy(), np.concatenate(table) << 16
+        number = np.concatenate(number)
+        pos, table = begin[number].copy(), np.concatenate(table) << 16
         component = [i for i, (h, v) in enumerate(shape) for _ in range(h * v)]
         before = np.zeros((len(grid), len(shape)), np.int64)
         for j in range(grid.shape[1]):
@@ -500,6 +528,7 @@ def _dc(out, raw, words, luts, begin, scans, refine: bool) -> None:
                 before[:, c] = np.where(live, value, before[:, c])
                 out[block[live] * 64] = (value << shift)[live]
                 pos = pos + np.where(live, used + size, 0)
+        _ended(pos, stop[number])
 
 
 @dataclass
@@ -513,11 +542,14 @@ class Decoded:
 
     def rgb(self) -> np.ndarray:
         """Full-resolution tensor (height, width, 3) of 8-bit samples; chroma is repeated up to luma's size."""
-        top = self.planes[0].shape
-        y, cb, cr = (np.repeat(np.repeat(p, top[0] // p.shape[0], axis=0), top[1] // p.shape[1], axis=1).astype(np.int32) for p in self.planes)
+        if len(self.planes) == 1:
+            return np.repeat(self.planes[0][: self.height, : self.width, None], 3, axis=2)
+        # every plane covers the same area of whole macro blocks
+        top = [max(p.shape[i] for p in self.planes) for i in (0, 1)]
+        y, cb, cr = (p[np.ix_(np.arange(self.height) * p.shape[0] // top[0], np.arange(self.width) * p.shape[1] // top[1])].astype(np.int32) for p in self.planes)
         cb, cr = cb - 128, cr - 128
         red, green, blue = y + (91881 * cr + 32768 >> 16), y - (22554 * cb + 46802 * cr + 32768 >> 16), y + (116130 * cb + 32768 >> 16)
-        return np.clip(np.stack([red, green, blue], axis=2), 0, 255).astype(np.uint8)[: self.height, : self.width]
+        return np.clip(np.stack([red, green, blue], axis=2), 0, 255).astype(np.uint8)
 
 
 def decode(images: list[bytes]) -> list[Decoded]:
@@ -543,6 +575,17 @@ def decode(images: list[bytes]) -> list[Decoded]:
     return out
 
 
+def decode_each(images: list[bytes]) -> list[Decoded | str]:
+    """``decode``, with a reason for each image that cannot be read; halves are tried apart until it is found."""
+    try:
+        return decode(images)
+    except (ArithmeticError, LookupError, StopIteration, ValueError) as error:
+        if len(images) == 1:
+            return [str(error) if type(error) is ValueError and error.args else f"broken off ({type(error).__name__})"]
+        half = len(images) // 2
+        return decode_each(images[:half]) + decode_each(images[half:])
+
+
 def payload_of(image: Decoded) -> bytes:
     """The bytes that ``encode`` stored, with the fill after them."""
     whole = np.concatenate([c.ravel() for c in image.coefficients])
@@ -574,21 +617,20 @@ def media(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def tensors(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``__keep``, ``height``, ``width`` and ``rgb`` (row-major 8-bit samples, three a pixel) of JPEGs in ``media``."""
+    """``__keep``, ``height``, ``width`` and ``rgb`` (row-major 8-bit samples, three a pixel) of JPEGs in ``media``; ``reason`` where these are null."""
 
     def run(batch: list[bytes | None]) -> list[list]:
-        h, w, px = [], [], []
+        h, w, px, why = [], [], [], []
         for s in slices([len(x or b"") for x in batch], SLICE):
-            part = [x for x in batch[s] if x is not None]
-            got = iter(decode(part))
-            for x in batch[s]:
-                image = next(got) if x is not None else None
-                h.append(image and image.height)
-                w.append(image and image.width)
-                px.append(image and image.rgb().tobytes())
-        return [h, w, px]
-
-    return per_text(rows, keep, "height int, width int, rgb binary", run, "media")
+            for image in decode_each([x or b"" for x in batch[s]]):
+                good = isinstance(image, Decoded)
+                h.append(image.height if good else None)
+                w.append(image.width if good else None)
+                px.append(image.rgb().tobytes() if good else None)
+                why.append(None if good else image)
+        return [h, w, px, why]
+
+    return per_text(rows, keep, "height int, width int, rgb binary, reason string", run, "media")
 
 
 def _read_back(batch: list[bytes]) -> list[list]:

@@ -139,6 +139,58 @@ def test_reads_sparse_refined_files():
         assert all((got.coefficients[c] == blocks[c]).all() for c in range(3))
 
 
+def odd_file(width, height, shape, rnd):
+    """A file of any sides and sampling, and its coefficients by component with the padding to whole macro blocks."""
+    top = [max(x) for x in zip(*shape, strict=True)] if len(shape) > 1 else [1, 1]
+    across, down = -(-width // (8 * top[0])), -(-height // (8 * top[1]))
+    comps, real = [], []
+    for h, v in shape if len(shape) > 1 else [(1, 1)]:
+        grid = rnd.integers(-40, 40, (down * v, across * h, 64)) * (rnd.random((down * v, across * h, 64)) < 0.2)
+        size = -(-height * v // (8 * top[1])), -(-width * h // (8 * top[0]))
+        outside = np.ones(grid.shape[:2], bool)
+        outside[: size[0], : size[1]] = False
+        grid[outside, 1:] = 0  # scans of one component do not code the padding
+        comps.append(grid)
+        real.append(grid[: size[0], : size[1]].reshape(-1, 64))
+    table = lambda kind: M._marker(0xC4, bytes([kind, *[0] * 7, 0xFB, *[0] * 8, *range(0xFB)]))
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(shape), *(x for i, (h, v) in enumerate(shape) for x in (i + 1, h << 4 | v, 0))])
+    out = b"\xff\xd8" + M._marker(0xDB, bytes([0] + [1] * 64)) + M._marker(0xC2, frame) + table(0x00) + table(0x10)
+    w, before = Bits(), [0] * len(shape)
+    order = [(c, y * v + j, x * h + i) for y in range(down) for x in range(across) for c, (h, v) in enumerate(shape if len(shape) > 1 else [(1, 1)]) for j in range(v) for i in range(h)]
+    for c, y, x in order:
+        value = int(comps[c][y, x, 0])
+        d, before[c] = value - before[c], value
+        w.symbol(size_of(d))
+        extra(w, d, size_of(d))
+    out += M._scan([(i + 1, 0) for i in range(len(shape))], 0, 0, 0, 0) + w.bytes()
+    for c, blocks in enumerate(real):
+        out += M._scan([(c + 1, 0)], 1, 63, 0, 1) + ac_first(blocks, 1, 63, 1)
+        out += M._scan([(c + 1, 0)], 1, 63, 1, 0) + ac_refine(blocks, 1, 63, 0)
+    return out + b"\xff\xd9", comps
+
+
+CASES = [(17, 9, [(2, 2), (1, 1), (1, 1)]), (1, 1, [(2, 1), (1, 1), (1, 1)]), (30, 41, [(1, 2), (1, 1), (1, 1)]), (23, 50, [(1, 1)]), (40, 8, [(2, 2)]), (33, 33, [(4, 1), (2, 1), (1, 1)]), (50, 20, [(1, 1), (2, 2), (1, 2)])]
+
+
+def test_reads_any_sides_and_grey_images():
+    rnd = np.random.default_rng(6)
+    made = [odd_file(*case, rnd) for case in CASES]
+    for (width, height, _), (_, comps), got in zip(CASES, made, M.decode([raw for raw, _ in made]), strict=True):
+        assert got.rgb().shape == (height, width, 3)
+        assert all((a == b.reshape(-1, 64)).all() for a, b in zip(got.coefficients, comps, strict=True))
+
+
+def test_what_cannot_be_read_has_a_reason(spark):
+    raw, _ = odd_file(*CASES[0], np.random.default_rng(7))
+    good = M.encode([b"x" * 192])[0]
+    bad = [b"", b"GIF89a", raw[:300], raw[: len(raw) * 2 // 3], good[:40], good[:-400], b"\xff\xd8\xff\xd9", raw.replace(b"\xff\xc2", b"\xff\xc0"), b"\xff\xd8" + bytes(range(256)) * 3]
+    rows = [(i, x) for i, x in enumerate([good, raw, *bad, None, good])]
+    got = {r.i: r for r in M.tensors(spark.createDataFrame(rows, "i int, media binary"), ["i"]).select("__keep.i", "height", "width", "rgb", "reason").collect()}
+    for i, r in got.items():
+        assert (r.reason is None) == (i in (0, 1, len(rows) - 1)) == (r.rgb is not None), (i, r.reason)
+    assert got[0].rgb == got[len(rows) - 1].rgb and len(got[1].rgb) == 3 * 17 * 9
+
+
 def test_pixels_equal_the_plain_inverse_transform():
     rnd = np.random.default_rng(4)
     blocks = rnd.integers(-20, 20, (3, 4, 64)) * (rnd.random((3, 4, 64)) < 0.2)
