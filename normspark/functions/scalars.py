@@ -141,6 +141,7 @@ def article_label(x: Column) -> Column:
     return F.when(F.contains(n, F.lit("-")), F.concat(base, F.lit("-"), F.upper(F.regexp_extract(n, "-(.*)$", 1)))).otherwise(base)
 
 
+# Fixed value: how a drafting note names the amending law.
 _NOTE_LAW = r"(?iu)Lei\s+n[º°o]?\s*([\d.]+)\s*,?\s*de\s*(\d{4})"
 
 
@@ -286,6 +287,7 @@ def query_type(x: Column) -> Column:
     return F.get(F.transform(F.array(normalize_query(x)), named), F.lit(0))
 
 
+# How articles and numbers are written in a query.
 _ARTICLE = r"(?iu)\b(?:art(?:igo)?\.?\s*)(\d+[a-z]?)\b"
 _NUMBER_YEAR = r"(?iu)(?<!\d)(\d{1,3}(?:[.\s]\d{3})*|\d{4,8})(?:-(\d+))?\s*(?:/|\s+de\s+|\s+)(\d{2,4})(?!\d)"
 _NUMBER = r"(?iu)(?<!\d)(\d{1,3}(?:[.\s]\d{3})+|\d{4,8})(?:-(\d+))?(?!\d)"

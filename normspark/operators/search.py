@@ -1,8 +1,8 @@
 """Batch search: a table of queries against a catalog, stage by stage as joins on precomputed keys.
 
 ``queries``: ``query_id``, ``query``. ``catalog``: ``slug``, ``title``, ``description``, ``aliases`` (array), ``law_type``,
-``number``, ``year``, ``hot`` and ``hydrated_at``. A stage's candidates count only where no earlier stage found
-any for the query. Nothing scans the catalog per query: every stage is an equi join on exploded keys.
+``number``, ``year``, ``hot`` and ``hydrated_at``. A stage runs only for the queries that no earlier stage found
+anything for. Nothing scans the catalog per query: every stage is an equi join on exploded keys.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from normspark.functions.scalars import adjacent_transpositions, digits_only, dotted, normalize_query, parse_query
+from normspark.functions.scalars import adjacent_transpositions, digits_only, normalize_query, parse_query
+from normspark.storage import stored
 
 
 def parsed(queries: DataFrame) -> DataFrame:
@@ -214,9 +215,14 @@ def ranked(rows: DataFrame, limit: int) -> DataFrame:
 
 def search(queries: DataFrame, catalog: DataFrame, articles: DataFrame | None = None, limit: int = 10, native: bool = False) -> DataFrame:
     """``query_id, rank, slug, score, stage, suggestion``. ``native`` scores by edit distance without Python."""
-    q, laws = parsed(queries), prepared(catalog)
-    found = by_number(q, laws).unionByName(by_transposition(q, laws)).unionByName(by_terms(q, laws)).unionByName(by_prefix(q, laws)).unionByName(fallback(q, laws))
-    pairs = first_stage(found).join(q, "query_id").join(laws, "slug")
+    q, laws = stored(parsed(queries), "queries"), stored(prepared(catalog), "laws")
+    found, left = None, q
+    for stage in (by_number, by_transposition, by_terms, by_prefix, fallback):
+        # a stage runs for the queries that none before it has found anything for
+        hits = stored(stage(left, laws), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        left = left.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    pairs = found.join(q, "query_id").join(laws, "slug")
     # what is certain without any ratio comes first: exact hits hide the others, and 700 is the most a ratio can give
     rows = scored(pairs, F.lit(0.0))
     rows = rows.withColumn("__any", F.max("exact").over(Window.partitionBy("query_id"))).where(F.col("p.article").isNotNull() | ~F.col("__any") | F.col("exact")).drop("__any")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from normspark.plans import catalog, changes, documents, reports, search, streams  # noqa: F401  (they register)
+from normspark.plans import catalog, changes, documents, readers, reports, search, streams  # noqa: F401  (they register)
 from normspark.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "e15_batch_search"

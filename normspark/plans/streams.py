@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normspark.plans.registry import Tables, query
+from normspark.storage import shared_dir
 from normspark.streaming import jobs as I  # noqa: E741
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder for checkpoints and results, below the shared folder that the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="normspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/normspark/stream-{name}-{uuid.uuid4().hex}"
+    return shared_dir(spark, f"stream-{name}")
 
 
 def _landed(rows: DataFrame, name: str, files: int = 4) -> str:
@@ -45,7 +38,7 @@ def _events(t: Tables) -> DataFrame:
 @query("SELECT event_id, user_id FROM events")
 def i2_deduplicated(t: Tables) -> DataFrame:
     rows = _events(t)
-    source = _landed(rows.unionByName(rows), "twice", 1)
+    source = _landed(rows.unionByName(rows), "twice", 6)  # an event and its repeat mostly land in different files
     out = I.drained(t.spark, source, rows.schema, lambda s: I.deduplicated(s, "event_id", "ts", "400 days"), "append", _folder(t.spark, "state"), _folder(t.spark, "out"))
     return out.select("event_id", "user_id")
 
@@ -76,13 +69,11 @@ def i3_request_budget_stream(t: Tables) -> DataFrame:
 
 @query("""
 WITH b AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), a AS (SELECT max(ts) AS as_of FROM events)
-SELECT user_id, CASE WHEN floor(epoch(as_of)) - floor(epoch(last)) > 86400 THEN 'stale' ELSE 'fresh' END AS health FROM b, a""")
+SELECT user_id, (floor(epoch(as_of)) - floor(epoch(last)))::BIGINT AS age, CASE WHEN floor(epoch(as_of)) - floor(epoch(last)) > 86400 THEN 'stale' ELSE 'fresh' END AS health FROM b, a""")
 def i4_heartbeats(t: Tables) -> DataFrame:
     rows = _events(t)
-    as_of = rows.agg(F.max("ts").alias("as_of"))
-    beats = rows.join(F.broadcast(as_of))  # one row
-    out = beats.groupBy("user_id").agg(F.max("as_of").alias("as_of"), F.max("ts").alias("ts"))
-    return I.heartbeats(out.select("user_id", "ts"), "user_id", "ts", F.lit(None).cast("timestamp"), 86400).select("user_id").join(out, "user_id").select("user_id", F.when(F.unix_seconds("as_of") - F.unix_seconds("ts") > 86400, "stale").otherwise("fresh").alias("health"))
+    as_of = rows.agg(F.max("ts").alias("as_of")).first()["as_of"]  # one value
+    return I.heartbeats(rows, "user_id", "ts", F.lit(as_of), 86400).select("user_id", "age", "health")
 
 
 _FOLD = "SELECT user_id, arg_max(event_type, (ts, event_id::VARCHAR)) AS status, count(*) AS events FROM events GROUP BY 1"
@@ -122,6 +113,25 @@ def i7_depth_stream(t: Tables) -> DataFrame:
     return out.groupBy("event_type").agg(F.max("n").alias("n"))
 
 
-@query("SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-10') AS late, count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS in_time FROM events")
+_CUT = "2024-01-10"
+
+
+@query(f"SELECT count(*) FILTER (ts < TIMESTAMP '{_CUT}') AS late, count(*) FILTER (ts >= TIMESTAMP '{_CUT}') AS in_time FROM events")
 def i8_late_rows(t: Tables) -> DataFrame:
-    return I.late_rows(_events(t), "ts", F.expr("timestamp '2024-01-10'"))
+    return I.late_rows(_events(t), "ts", F.expr(f"timestamp '{_CUT}'"))
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE::VARCHAR AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{_CUT}' GROUP BY 1")
+def i8_late_rows_stream(t: Tables) -> DataFrame:
+    """Events from the cut on land first and move the watermark past it; those before it come behind and are dropped."""
+    rows = _events(t)
+    source = _folder(t.spark, "late")
+    late = F.col("ts") < F.expr(f"timestamp '{_CUT}'")
+    rows.where(~late).repartition(1).write.parquet(source)
+    span = rows.where(~late).agg(F.datediff(F.max("ts"), F.lit(_CUT)).alias("d")).first()["d"] or 0  # one number
+    build = lambda s: I.daily(s, "ts", f"{span} days")
+    target, state = _folder(t.spark, "out"), _folder(t.spark, "state")
+    I.drained(t.spark, source, rows.schema, build, "update", state, target)
+    rows.where(late).repartition(2).write.mode("append").parquet(source)
+    out = I.drained(t.spark, source, rows.schema, build, "update", state, target)
+    return out.groupBy("day").agg(F.max_by("n", "batch").alias("n")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from normspark import schemas
 from normspark.functions.scalars import any_date, collapse, official_number
 from normspark.operators.catalog import reject_reasons
+from normspark.storage import stored
 
 
 def _text(x: str | Column) -> Column:
@@ -105,6 +106,19 @@ def write_partitioned(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def merge_partitioned(rows: DataFrame, path: str, by: str, key: list[str]) -> None:
+    """Merge ``rows`` into the table at ``path``: rows of the same ``by`` and ``key`` are replaced, others kept; only touched partitions are written."""
+    spark = rows.sparkSession
+    rows = stored(rows, "incoming")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        old = spark.read.schema(rows.schema).parquet(path)
+        touched = rows.select(by).distinct()
+        kept = old.join(touched, by, "left_semi").join(rows.select(by, *key), [by, *key], "left_anti").select(*rows.columns)
+        rows = stored(kept.unionByName(rows), "merged")  # read before its partitions are overwritten
+    write_partitioned(rows, path, by)
+
+
 #: The curated seed laws.
 SEEDS = (
     ("lgpd", "Lei", "13.709", 2018, "Lei Geral de Proteção de Dados Pessoais", ("LGPD", "Lei de proteção de dados")),

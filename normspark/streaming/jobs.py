@@ -93,6 +93,11 @@ def late_rows(batch: DataFrame, at: str, watermark: Column) -> DataFrame:
     return batch.agg(F.count_if(F.col(at) < watermark).alias("late"), F.count_if(F.col(at) >= watermark).alias("in_time"))
 
 
+def daily(events: DataFrame, at: str, watermark: str) -> DataFrame:
+    """Events by day; days that the watermark has passed take no more rows."""
+    return events.withWatermark(at, watermark).groupBy(F.window(at, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "n")
+
+
 def drained(spark: SparkSession, path: str, schema, build: Callable[[DataFrame], DataFrame], mode: str, checkpoint: str, target: str) -> DataFrame:
     """Run ``build`` over the files at ``path`` as a stream until all are read; every emitted row is in the result table."""
     stream = spark.readStream.schema(schema).parquet(path)
