@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import codecs
+import encodings
+import pkgutil
 import re
 from collections.abc import Iterator
+from encodings.aliases import aliases
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,13 +30,27 @@ VARIANT_NOTE = "Passagem repetida no mesmo documento oficial; escopo precisa de
 _META = re.compile(rb"<meta[^>]+charset\s*=\s*['\"]?([a-z0-9._-]+)", re.I)
 
 
+@lru_cache(maxsize=1)
+def charset_names() -> dict[str, str]:
+    """Every label that names a codec, spelt with underscores, and the codec's own name."""
+    out = {}
+    for label in {*aliases, *(m.name for m in pkgutil.iter_modules(encodings.__path__))}:
+        try:
+            out[label] = codecs.lookup(label).name
+        except (ImportError, LookupError):  # a module that is no codec here
+            continue
+    return out
+
+
 def declared_charset(body: Column) -> Column:
-    """The charset of a byte-order mark or of a ``<meta>`` in the first 4,096 bytes, else ISO-8859-1."""
+    """The charset of a byte-order mark or of a ``<meta>`` in the first 4,096 bytes by its codec's name; ISO-8859-1 for none or an unknown label."""
     head = F.decode(F.substring(body, 1, 4096), "ISO-8859-1")
     start = F.hex(F.substring(body, 1, 3))
-    meta = F.lower(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*['\"]?([a-z0-9._-]+)", 1))
+    label = F.regexp_replace(F.lower(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*['\"]?([a-z0-9._-]+)", 1)), "[^a-z0-9.]+", "_")
+    names = F.create_map(*(F.lit(x) for pair in sorted(charset_names().items()) for x in pair))
     return (
-        F.when(start.startswith("FFFE"), "utf-16le").when(start.startswith("FEFF"), "utf-16be").when(start == "EFBBBF", "utf-8").when(meta != "", meta).otherwise("iso-8859-1")
+        F.when(start.startswith("FFFE"), "utf-16le").when(start.startswith("FEFF"), "utf-16be").when(start == "EFBBBF", "utf-8")
+        .otherwise(F.coalesce(F.try_element_at(names, F.regexp_replace(label, r"\.", "_")), F.lit("iso-8859-1")))
     )
 
 
@@ -45,13 +63,12 @@ def decode_body(body: bytes) -> str:
         return body.decode("utf-16", "replace")
     if body.startswith(b"\xef\xbb\xbf"):
         return body.decode("utf-8-sig", "replace")
-    charset = "windows-1252"
     if m := _META.search(body[:4096]):
         try:
-            charset = codecs.lookup(m[1].decode("ascii")).name
-        except LookupError:
+            return body.decode(codecs.lookup(m[1].decode("ascii")).name, "replace")
+        except (LookupError, UnicodeError):  # no codec, or none of texts
             pass
-    return body.decode(charset, "replace")
+    return body.decode("windows-1252", "replace")
 
 
 class _Paragraphs(HTMLParser):

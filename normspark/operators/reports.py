@@ -90,5 +90,19 @@ def greedy_batches(rows: DataFrame, bucket: str, key: str, size: str, max_rows:
     return part.groupBy(bucket).applyInPandas(cut, f"{kinds}, batch long")
 
 
+def coverage_status(laws: DataFrame, key: str, snapshots: DataFrame, nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """What is known of each law: ``laws`` (``key``, ``history`` as it was), ``snapshots`` (``key``), ``nodes`` (``key``, ``node_type``), ``changes`` (``key``, ``linked``: found in this text)."""
+    seen = snapshots.select(key).distinct().withColumn("__s", F.lit(True))
+    kinds = nodes.groupBy(key).agg(F.bool_or(F.col("node_type") == "document").alias("__whole"))
+    known = changes.groupBy(key).agg(F.bool_or("linked").alias("__linked"))
+    rows = laws.join(seen, key, "left").join(kinds, key, "left").join(known, key, "left")
+    return rows.select(
+        key, F.when(F.col("__s"), "available").otherwise("not_materialized").alias("official_source"),
+        F.when(~F.coalesce("__s", F.lit(False)), "not_materialized").when(F.col("__whole"), "unstructured").otherwise("partial").alias("structured_text"),
+        F.when(F.col("__linked").isNotNull(), "partial").otherwise(F.coalesce("history", F.lit("not_materialized"))).alias("history"),
+        F.when(F.col("__linked"), "partial").otherwise("not_identified").alias("attribution"),
+    )
+
+
 def capacity_left(requested: Column, active: Column, cap: int) -> Column:
     return F.least(requested, F.greatest(F.lit(0), F.lit(cap) - active))

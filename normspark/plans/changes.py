@@ -34,9 +34,10 @@ def d2_newest_change(t: Tables) -> DataFrame:
     return out.select("l_partkey", "l_suppkey", "y", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'altera|revoga|restaura|acrescenta|inclui|suprime|substitui')")
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IN ('R', 'A')")
 def d3_change_words(t: Tables) -> DataFrame:
-    return t.documents.where(D.is_change(F.col("text"))).select("doc_id")
+    relation = F.when(F.col("l_returnflag") == "R", "Revogado pelo ato").when(F.col("l_returnflag") == "A", "ALTERADO por lei").otherwise("Publicado")
+    return t.lineitem.where(D.is_change(relation)).select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -74,17 +75,28 @@ def d7_compared(t: Tables) -> DataFrame:
     return D.compared(*_pairs(t))
 
 
+_FLAT = "regexp_replace(replace(lower({}), 'ß', 'ss'), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_FLAT.format('text')} AS t FROM documents), p AS (SELECT item_id, {_FLAT.format('text')} AS p FROM benchmark)
+SELECT item_id, doc_id FROM p JOIN d ON length(p) >= 40 AND contains(t, p)""")
+def d8_verified_additions(t: Tables) -> DataFrame:
+    """Passages of 40 letters and digits or more, compared by these only."""
+    return D.flat_passages(t.documents, t.benchmark)
+
+
 @query("""
 WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS p FROM benchmark)
 SELECT item_id, doc_id FROM p JOIN d ON contains(t, p) AND len(string_split(p, ' ')) >= 8
   AND contains(' ' || t || ' ', ' ' || array_to_string(string_split(p, ' ')[1:8], ' ') || ' ')""")
-def d8_verified_additions(t: Tables) -> DataFrame:
+def d8_word_passages(t: Tables) -> DataFrame:
     return D.contained_passages(t.documents, t.benchmark)
 
 
 @query()
 def d8_verified_additions_all(t: Tables) -> DataFrame:
-    """Passages of any number of words, compared by letters and digits only; the tests compare with brute force."""
+    """The same without SQL; the tests compare with brute force, letters of any script included."""
     return D.flat_passages(t.documents, t.benchmark)
 
 

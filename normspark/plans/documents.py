@@ -59,9 +59,21 @@ def b3_paragraphs(t: Tables) -> DataFrame:
     return B.paragraphs(pages, "page_id", "html").select("page_id", F.size("lines").alias("n"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest"), "struck", "pdfs")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<(p|li)[ >]')) AS markers FROM pages")
-def b3_paragraph_markers(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?i)<(p|li)[ >]"), F.lit(0))).cast("long").alias("markers"))
+@query(f"""WITH {_LINES},
+x AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 4 THEN '{B.STRUCK[0]} ' || raw || ' {B.STRUCK[1]}' ELSE raw END AS line FROM l),
+g AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS t, count(*) FILTER (pos % 5 = 4) AS struck, count(*) FILTER (pos % 7 = 6) AS pdfs FROM x GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n, sha256(coalesce(t, '')) AS digest, coalesce(struck, 0)::INTEGER AS struck, coalesce(pdfs, 0)::INTEGER AS pdfs FROM documents LEFT JOIN g USING (doc_id)""")
+def b3_rendered_paragraphs(t: Tables) -> DataFrame:
+    """Documents rendered as pages of ``<p>`` and ``<li>`` with struck lines and links, in UTF-8 by ``<meta>`` or UTF-16 by mark, and read back."""
+    def line(x: Column, i: Column) -> Column:
+        x = F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        x = F.concat(F.when(i % 5 == 4, F.concat(F.lit("<del>"), x, F.lit("</del>"))).otherwise(x), F.when(i % 7 == 6, '<a href="/anexo.PDF?v=1"></a>').otherwise(""))
+        return F.when(i % 2 == 0, F.concat(F.lit("<p>"), x, F.lit("</p>"))).otherwise(F.concat(F.lit("<li>  "), x, F.lit("</li>\n")))
+
+    html = F.concat(F.lit("<html><head><META http-equiv=x charset='UTF-8'><style>p {}</style></head>"), F.array_join(F.transform(_split_lines(F.col("text")), line), ""), F.lit("<script>no</script></html>"))
+    body = F.when(F.col("doc_id") % 3 == 0, F.encode(html, "UTF-16")).otherwise(F.encode(html, "UTF-8"))
+    got = B.paragraphs(t.documents.select("doc_id", body.alias("body")), "doc_id", "body")
+    return got.select("doc_id", F.size("lines").cast("long").alias("n"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest"), "struck", "pdfs")
 
 
 @query(f"""WITH {_LINES}
@@ -90,28 +102,33 @@ def b8_components(t: Tables) -> DataFrame:
     return B.after_last_heading(rows, "doc_id", "pos", F.length("raw") % 7 == 0).select("doc_id", "pos", "component")
 
 
+def _by_order(t: Tables, line: Column) -> DataFrame:
+    """``l_orderkey`` and the lines that its items give, in order."""
+    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))).alias("s"))
+    return items.select("l_orderkey", F.transform("s", lambda s: s["x"]).alias("lines"))
+
+
 @query("""
-SELECT doc_id, CASE WHEN rn = 1 THEN 'node' WHEN text = first_text THEN 'repeat' ELSE 'variant' END AS kind FROM (
-  SELECT doc_id, text, row_number() OVER w AS rn, first_value(text) OVER w AS first_text FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id))""")
+WITH o AS (SELECT l_orderkey, 'vale ' || l_returnflag AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS k FROM lineitem),
+f AS (SELECT *, first_value(text) OVER (PARTITION BY l_orderkey ORDER BY k) AS ft FROM o),
+kept AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS i FROM f WHERE k = 1 OR text <> ft)
+SELECT l_orderkey, CASE WHEN k = 1 THEN 'art:1' ELSE 'art:1.source-variant:' || i END AS node_id, CASE WHEN k = 1 THEN 'article' ELSE 'variant' END AS node_type, text FROM kept""")
 def b9_variants(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    rows = t.documents.select("doc_id", "source", "lang", F.sha2("text", 256).alias("x")).withColumn("rn", F.row_number().over(w)).withColumn("f", F.first("x").over(w))
-    return rows.select("doc_id", F.when(F.col("rn") == 1, "node").when(F.col("x") == F.col("f"), "repeat").otherwise("variant").alias("kind"))
+    """The same article once for each item of an order: equal texts merge, others become variants."""
+    docs = _by_order(t, F.concat(F.lit("Art. 1º vale "), "l_returnflag"))
+    return B.legal_nodes(docs, "l_orderkey").select("l_orderkey", "node_id", "node_type", "text")
 
 
 @query("""
-WITH RECURSIVE o AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
-f AS (SELECT conv_id, k, text AS acc FROM o WHERE k = 1 UNION ALL
-  SELECT o.conv_id, o.k, CASE WHEN contains(f.acc, o.text) THEN f.acc ELSE trim(f.acc || ' ' || o.text) END FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1)
-SELECT conv_id, sha256(arg_max(acc, k)) AS digest FROM f GROUP BY 1""")
+WITH RECURSIVE o AS (SELECT l_orderkey, 'segue ' || l_returnflag || l_partkey % 10 AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey % 10) AS k FROM lineitem),
+f AS (SELECT l_orderkey, k, 'base ' || text AS acc FROM o WHERE k = 1 UNION ALL
+  SELECT o.l_orderkey, o.k, CASE WHEN contains(f.acc, o.text) THEN f.acc ELSE f.acc || ' ' || o.text END FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.k = f.k + 1)
+SELECT l_orderkey, 'art:1' AS node_id, arg_max(acc, k) AS text FROM f GROUP BY 1""")
 def b10_continuations(t: Tables) -> DataFrame:
-    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
-    first = F.get("x", F.lit(0))["text"]
-    rest = F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0)))
-    folded = F.aggregate(rest, first, lambda a, e: F.when(F.contains(a, e["text"]), a).otherwise(F.trim(F.concat(a, F.lit(" "), e["text"]))))
-    return turns.select("conv_id", F.sha2(folded, 256).alias("digest"))
+    """An article and a line of continuation for each item: those that it does not hold yet are appended."""
+    docs = _by_order(t, F.concat(F.lit("segue "), "l_returnflag", (F.col("l_partkey") % 10).cast("string")))
+    docs = docs.select("l_orderkey", F.concat(F.array(F.lit("Art. 1º base")), "lines").alias("lines"))
+    return B.legal_nodes(docs, "l_orderkey").select("l_orderkey", "node_id", "text")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_partkey || '-a' ELSE p_partkey::VARCHAR END AS number, CASE WHEN p_size % 2 = 0 THEN 'Art. ' || p_partkey || 'º-A' ELSE 'Art. ' || p_partkey || 'º' END AS label FROM part""")

@@ -144,7 +144,12 @@ def f18_cumulative_bins(t: Tables) -> DataFrame:
     return R.cumulative_bins(t.documents.select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 20_000).select("doc_id", F.col("bin").cast("long").alias("bin"))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT doc_id // 1000 AS bucket, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT bucket, doc_id, n_chars, k, 0 AS batch, 1 AS n, n_chars AS total FROM o WHERE k = 1 UNION ALL
+  SELECT o.bucket, o.doc_id, o.n_chars, o.k, CASE WHEN f.n >= 25 OR f.total + o.n_chars > 20000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n >= 25 OR f.total + o.n_chars > 20000 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN f.n >= 25 OR f.total + o.n_chars > 20000 THEN o.n_chars ELSE f.total + o.n_chars END FROM f JOIN o ON o.bucket = f.bucket AND o.k = f.k + 1)
+SELECT bucket, doc_id, n_chars, batch::BIGINT AS batch FROM f""")
 def f18_greedy_batches(t: Tables) -> DataFrame:
     rows = t.documents.select((F.floor(F.col("doc_id") / 1000)).alias("bucket"), "doc_id", "n_chars")
     return R.greedy_batches(rows, "bucket", "doc_id", "n_chars", 25, 20_000)
@@ -163,6 +168,20 @@ def f20_page(t: Tables) -> DataFrame:
     return R.page(t.part.select("p_partkey", "p_name"), [F.col("p_name"), F.col("p_partkey")], 20, 100)
 
 
+@query("""
+WITH s AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 10), n AS (SELECT l_orderkey AS k, bool_or(l_partkey % 10 = 0) AS whole FROM lineitem GROUP BY 1),
+c AS (SELECT l_orderkey AS k, bool_or(l_linestatus = 'O') AS linked FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey AS k, CASE WHEN s.k IS NULL THEN 'not_materialized' ELSE 'available' END AS official_source, CASE WHEN s.k IS NULL THEN 'not_materialized' WHEN whole THEN 'unstructured' ELSE 'partial' END AS structured_text,
+  CASE WHEN c.k IS NOT NULL THEN 'partial' WHEN o_orderstatus = 'F' THEN 'complete' ELSE 'not_materialized' END AS history, CASE WHEN linked THEN 'partial' ELSE 'not_identified' END AS attribution
+FROM orders LEFT JOIN s ON s.k = o_orderkey LEFT JOIN n ON n.k = o_orderkey LEFT JOIN c ON c.k = o_orderkey""")
+def f21_coverage_status(t: Tables) -> DataFrame:
+    key = F.col("l_orderkey").alias("k")
+    laws = t.orders.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "complete").alias("history"))
+    nodes = t.lineitem.select(key, F.when(F.col("l_partkey") % 10 == 0, "document").otherwise("article").alias("node_type"))
+    changes = t.lineitem.where("l_returnflag = 'R'").select(key, (F.col("l_linestatus") == "O").alias("linked"))
+    return R.coverage_status(laws, "k", t.lineitem.where("l_quantity > 10").select(key), nodes, changes)
+
+
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def f21_coverage_report(t: Tables) -> DataFrame:
     return t.orders.rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))

@@ -53,5 +53,5 @@ def test_whole_table(spark):
         needles = {name, *(w for w in name.split(" ") if len(w) >= 4)}
         want |= {(name, str(r.p_partkey)) for r in part if any(w in f for w in needles for f in (r.p_name.lower(), r.p_type.lower(), r.p_brand.lower().replace("#", " ")))}
     assert len(got) == len(set(got)) and set(got) == want
-    words = plans.queries()["e7_term_lookup"](spark, str(SF)).join(spark.read.parquet(str(SF / "part.parquet")).select(F.col("p_partkey").cast("string").alias("query_id"), "p_name"), "query_id")
+    words = plans.queries()["e7_word_lookup"](spark, str(SF)).join(spark.read.parquet(str(SF / "part.parquet")).select(F.col("p_partkey").cast("string").alias("query_id"), "p_name"), "query_id")
     assert {(r.p_name, r.slug) for r in words.collect()} <= set(got)
