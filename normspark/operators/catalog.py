@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normspark.storage import stored
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, refresh: Sequence[str], owner: str | None = None) -> DataFrame:
     """Merge by key: ``refresh`` columns come from ``incoming`` where it has a value, all others stay.
@@ -142,17 +144,12 @@ def repeated_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def sharded(rows: DataFrame, key: str, per_shard: int) -> DataFrame:
-    """Global order of whole-numbered keys: row numbers within stretches of keys, plus the stretches' offsets in two levels."""
-    width = 8192
-    coarse = rows.select(key).withColumn("__part", F.floor(F.col(key) / width))
-    sizes = coarse.groupBy("__part").agg(F.count("*").alias("__n"))
-    # few rows: one per stretch of keys; summed up in two levels as well
-    upper = sizes.withColumn("__top", F.floor(F.col("__part") / width))
-    tops = upper.groupBy("__top").agg(F.sum("__n").alias("__m"))
-    before = F.coalesce(F.sum("__m").over(Window.orderBy("__top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = tops.select("__top", before.alias("__before"))
-    inner = F.coalesce(F.sum("__n").over(Window.partitionBy("__top").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = upper.withColumn("__inner", inner).join(tops, "__top").select("__part", (F.col("__before") + F.col("__inner")).alias("__offset"))
+    """Global order of keys of any type: row numbers within ranges of keys, plus the sizes of the ranges before them."""
+    ranges = stored(rows.select(key).repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__part").agg(F.count("*").alias("__n"))
+    # one row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__offset"))
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    out = coarse.withColumn("__rank", rank).join(offsets, "__part").withColumn("row", F.col("__offset") + F.col("__rank"))
+    out = ranges.withColumn("__rank", rank).join(offsets, "__part").withColumn("row", F.col("__offset") + F.col("__rank"))
     return out.select(key, F.floor(F.col("row") / per_shard).alias("shard"), "row")

@@ -312,7 +312,7 @@ def new_versions(archive: DataFrame, incoming: DataFrame, key: list[str]) -> Dat
     return incoming.dropDuplicates(key).join(archive.select(*key).distinct(), key, "left_anti")
 
 
-def with_current(versions: DataFrame, law: str, order: list[Column]) -> DataFrame:
-    """Exactly one current version a law: the first in ``order``."""
-    rn = F.row_number().over(Window.partitionBy(law).orderBy(*order))
-    return versions.withColumn("is_current", rn == 1)
+def with_current(versions: DataFrame, law: str, newest: list[Column]) -> DataFrame:
+    """Exactly one current version a law: the one of the greatest ``newest``, which tells a law's versions apart."""
+    top = versions.groupBy(law).agg(F.max(F.struct(*newest)).alias("__top"))
+    return versions.join(top, law).withColumn("is_current", F.struct(*newest) == F.col("__top")).drop("__top")

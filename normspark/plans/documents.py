@@ -151,7 +151,7 @@ def b13_versions(t: Tables) -> DataFrame:
     rows = t.documents.groupBy("source", F.sha2("text", 256).alias("checksum")).agg(F.min("doc_id").alias("id"))
     old = rows.where("id % 2 = 0")
     merged = old.unionByName(B.new_versions(old, rows, ["source", "checksum"]))
-    return B.with_current(merged, "source", [F.desc("id")]).select("source", "checksum", "is_current")
+    return B.with_current(merged, "source", [F.col("id")]).select("source", "checksum", "is_current")
 
 
 @query("SELECT p_partkey, p_type FROM part WHERE p_type = 'SMALL' OR starts_with(p_type, 'SMALL.')")

@@ -11,20 +11,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 
 def feed(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append rows with unseen keys to the table at ``target``; a replayed batch changes nothing."""
+    """Append rows with unseen keys to the table at ``target``; seen keys are the stream's state. A replayed batch changes nothing."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(target).where(F.col("__batch") != batch_id).select(key), key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         # a batch overwrites its own partition, so writing it again is harmless
-        fresh.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__batch").parquet(target)
+        batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__batch").parquet(target)
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.dropDuplicates([key]).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:

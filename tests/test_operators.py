@@ -80,3 +80,14 @@ def test_contained_passages(spark):
     docs = spark.createDataFrame([(1, f"x {words}  y"), (2, words.replace("iota", "other")), (3, None)], "doc_id int, text string")
     items = spark.createDataFrame([(7, words), (8, "too short")], "item_id int, text string")
     assert [tuple(r) for r in D.contained_passages(docs, items).collect()] == [(7, 1)]
+
+
+def test_order_of_sparse_and_written_keys(spark):
+    import random
+
+    from normspark.operators import catalog as C
+
+    rnd = random.Random(3)
+    for keys, kind in (([rnd.randrange(10**15) for _ in range(500)], "long"), ([f"law-{rnd.randrange(10**6):x}" for _ in range(500)] + ["law-x"] * 3, "string")):
+        got = C.sharded(spark.createDataFrame([(k,) for k in keys], f"k {kind}"), "k", 100).orderBy("row").collect()
+        assert [r.k for r in got] == sorted(keys) and [r.row for r in got] == list(range(len(keys))) and [r.shard for r in got] == [i // 100 for i in range(len(keys))]
