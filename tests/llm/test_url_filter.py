@@ -1,6 +1,7 @@
 import re
 
 from normspark.llm import url_filter as U
+from tests.llm import markov as M
 
 URLS = [
     "http://a.example.net/en/1", "https://EXAMPLE.net/en/", "http://b.net/x?y", "http://b.net", "https://www.example.com/de/3", "http://example.com/den", "ftp://x.org/fr/1#t", "http://x.org/fr", "http://borg/fr/1",
@@ -50,13 +51,13 @@ def test_models_separate_held_out_urls(spark):
 def test_probabilities_sum_to_one():
     import numpy as np
 
-    context, gram, of, sizes = U._grams(["abcabcabd", "aab", None, ""])
+    context, gram, of, sizes = M._grams(["abcabcabd", "aab", None, ""])
     n = np.ones(gram.size, np.int64)
     g, i = np.unique(gram.ravel(), return_index=True)
-    model = U.Markov(context.ravel()[i], g, n[: len(g)] * 2)
+    model = M.Markov(context.ravel()[i], g, n[: len(g)] * 2)
     at = 5  # the same context with every possible next byte
     c = np.repeat(context[:, at : at + 1], 256, axis=1)
-    every = U.mix64(c ^ U.mix64(np.arange(256, dtype=np.uint64) + np.uint64(1000)))
+    every = M.mix64(c ^ M.mix64(np.arange(256, dtype=np.uint64) + np.uint64(1000)))
     assert abs(np.exp(model.log_likelihood(c, every)).sum() - 1) < 1e-9 and sizes.tolist() == [9, 3, 0, 0]
 
 

@@ -4,16 +4,17 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from normspark.llm import url_filter as U
+from tests.llm import markov as M
 
 
 def brute(urls, examples):
     def model(accepted):
-        context, gram, _, _ = U._grams([u for u, a in examples if a == accepted])
+        context, gram, _, _ = M._grams([u for u, a in examples if a == accepted])
         g, i, n = np.unique(gram.ravel(), return_index=True, return_counts=True)
-        return U.Markov(context.ravel()[i], g, n)
+        return M.Markov(context.ravel()[i], g, n)
 
     yes, no = model(True), model(False)
-    context, gram, of, sizes = U._grams(urls)
+    context, gram, of, sizes = M._grams(urls)
     return np.bincount(of, yes.log_likelihood(context, gram) - no.log_likelihood(context, gram), len(sizes)) / np.maximum(sizes, 1)
 
 
@@ -28,7 +29,7 @@ def test_scores_use_every_gram(spark):
     held = {r.page_id for r in df.where(F.pmod(F.xxhash64("url"), F.lit(5)) == 0).collect()}
     examples = [(u, ".org/" in u) for i, u in enumerate(urls) if u and ".com" not in u and i not in held]
     for accepted in (True, False):
-        assert len(np.unique(U._grams([u for u, a in examples if a == accepted])[1])) > 200_000
+        assert len(np.unique(M._grams([u for u, a in examples if a == accepted])[1])) > 200_000
     got = {r.page_id: r.score for r in U.digest(df).collect()}
     want = brute(urls, examples)
     assert len(got) == len(urls)
