@@ -26,9 +26,9 @@ from .common import Known, model, per_text, slices, stored
 
 CAPACITY, END_ID = 4096, 2
 #: Bytes of remembered words per Python worker.
-CACHE = 48_000_000
+CACHE = 64_000_000
 #: What a remembered word takes besides its characters and ids.
-ENTRY = 180
+ENTRY = 100
 
 
 class WordIds:
@@ -57,7 +57,7 @@ class WordIds:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split) - self.known.keys()
         if new:
-            # a word, its core and its mark are entries: about ids of 4 bytes for every 4 characters each
+            # a new word may bring its core along as an entry of its own
             if self.known.room(sum(map(len, new)) * 4 + 2 * ENTRY * len(new)):
                 new = set().union(*split)
             self._learn(new)

@@ -21,7 +21,7 @@ from .pieces import MARK, Vocabulary, default_model, vocabulary, words
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of remembered words per Python worker, and what one takes besides its characters and ids.
-CACHE, ENTRY = 48_000_000, 180
+CACHE, ENTRY = 80_000_000, 180
 #: Cells of the tables of one group of words: words by code points.
 CELLS = 1_000_000
 

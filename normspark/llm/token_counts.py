@@ -15,7 +15,7 @@ from .common import Known, model, per_text
 from .pieces import Vocabulary, default_model, vocabulary, words
 
 #: Bytes of remembered words per Python worker, and what one takes besides its characters.
-CACHE, ENTRY = 48_000_000, 320
+CACHE, ENTRY = 96_000_000, 250
 
 
 class Counter:
