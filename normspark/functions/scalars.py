@@ -291,6 +291,7 @@ def query_type(x: Column) -> Column:
 _ARTICLE = r"(?iu)\b(?:art(?:igo)?\.?\s*)(\d+[a-z]?)\b"
 _NUMBER_YEAR = r"(?iu)(?<!\d)(\d{1,3}(?:[.\s]\d{3})*|\d{4,8})(?:-(\d+))?\s*(?:/|\s+de\s+|\s+)(\d{2,4})(?!\d)"
 _NUMBER = r"(?iu)(?<!\d)(\d{1,3}(?:[.\s]\d{3})+|\d{4,8})(?:-(\d+))?(?!\d)"
+_NO_TERM = r"(?iu)\b(lei|decreto|decreto lei|artigo|art|n|no|numero|de)\b"
 
 
 def parse_query(x: Column) -> Column:
@@ -303,7 +304,7 @@ def parse_query(x: Column) -> Column:
     rest = F.regexp_replace(x, _ARTICLE, " ")
     # a bare number is taken out as digits, so a dotted one stays among the terms
     rest = F.when(reference.isNotNull(), F.replace(rest, reference, F.lit(" "))).when(number.isNotNull(), F.regexp_replace(rest, F.concat(F.lit(r"(?<!\d)"), number, F.lit(r"(?!\d)")), F.lit(" "))).otherwise(rest)
-    rest = F.regexp_replace(rest, r"(?iu)\b(lei|decreto|decreto lei|artigo|art|n|no|numero|de)\b", " ")
+    rest = F.regexp_replace(rest, _NO_TERM, " ")
     return F.struct(
         F.lower(got(_ARTICLE, 1)).alias("article"), number.alias("number"), sequence.alias("number_sequence"),
         full_year(got(_NUMBER_YEAR, 3)).alias("year"), query_type(x).alias("law_type"), normalize_query(rest).alias("terms"),
