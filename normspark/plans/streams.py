@@ -85,6 +85,31 @@ def i5_job_states(t: Tables) -> DataFrame:
     return I.job_states(rows, "user_id", "event_id", "event_type", "ts").select("user_id", "status", "events")
 
 
+#: Events of 90-day leases made of the lines of an order.
+_LIFE = ("claimed", "claimed", "claimed", "claimed", "claimed", "failed", "queued", "failed", "succeeded", "cancelled", "unavailable", "started")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS job, l_shipdate AS ts, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
+  ['claimed','claimed','claimed','claimed','claimed','failed','queued','failed','succeeded','cancelled','unavailable','started'][((l_partkey + l_linenumber) % 12)::INTEGER + 1] AS kind FROM lineitem),
+n AS (SELECT *, sum((kind = 'claimed')::INTEGER) OVER (PARTITION BY job ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n FROM e WHERE kind <> 'started'),
+f AS (SELECT *, kind IN ('succeeded', 'cancelled', 'unavailable') OR (kind = 'failed' AND n >= 3) AS ends FROM n),
+l AS (SELECT *, coalesce(bool_or(ends) OVER (PARTITION BY job ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS past FROM f),
+r AS (SELECT * FROM l WHERE NOT past QUALIFY row_number() OVER (PARTITION BY job ORDER BY ts DESC, id DESC) = 1),
+s AS (SELECT job, n::BIGINT AS attempts,
+  CASE WHEN kind = 'claimed' THEN 'running' WHEN kind = 'failed' AND NOT ends THEN 'queued' WHEN kind = 'unavailable' THEN 'failed' ELSE kind END AS status,
+  CASE WHEN kind = 'failed' AND NOT ends THEN 'retry_wait' WHEN kind = 'unavailable' THEN 'failed' ELSE kind END AS stage,
+  CASE WHEN kind = 'claimed' THEN epoch(ts)::BIGINT + 7776000 END AS lease_until,
+  CASE WHEN kind = 'failed' AND NOT ends THEN epoch(ts)::BIGINT + least(3600, 15 * 2 ** greatest(n - 1, 0))::BIGINT END AS retry_at FROM r)
+SELECT *, (status = 'queued' OR coalesce(lease_until <= 883612800, false)) AND coalesce(retry_at, 0) <= 883612800 AS claimable FROM s""")
+def i5_job_lifecycle(t: Tables) -> DataFrame:
+    kinds = F.array(*(F.lit(k) for k in _LIFE))
+    kind = F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % len(_LIFE)).cast("int"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("job"), F.col("l_shipdate").alias("at"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), kind.alias("kind"))
+    out = I.job_lifecycle(rows, "job", "id", "kind", "at", F.timestamp_seconds(F.lit(883612800)), lease=7776000, give_up=3)
+    return out.select("job", "status", "stage", "attempts", F.unix_seconds("lease_until").alias("lease_until"), F.unix_seconds("retry_at").alias("retry_at"), "claimable")
+
+
 @query(_FOLD)
 def i5_job_states_stream(t: Tables) -> DataFrame:
     rows = _events(t)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from normspark.functions import scalars as S
+
 
 def feed(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
     """Append rows with unseen keys to the table at ``target``; seen keys are the stream's state. A replayed batch changes nothing."""
@@ -73,6 +75,42 @@ def job_states_stream(events: DataFrame, job: str, event: str, status: str, at:
     return rows.groupBy(job).applyInPandasWithState(fold, f"{job} {kind}, status string, at_us long, events long", STATE, "update", "NoTimeout")
 
 
+#: Kinds of events that end a job at once; ``failed`` ends it only when its attempts are used up.
+ENDS = ("succeeded", "cancelled", "unavailable")
+
+
+def job_lifecycle(events: DataFrame, job: str, event: str, kind: str, at: str, as_of: Column, lease: int = 300, give_up: int = 5) -> DataFrame:
+    """Status, stage, attempts, lease and retry time of every job at ``as_of``.
+
+    Kinds are queued, claimed, failed, unavailable (a source that has no text: no retry), succeeded, cancelled.
+    Events fold by time, ties by event id. A claim is an attempt and holds the job for ``lease`` seconds; a
+    failure waits for its retry until ``give_up`` attempts are used. What comes after a terminal event has no
+    effect. A job of unknown kinds alone, or of null times, has no row; a repeated event counts again.
+    """
+    known = events.where(F.col(kind).isin("queued", "claimed", "failed", *ENDS) & F.col(at).isNotNull())
+    rows = known.select(job, F.col(at).cast("timestamp").alias("__at"), F.col(event).alias("__id"), F.col(kind).alias("__kind"))
+    # running counts stream through the sort of a job; the last row before the end comes from an aggregate
+    so_far = Window.partitionBy(job).orderBy("__at", "__id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__n", F.count_if(F.col("__kind") == "claimed").over(so_far))
+    ends = F.col("__kind").isin(*ENDS) | ((F.col("__kind") == "failed") & (F.col("__n") >= give_up))
+    rows = rows.withColumn("__ends", ends).withColumn("__ended", F.count_if("__ends").over(so_far))
+    effective = rows.where((F.col("__ended") == 0) | (F.col("__ends") & (F.col("__ended") == 1)))
+    last = effective.groupBy(job).agg(F.max(F.struct("__at", "__id", "__n", "__ends", "__kind")).alias("l"))
+    what, ended, n, when = (F.col(f"l.{c}") for c in ("__kind", "__ends", "__n", "__at"))
+    later = lambda seconds: F.timestamp_seconds(F.unix_seconds(when) + seconds)
+    waits = (what == "failed") & ~ended
+    state = last.select(
+        job,
+        F.when((what == "queued") | waits, "queued").when(what == "claimed", "running").when(what.isin("failed", "unavailable"), "failed").otherwise(what).alias("status"),
+        F.when(waits, "retry_wait").when(what == "unavailable", "failed").otherwise(what).alias("stage"),
+        n.alias("attempts"),
+        F.when(what == "claimed", later(F.lit(lease))).alias("lease_until"),
+        F.when(waits, later(S.retry_delay(F.greatest(n, F.lit(1)), give_up=give_up))).alias("retry_at"),
+    )
+    free = (F.col("status") == "queued") | F.coalesce(F.col("lease_until") <= as_of, F.lit(False))
+    return state.withColumn("claimable", free & (F.coalesce("retry_at", as_of) <= as_of))
+
+
 def due(items: DataFrame, available: str, dispatched: Column, as_of: Column, tie: str, n: int) -> DataFrame:
     return items.where((F.col(available) <= as_of) & ~dispatched).orderBy(available, tie).limit(n)
 
