@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media_columns, near_dup, packing, personal_data, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
+from . import language_id, media_columns, near_dup, packing, personal_data, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter, vector_codes
 from .common import table
 
 
@@ -27,9 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": _over("documents", personal_data.digest),
         "op9_token_counts": _over("documents", token_counts.digest),
         "op10_language_id": _over("documents", language_id.digest),
+        "op11_vector_codes": _over("embeddings", vector_codes.digest),
         "pipeline": lambda spark, sf_dir: importlib.import_module("corpus_pipeline").run(spark, sf_dir),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.oracle_sql()}
+    return {"op1_secret_scan": secret_scan.oracle_sql(), "op11_vector_codes": vector_codes.oracle_sql()}
