@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,20 @@ POINTS, ROWS = 1_000_000, 1000
 BATCH = 2000
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH, size: str = "16m") -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for the jobs that run inside; the session's settings come back after them."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _flat(rows: pa.Array) -> bool:
     return not (pa.types.is_list(rows.type) or pa.types.is_large_list(rows.type))
 
@@ -88,6 +103,7 @@ def per_text(df: DataFrame, keep: Sequence[str], fields: str, fn: Callable[[list
     ``fn`` gets a list of texts (None for null) and returns one sequence per field, each as long as the list.
     Only the text goes to Python and only the new fields come back; the other columns stay in Spark, and inside
     the struct no name can clash. The function counts as nondeterministic, so that no filter repeats it.
+    The session keeps Arrow batches of at most ``BATCH`` rows from then on: the result is lazy, so the setting has to outlast this call.
     """
     more = T._parse_datatype_string(fields)
     from pyspark.sql.pandas.types import to_arrow_type

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, release, small_side, stored
+from .common import mix64, release, small_batches, small_side, stored
 
 WORDS, LEAST, TOP = 4, 30, 2000
 #: A candidate goes if a longer one that contains it has this share of its count, in hundredths.
@@ -38,7 +38,7 @@ COUNTERS = 1 << 18
 #: Bits of a bitmap of survivors at most, as a power of two (32 MB).
 BITS = 28
 #: Bytes of text handled at once, and n-grams that a map task holds before it hands on summaries.
-BLOCK, HELD = 4_000_000, 1_500_000
+BLOCK, HELD = 1_500_000, 600_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
@@ -322,12 +322,13 @@ def counts(docs: DataFrame, least: int = LEAST, counters: int = COUNTERS, bits:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     parts = planned_parts(rows, least, counters)
-    found = stored(merged(stored(summaries(rows, (1, 2), parts), "summaries"), least), "survivors")
-    pairs = spark.sparkContext.broadcast(bitmap(found, found.count(), bits))
-    longer = stored(merged(stored(summaries(rows, (3, 4), parts, pairs), "summaries"), least), "survivors")
-    found = found.unionByName(longer)
-    known = spark.sparkContext.broadcast(bitmap(found, found.count(), bits))
-    return stored(exact(rows, known).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "counts")
+    with small_batches(spark, 500):
+        found = stored(merged(stored(summaries(rows, (1, 2), parts), "summaries"), least), "survivors")
+        pairs = spark.sparkContext.broadcast(bitmap(found, found.count(), bits))
+        longer = stored(merged(stored(summaries(rows, (3, 4), parts, pairs), "summaries"), least), "survivors")
+        found = found.unionByName(longer)
+        known = spark.sparkContext.broadcast(bitmap(found, found.count(), bits))
+        return stored(exact(rows, known).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "counts")
 
 
 def _big(x: Column) -> Column:
