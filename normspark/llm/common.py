@@ -79,6 +79,18 @@ POINTS, ROWS = 1_000_000, 1000
 BATCH = 2000
 
 
+@contextmanager
+def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` written to the shared folder for the jobs that run inside, and removed after them."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH, size: str = "16m") -> Iterator[None]:
     """Arrow batches of at most so many rows and bytes for the jobs that run inside; the session's settings come back after them."""

@@ -1,7 +1,7 @@
 """Phrase collocation mining per language: Misra-Gries summaries find every frequent n-gram, a last pass counts exactly.
 
 Texts are lower-cased (A-Z only) and cut into pieces at punctuation and line ends, pieces into words at blanks. An n-gram
-is a 64-bit hash of its words and the language; hashes are dealt to hash partitions by their leading bits. A
+is a hash of its words and the language; hashes are dealt to hash partitions by their leading bits. A
 map task merges the n-grams of its texts into summaries without loss (sorted hashes with counts, one row per hash
 partition). For each hash partition the summaries are then merged to at most ``mass // threshold + 1`` counters, the
 mass being the partition's number of occurrences. Such a Misra-Gries summary cuts off less than ``threshold`` in all, so
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, release, small_batches, small_side, stored
+from .common import mix64, release, scratch, small_batches, small_side, stored
 
 WORDS, LEAST, TOP = 4, 30, 2000
 #: A candidate goes if a longer one that contains it has this share of its count, in hundredths.
@@ -37,6 +37,8 @@ SCORE = 2_000_000
 COUNTERS = 1 << 18
 #: Bits of a bitmap of survivors at most, as a power of two (32 MB).
 BITS = 28
+#: Leading bits of a hash that summaries keep (whole bytes): n-grams that share them are counted as one there, which can only keep more.
+KEY = 48
 #: Bytes of text handled at once, and n-grams that a map task holds before it hands on summaries.
 BLOCK, HELD = 1_500_000, 600_000
 
@@ -171,13 +173,16 @@ class Bitmap:
 SUMMARY = "part int, mass long, keys binary, counts binary"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte: leading bytes of sorted hashes and the upper bytes of counts compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The ``width`` lower bytes of numbers, byte by byte: leading bytes of sorted hashes and upper bytes of counts compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, :width].T).tobytes()
 
 
-def _unplanes(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def _unplanes(data: bytes, kind: type, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(kind).ravel()
 
 
 def summaries(docs: DataFrame, sizes: tuple[int, ...], parts: int, known=None) -> DataFrame:
@@ -185,12 +190,12 @@ def summaries(docs: DataFrame, sizes: tuple[int, ...], parts: int, known=None) -
 
     ``known`` is a broadcast bitmap; only n-grams all of whose pairs it holds are taken.
     """
-    shift = np.uint64(64 - int(math.log2(parts)))
+    shift, short = np.uint64(KEY - int(math.log2(parts))), np.uint64(64 - KEY)
 
     def handed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         edges = np.searchsorted(keys >> shift, np.arange(parts + 1))
         rows = [(p, keys[a:b], counts[a:b]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(r[2].sum()) for r in rows], pa.int64()), pa.array([_planes(r[1]) for r in rows], pa.binary()), pa.array([_planes(r[2]) for r in rows], pa.binary())], names=["part", "mass", "keys", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(r[2].sum()) for r in rows], pa.int64()), pa.array([_planes(r[1], KEY // 8) for r in rows], pa.binary()), pa.array([_planes(r[2]) for r in rows], pa.binary())], names=["part", "mass", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -205,7 +210,7 @@ def summaries(docs: DataFrame, sizes: tuple[int, ...], parts: int, known=None) -
                 if known is not None:
                     for j in range(n - 1):
                         ok = ok & linked[j : j + len(ok)]
-                held.append(counted(keys[ok]))
+                held.append(counted(keys[ok] >> short))
                 total += len(held[-1][0])
             if total > HELD:
                 held = [counted(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
@@ -238,7 +243,7 @@ def merged(rows: DataFrame, least: int = LEAST) -> DataFrame:
         def kept() -> pa.RecordBatch:
             shrunk()
             (keys, counts), *_ = held
-            return pa.RecordBatch.from_arrays([pa.array(keys[counts + cut >= least].view(np.int64))], names=["key"])
+            return pa.RecordBatch.from_arrays([pa.array((keys[counts + cut >= least] << np.uint64(64 - KEY)).view(np.int64))], names=["key"])
 
         for batch in batches:
             for p, total, keys, counts in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -246,7 +251,7 @@ def merged(rows: DataFrame, least: int = LEAST) -> DataFrame:
                     if held:
                         yield kept()
                     part, capacity, cut, size, held = p.as_py(), total.as_py() // least + 1, 0, 0, []
-                held.append((_unplanes(keys.as_py(), np.uint64), _unplanes(counts.as_py(), np.int64)))
+                held.append((_unplanes(keys.as_py(), np.uint64, KEY // 8), _unplanes(counts.as_py(), np.int64)))
                 size += len(held[-1][0])
                 if size > 2 * capacity + HELD // 4:
                     shrunk()
@@ -323,10 +328,11 @@ def counts(docs: DataFrame, least: int = LEAST, counters: int = COUNTERS, bits:
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     parts = planned_parts(rows, least, counters)
     with small_batches(spark, 500):
-        found = stored(merged(stored(summaries(rows, (1, 2), parts), "summaries"), least), "survivors")
+        with scratch(summaries(rows, (1, 2), parts), "summaries") as made:
+            found = stored(merged(made, least), "survivors")
         pairs = spark.sparkContext.broadcast(bitmap(found, found.count(), bits))
-        longer = stored(merged(stored(summaries(rows, (3, 4), parts, pairs), "summaries"), least), "survivors")
-        found = found.unionByName(longer)
+        with scratch(summaries(rows, (3, 4), parts, pairs), "summaries") as made:
+            found = found.unionByName(stored(merged(made, least), "survivors"))
         known = spark.sparkContext.broadcast(bitmap(found, found.count(), bits))
         return stored(exact(rows, known).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "counts")
 
