@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media_columns, near_dup, packing, personal_data, phrases, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter, vector_codes
+from . import html_text, language_id, media_columns, near_dup, packing, personal_data, phrases, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter, vector_codes
 from .common import table
 
 
@@ -29,9 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": _over("documents", language_id.digest),
         "op11_vector_codes": _over("embeddings", vector_codes.digest),
         "op12_phrases": _over("documents", phrases.digest),
+        "op13_html_text": _over("pages", html_text.digest),
         "pipeline": lambda spark, sf_dir: importlib.import_module("corpus_pipeline").run(spark, sf_dir),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.oracle_sql(), "op11_vector_codes": vector_codes.oracle_sql(), "op12_phrases": phrases.oracle_sql()}
+    return {"op1_secret_scan": secret_scan.oracle_sql(), "op11_vector_codes": vector_codes.oracle_sql(), "op12_phrases": phrases.oracle_sql(), "op13_html_text": html_text.oracle_sql()}
