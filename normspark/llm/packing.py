@@ -45,6 +45,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.normal = self.tokenizer.normalizer
         self.known = Known(CACHE)
         suffix = self.tokenizer.model.end_of_word_suffix
         if not suffix:
@@ -67,7 +68,7 @@ class WordIds:
     def _learn(self, new: set[str]) -> None:
         """Ids of new words. The tokenizer folds case and cuts between letters and marks, so a word of
         letters is tokenized once for all its spellings with capitals and a mark behind it."""
-        core = {w: _core(w) for w in new}
+        core = {w: self._core(w) for w in new}
         todo = ({c for c, _ in core.values()} | {m for _, m in core.values()}) - self.known.keys()
         plain = [w for w in todo if w.isalpha()]
         rest = [w for w in todo if not w.isalpha()]
@@ -86,15 +87,15 @@ class WordIds:
         for word, (c, mark) in core.items():
             self.known[word] = self.known[c] + self.known[mark]
 
-
-def _core(word: str) -> tuple[str, str]:
-    """A word as (part to tokenize, mark behind it)."""
-    letters, mark = (word[:-1], word[-1]) if word[-1:] in (*".,;:!?",) else (word, "")
-    if letters.isascii() and letters.isalpha():
-        return letters.lower(), mark
-    if letters.isalpha():
-        return letters, mark
-    return word, ""
+    def _core(self, word: str) -> tuple[str, str]:
+        """A word as (part to tokenize, mark behind it). A mark comes off only where the tokenizer sees letters alone before it:
+        some letters it normalises to a letter and a combining sign, which joins the mark."""
+        letters, mark = (word[:-1], word[-1]) if word[-1:] in (*".,;:!?",) else (word, "")
+        if letters.isascii() and letters.isalpha():
+            return letters.lower(), mark
+        if mark and letters.isalpha() and (self.normal.normalize_str(letters) if self.normal else letters).isalpha():
+            return letters, mark
+        return word, ""
 
 
 def default_tokenizer() -> str:

@@ -19,6 +19,18 @@ def test_ids_equal_the_tokenizer(corpus):
     assert ids.encode(texts) == want == ids.encode(texts)
 
 
+def test_every_letter_before_every_mark():
+    """All letters beyond ASCII, some of which normalise to a letter and a sign, alone and behind another letter."""
+    ids = P.WordIds(P.default_tokenizer())
+    letters = [c for i in range(0x80, 0x20000) if (c := chr(i)).isalpha()]
+    few = [c for c in letters if not (ids.normal.normalize_str(c)).isalpha()]
+    assert len(few) >= 50 and "\u0130" in few and "\u0958" in few
+    words = [f"{before}{c}{mark}" for c in few for mark in ".,;:!?" for before in ("", "ab", "é")] + [c + m for i, c in enumerate(letters) for m in ".,;:!?"[i % 6]]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.encode(texts) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=30))
 def test_patterns_hold_every_length_once(histogram):
