@@ -142,13 +142,16 @@ def extend_ledger(docs: DataFrame, ledger: str, text_col: str = "text", rules: S
 
 
 def findings(spark: SparkSession, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per blob with a secret: ``__blob`` and ``__spans`` (start, kind rank, end, kind) in order of start, then rule."""
+    """One row per blob with a secret: ``__blob`` and ``__spans`` (start, kind rank, end, kind) in order of start, then rule.
+
+    A scan that is in the ledger twice (two jobs at once, a job run again after its write) counts once.
+    """
     rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))))
     current = lambda h: rank[F.concat_ws("@", h["kind"], h["version"].cast("string"))]
     hits = F.filter("hits", lambda h: current(h).isNotNull())
     rows = read_ledger(spark, ledger).where(F.size("hits") > 0).select("blob", hits.alias("hits")).where(F.size("hits") > 0)
     one = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), current(h).alias("rank"), h["end"].alias("end"), h["kind"].alias("kind")))
-    return rows.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.flatten(F.collect_list(one))).alias("__spans"))
+    return rows.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(one)))).alias("__spans"))
 
 
 def scan(docs: DataFrame, paths: Sequence[str], ledger: str | None = None, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:

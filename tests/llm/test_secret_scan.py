@@ -73,6 +73,15 @@ def test_increments_fetch_unseen_texts_only(spark, tmp_path, monkeypatch):
     assert fetched[1] == ["one more", "two more"] and spark.read.parquet(path).count() == 9
 
 
+def test_a_scan_that_lands_twice_counts_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    want = {tuple(r) for r in S.digest(docs, path).collect()}
+    again = spark.read.parquet(path).collect()
+    spark.createDataFrame(again, S.LEDGER).write.mode("append").partitionBy("part").parquet(path)
+    assert {tuple(r) for r in S.digest(docs, path).collect()} == want
+
+
 def test_redaction_leaves_clean_texts(spark):
     df = spark.createDataFrame([(1, CASES[0], "en", "s", 5), (2, "nothing here", "en", "s", 12), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in S.stage(spark, df, "").collect()}
