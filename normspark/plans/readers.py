@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normspark import schemas
 from normspark.functions import scalars as S
 from normspark.plans.registry import Tables, query
 from normspark.sources import catalogs as A
 from normspark.sources import histories as H
+from normspark.sources import landed as L
+from normspark.sources import proceedings as P
 from normspark.storage import shared_dir, stored
 
 #: Records of one landed page, which is one file.
@@ -88,6 +91,74 @@ def a3_sapl_pages(t: Tables) -> DataFrame:
     return A.sapl(t.spark, path, types, "M").select("remote_id", "law_type", "number", "year", "title", "scope", "reject")
 
 
+#: Records of a page in the queries on bad pages.
+SMALL = 50
+#: What is wrong with a page, by its number modulo 7.
+_BAD = "CASE f % 7 WHEN 1 THEN 'broken' WHEN 2 THEN 'no_list' WHEN 3 THEN 'page' WHEN 4 THEN 'record' WHEN 5 THEN 'repeated' WHEN 6 THEN 'total' END"
+_NUMBERED = r"file=(\d+)"
+
+
+def _spoiled(t: Tables, record: Column, whole, name: str, list_name: str, numbered: bool = True) -> str:
+    """Small pages of ``part``, one file each, six of seven spoiled in one of six ways."""
+    path = shared_dir(t.spark, name)
+    rows = t.part.select(F.floor(F.col("p_partkey") / SMALL).cast("int").alias("f"), record.alias("r")).groupBy("f").agg(F.collect_list("r").alias("rs"))
+    kind = F.col("f") % 7
+    json = F.to_json(whole(F.when((kind == 3) & F.lit(numbered), F.col("f") + 100_000).otherwise(F.col("f")), F.when(kind == 5, F.concat("rs", "rs")).otherwise(F.col("rs")), F.when(kind != 6, F.lit(9))))
+    text = (
+        F.when(kind == 1, F.left(json, F.length(json) - 40)).when(kind == 2, F.replace(json, F.lit(f'"{list_name}"'), F.lit('"error"')))
+        .when(kind == 4, F.regexp_replace(json, r"\}\]", '},"x"]')).otherwise(json)
+    )
+    rows.select(F.col("f").alias("file"), text.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return path
+
+
+def _decree() -> Column:
+    return F.struct(_s("p_partkey").alias("idNorma"), F.lit("Decreto").alias("tipo"), _s("p_partkey").alias("nuNorma"), _day().alias("data"), F.concat(F.lit("Decreto nº "), _s("p_partkey")).alias("nomeNorma"))
+
+
+def _decree_pages(t: Tables) -> str:
+    return _spoiled(t, _decree(), lambda n, rs, total: F.struct(n.alias("number"), total.alias("totalElements"), total.alias("totalPages"), rs.alias("content")), "spoiled", "content")
+
+
+@query(f"SELECT f AS file, CASE f % 7 WHEN 3 THEN f + 100000 WHEN 1 THEN NULL ELSE f END AS page, {_BAD} AS reject FROM (SELECT DISTINCT p_partkey // {SMALL} AS f FROM part)")
+def a2_page_rejects(t: Tables) -> DataFrame:
+    """Every landed page with what its reader finds wrong with it."""
+    got = L.pages(t.spark, _decree_pages(t), A.ALESP, _NUMBERED, True)
+    return got.select(F.regexp_extract("file", _NUMBERED, 1).cast("long").alias("file"), "page", "reject")
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_size, p_partkey // {SMALL} AS f FROM part)
+SELECT p_partkey::VARCHAR AS remote_id, 1950 + p_size AS year, NULL AS reject FROM p WHERE f % 7 = 0
+UNION ALL SELECT DISTINCT '', NULL, 'page:' || {_BAD} || '#' || f FROM p WHERE f % 7 NOT IN (0, 1, 3) UNION ALL SELECT DISTINCT '', NULL, 'page:page#' || (f + 100000) FROM p WHERE f % 7 = 3
+UNION ALL SELECT '', NULL, 'page:broken#' FROM (SELECT DISTINCT f FROM p WHERE f % 7 = 1)""")
+def a2_alesp_fails_closed(t: Tables) -> DataFrame:
+    """Norms of the good pages, and one row for each page that may hide some."""
+    got = A.alesp(t.spark, _decree_pages(t), _NUMBERED, True)
+    mark = F.when(F.col("reject").startswith("page:"), F.concat("reject", F.lit("#"), F.coalesce(_s("number_of_page"), F.lit("")))).otherwise(F.col("reject"))
+    return got.withColumnRenamed("page", "number_of_page").select("remote_id", "year", mark.alias("reject"))
+
+
+@query(f"SELECT f AS file, CASE WHEN f % 7 <> 0 THEN 'page:' || {_BAD} END AS reject, count(*) FILTER (f % 7 = 0) + max(CASE WHEN f % 7 <> 0 THEN 1 ELSE 0 END) AS n FROM (SELECT p_partkey // {SMALL} AS f FROM part) GROUP BY f")
+def a3_page_rejects(t: Tables) -> DataFrame:
+    """Pages of the second service by what their reader gives for them: their norms, or one row with the reason."""
+    record = F.struct(_s("p_partkey").alias("id"), F.lit("1").alias("tipo"), _s("p_size").alias("numero"), (1950 + F.col("p_size")).cast("string").alias("ano"))
+    path = _spoiled(t, record, lambda n, rs, total: F.struct(F.struct(n.alias("page"), total.alias("total_entries")).alias("pagination"), rs.alias("results")), "spoiled", "results")
+    landed = L.pages(t.spark, path, A.SAPL, _NUMBERED, True)
+    got = L.records(landed.withColumn("page", F.regexp_extract("file", _NUMBERED, 1).cast("long")), schemas.SAPL_PAGE, "results")
+    return got.groupBy(F.col("page").alias("file"), F.col("page_reject").alias("reject")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT f AS file, nullif({_BAD.replace("WHEN 3 THEN 'page'", "WHEN 3 THEN ''")}, '') AS reject FROM (SELECT DISTINCT p_partkey // {SMALL} AS f FROM part)")
+def a4_page_rejects(t: Tables) -> DataFrame:
+    """Pages of the third service, which don't tell their number."""
+    record = F.struct(_s("p_partkey").alias("_id"), F.struct(F.md5(_s("p_partkey")).alias("ch_norma")).alias("_source"))
+    path = _spoiled(t, record, lambda n, rs, total: F.struct(total.alias("iTotalDisplayRecords"), rs.alias("aaData")), "spoiled", "aaData", numbered=False)
+    got = L.quarantined(L.pages(t.spark, path, A.SINJ, None, True)).select("file", "reject")
+    every = L.pages(t.spark, path, A.SINJ, None, True).select("file").join(got, "file", "left")
+    return every.select(F.regexp_extract("file", _NUMBERED, 1).cast("long").alias("file"), "reject")
+
+
 @query(f"""
 SELECT md5(p_partkey::VARCHAR) AS remote_id, CASE WHEN p_size % 5 = 0 THEN 's/n' ELSE p_size::VARCHAR END AS number, {_ISO} AS signed, {_ISO} AS published, CASE WHEN p_size % 2 = 0 THEN 'application/pdf,text/html' ELSE 'text/html' END AS attachments,
   CASE WHEN p_size % 3 = 0 THEN 'Não verificado' ELSE 'Sem Revogação' END AS status, 'Portaria ' || CASE WHEN p_size % 5 = 0 THEN 's/n' ELSE p_size::VARCHAR END || ' de ' || {_DAY} AS title, NULL::VARCHAR AS reject FROM part""")
@@ -201,7 +272,70 @@ def a12_committee_votes(t: Tables) -> DataFrame:
     docs = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(ballot).alias("b"))
     session = F.struct(F.concat(F.lit("C"), (F.col("l_orderkey") % 7).cast("string")).alias("SiglaColegiado"), F.struct(F.col("b").alias("Voto")).alias("Votos"))
     doc = F.to_json(F.struct(F.struct(F.struct(F.array(session).alias("Votacao")).alias("Votacoes")).alias("VotacoesComissao")))
-    return H.committee_votes(docs.select("l_orderkey", doc.alias("doc")), "l_orderkey", "doc").select("l_orderkey", "committee", "member", "vote")
+    return P.committee_votes(docs.select("l_orderkey", doc.alias("doc")), "l_orderkey", "doc").select("l_orderkey", "committee", "member", "vote")
+
+
+def _wrapped(rows: Column, keys: tuple[str, ...], by: Column) -> Column:
+    """JSON of a list of structs in turn plain, under each key, under two keys, and (if it has one element) as that object."""
+    forms = [F.to_json(rows), *(F.to_json(F.struct(rows.alias(k))) for k in keys), F.to_json(F.struct(F.struct(rows.alias(keys[0])).alias(keys[-1])))]
+    single = F.to_json(F.struct(rows[0].alias(keys[0])))
+    chosen = F.get(F.array(*forms), (by % len(forms)).cast("int"))
+    return F.when((F.size(rows) == 1) & (by % 2 == 0), single).otherwise(chosen)
+
+
+def _lists(t: Tables, record: Column, keys: tuple[str, ...]) -> DataFrame:
+    rows = _items(t).select("l_orderkey", F.struct("l_linenumber", record.alias("x")).alias("r")).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]).alias("rs"))
+    return rows.select("l_orderkey", _wrapped(F.col("rs"), keys, F.col("l_orderkey")).alias("doc"))
+
+
+@query(f"""
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS seq, l_partkey::VARCHAR AS process_id, CASE l_returnflag WHEN 'R' THEN 'LEI' WHEN 'A' THEN 'lei' END AS norm_type,
+  CASE WHEN l_returnflag IN ('R', 'A') THEN l_suppkey::VARCHAR END AS norm_number, CASE WHEN l_returnflag IN ('R', 'A') THEN 1990 + l_linenumber END AS norm_year FROM {_ITEMS}""")
+def a12_processes(t: Tables) -> DataFrame:
+    """The norm that a process made as an object, in words, or missing; the list in any of five shapes."""
+    year = (1990 + F.col("l_linenumber")).cast("string")
+    made = F.struct(F.lit("LEI").alias("siglaTipo"), F.concat(F.lit("0"), _s("l_suppkey")).alias("numero"), year.alias("anoAssinatura"))
+    words = F.concat(F.lit("Lei nº "), _s("l_suppkey"), F.lit(" de 05/06/"), year)
+    # one JSON field of two types: written as text and put in by hand
+    plain = F.struct(F.col("l_linenumber"), F.concat(F.lit('{"id":'), _s("l_partkey"), F.lit(',"normaGerada":'), F.when(F.col("l_returnflag") == "R", F.to_json(made)).when(F.col("l_returnflag") == "A", F.concat(F.lit('"'), words, F.lit('"'))).otherwise("null"), F.lit("}")).alias("x"))
+    rows = _items(t).select("l_orderkey", plain.alias("r")).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), ",").alias("xs"), F.count("*").alias("n"))
+    turn, one = F.col("l_orderkey") % 4, F.col("n") == 1
+    listed = F.concat(F.lit("["), "xs", F.lit("]"))
+    under = lambda k, x: F.concat(F.lit(f'{{"{k}":'), x, F.lit("}"))
+    doc = F.when(one & (turn == 0), F.col("xs")).when(one & (turn == 1), under("processo", F.col("xs"))).when(turn == 0, listed).when(turn == 1, under("processos", listed)).when(turn == 2, under("items", listed)).otherwise(under("processos", under("processo", listed)))
+    got = P.processes(rows.select("l_orderkey", doc.alias("doc")), "l_orderkey", "doc")
+    return got.select("l_orderkey", F.col("seq").cast("long").alias("seq"), "process_id", "norm_type", "norm_number", F.col("norm_year").cast("long").alias("norm_year"))
+
+
+@query(f"SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS seq, l_partkey::VARCHAR AS amendment_id, 'S' || l_suppkey AS author FROM {_ITEMS}")
+def a12_amendments(t: Tables) -> DataFrame:
+    record = F.struct(F.col("l_partkey").alias("id"), F.concat(F.lit("S"), _s("l_suppkey")).alias("autoria"))
+    got = P.amendments(_lists(t, record, P.AMENDMENT_KEYS), "l_orderkey", "doc")
+    return got.select("l_orderkey", F.col("seq").cast("long").alias("seq"), "amendment_id", P.at(F.col("record"), "autoria").alias("author"))
+
+
+@query(f"SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS seq, l_partkey::VARCHAR AS vote_id, l_quantity > 25 AS secret, l_suppkey AS yes FROM {_ITEMS}")
+def a12_plenary_votes(t: Tables) -> DataFrame:
+    record = F.struct(F.col("l_partkey").alias("codigoSessaoVotacao"), (F.col("l_quantity") > 25).alias("secreta"), F.struct(F.col("l_suppkey").alias("sim")).alias("totais"))
+    got = P.plenary_votes(_lists(t, record, P.PLENARY_KEYS), "l_orderkey", "doc")
+    return got.select("l_orderkey", F.col("seq").cast("long").alias("seq"), "vote_id", P.at(F.col("record"), "secreta", "boolean").alias("secret"), P.at(F.col("record"), "totais.sim", "bigint").alias("yes"))
+
+
+@query("""
+SELECT l_orderkey, 'C' || l_orderkey % 7 AS committee, CASE WHEN l_orderkey % 5 <> 4 THEN 'S' || l_suppkey END AS member, CASE WHEN l_orderkey % 5 <> 4 THEN CASE l_returnflag WHEN 'R' THEN 'SIM' ELSE 'NÃO' END END AS vote FROM lineitem WHERE l_orderkey % 5 <> 4
+UNION ALL SELECT DISTINCT l_orderkey, 'C' || l_orderkey % 7, NULL, NULL FROM lineitem WHERE l_orderkey % 5 = 4""")
+def a12_committee_shapes(t: Tables) -> DataFrame:
+    """Sessions and ballots as objects or lists, with and without the wrappers, some without ballots."""
+    ballot = F.struct(F.concat(F.lit("S"), _s("l_suppkey")).alias("NomeParlamentar"), F.when(F.col("l_returnflag") == "R", "SIM").otherwise("NÃO").alias("Voto"))
+    docs = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(ballot).alias("b"))
+    code = F.concat(F.lit("C"), (F.col("l_orderkey") % 7).cast("string")).alias("SiglaColegiado")
+    turn = F.col("l_orderkey") % 5
+    listed, one = F.struct(code, F.struct(F.col("b").alias("Voto")).alias("Votos")), F.struct(code, F.struct(F.col("b")[0].alias("Voto")).alias("Votos"))
+    session = F.when((F.size("b") == 1) & (turn < 4), F.to_json(one)).when(turn == 4, F.to_json(F.struct(code))).when(turn % 2 == 0, F.to_json(listed)).otherwise(F.to_json(F.struct(code, F.col("b").alias("Votos"))))
+    under = lambda k, x: F.concat(F.lit(f'{{"{k}":'), x, F.lit("}"))
+    many = F.concat(F.lit("["), session, F.lit("]"))
+    doc = F.when(turn == 0, under("VotacoesComissao", under("Votacoes", under("Votacao", session)))).when(turn == 1, under("VotacoesComissao", under("Votacoes", many))).when(turn == 2, under("Votacoes", under("Votacao", many))).otherwise(under("VotacoesComissao", under("Votacoes", under("Votacao", many))))
+    return P.committee_votes(docs.select("l_orderkey", doc.alias("doc")), "l_orderkey", "doc").select("l_orderkey", "committee", "member", "vote")
 
 
 @query("SELECT s_suppkey, length(s_name) + 1 AS size_bytes, sha256(s_name || chr(10)) AS checksum FROM supplier")

@@ -29,7 +29,4 @@ SINJ_RELATIONS = (
 _UF = "struct<sigla:string>"
 IBGE_PLACE = f"id string, nome string, sigla string, microrregiao struct<mesorregiao:struct<UF:{_UF}>>, `regiao-imediata` struct<`regiao-intermediaria`:struct<UF:{_UF}>>"
 
-_VOTES = "array<struct<NomeParlamentar:string,Voto:string>>"
-COMMITTEE_VOTES = f"VotacoesComissao struct<Votacoes:struct<Votacao:array<struct<NomeColegiado:string,SiglaColegiado:string,DataHoraInicioReuniao:string,DescricaoVotacao:string,Votos:struct<Voto:{_VOTES}>>>>>"
-
 JOB_EVENT = "event_id string, job_id string, status string, at timestamp, lease_until timestamp"

@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from normspark import schemas
 from normspark.functions.scalars import any_date, collapse, official_number
 from normspark.operators.catalog import reject_reasons
+from normspark.sources import landed
 from normspark.storage import stored
 
+ALESP = landed.Shape("content", "$.number", ("$.totalElements", "$.totalPages"), "$.idNorma")
+SAPL = landed.Shape("results", "$.pagination.page", ("$.pagination.total_entries",), "$.id")
+SINJ = landed.Shape("aaData", None, ("$.iTotalDisplayRecords",), "$._id")
+
 
 def _text(x: str | Column) -> Column:
     return F.trim(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")))
 
 
-def _reason(checks: dict[str, Column]) -> Column:
-    return F.nullif(reject_reasons(checks), F.lit("")).alias("reject")
+def _reason(checks: dict[str, Column], page: str | None = None) -> Column:
+    """Reasons against a row, or the column ``page`` with those against its whole page."""
+    own = F.nullif(reject_reasons(checks), F.lit(""))
+    return (F.coalesce(F.col(page), own) if page else own).alias("reject")
 
 
 def senate(spark: SparkSession, path: str, law_type: str, expected_year: int | None = None) -> DataFrame:
@@ -31,22 +38,22 @@ def senate(spark: SparkSession, path: str, law_type: str, expected_year: int | N
     ).distinct()
 
 
-def alesp(spark: SparkSession, path: str) -> DataFrame:
-    """JSON pages with ``content``; a text link stays only with https, the official host and path."""
-    rows = spark.read.option("multiLine", True).schema(schemas.ALESP_PAGE).json(path).select("number", F.explode("content").alias("c"))
+def alesp(spark: SparkSession, path: str, numbered: str | None = None, strict: bool = False) -> DataFrame:
+    """JSON pages with ``content``; a text link stays only with https, the official host and path. A rejected page is one row with its reasons."""
+    rows = landed.records(landed.pages(spark, path, ALESP, numbered, strict), schemas.ALESP_PAGE, "content").select(F.col("page").cast("int").alias("number"), F.col("r").alias("c"), "page_reject")
     title, signed = _text("c.nomeNorma"), any_date(F.col("c.data"))
     url = F.nullif(_text("c.urlIntegraListaPesquisa"), F.lit(""))
     ok = (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & (F.try_parse_url(url, F.lit("HOST")) == "www.al.sp.gov.br") & F.try_parse_url(url, F.lit("PATH")).startswith("/repositorio/legislacao/")
     return rows.select(
         _text("c.idNorma").alias("remote_id"), F.col("number").alias("page"), _text("c.tipo").alias("law_type"), official_number(title, _text("c.nuNorma")).alias("number"), F.year(signed).alias("year"),
         signed.alias("signed_at"), any_date(F.col("c.dataPublicacao")).alias("published_at"), F.left(title, F.lit(300)).alias("title"), _text("c.dsEmenta").alias("description"), F.when(ok, url).alias("text_url"),
-        _reason({"id": ~_text("c.idNorma").rlike("^[0-9]+$"), "type": _text("c.tipo") == "", "title": title == "", "date": signed.isNull()}),
+        _reason({"id": ~_text("c.idNorma").rlike("^[0-9]+$"), "type": _text("c.tipo") == "", "title": title == "", "date": signed.isNull()}, "page_reject"),
     )
 
 
-def sapl(spark: SparkSession, path: str, types: DataFrame, scope: str = "") -> DataFrame:
-    """JSON pages with ``results``; type ids through the small lookup ``types`` (id, law_type); scope "", M, E or F."""
-    rows = spark.read.option("multiLine", True).schema(schemas.SAPL_PAGE).json(path).select(F.col("pagination.page").alias("page"), F.explode("results").alias("r"))
+def sapl(spark: SparkSession, path: str, types: DataFrame, scope: str = "", numbered: str | None = None, strict: bool = False) -> DataFrame:
+    """JSON pages with ``results``; type ids through the small lookup ``types`` (id, law_type); scope "", M, E or F. A rejected page is one row with its reasons."""
+    rows = landed.records(landed.pages(spark, path, SAPL, numbered, strict), schemas.SAPL_PAGE, "results").withColumn("page", F.col("page").cast("int"))
     rows = rows.join(types.select(F.col("id").alias("type_id"), "law_type"), F.col("r.tipo") == F.col("type_id"), "left")
     sphere, year = F.upper(_text("r.esfera_federacao")), F.expr("try_cast(r.ano as int)")
     number = F.coalesce(F.nullif(_text("r.numero"), F.lit("")), F.lit("s/n"))
@@ -54,13 +61,13 @@ def sapl(spark: SparkSession, path: str, types: DataFrame, scope: str = "") -> D
     return rows.select(
         _text("r.id").alias("remote_id"), "page", "law_type", number.alias("number"), year.alias("year"), any_date(F.col("r.data")).alias("signed_at"), any_date(F.col("r.data_publicacao")).alias("published_at"),
         F.left(title, F.lit(300)).alias("title"), _text("r.ementa").alias("description"), sphere.alias("scope"), F.col("r.texto_integral").alias("text_url"),
-        _reason({"id": ~_text("r.id").rlike("^[0-9]{1,24}$"), "type": F.col("law_type").isNull(), "year": year.isNull(), "scope": ~sphere.isin("", "M", "E", "F") | (sphere != scope if scope else F.lit(False)), "number": F.length(number) > 96}),
+        _reason({"id": ~_text("r.id").rlike("^[0-9]{1,24}$"), "type": F.col("law_type").isNull(), "year": year.isNull(), "scope": ~sphere.isin("", "M", "E", "F") | (sphere != scope if scope else F.lit(False)), "number": F.length(number) > 96}, "page_reject"),
     )
 
 
-def sinj(spark: SparkSession, path: str) -> DataFrame:
-    """JSON pages with ``aaData``: first parseable publication date, sorted distinct attachment types."""
-    rows = spark.read.option("multiLine", True).schema(schemas.SINJ_PAGE).json(path).select(F.explode("aaData").alias("a")).select("a._id", "a._source.*")
+def sinj(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """JSON pages with ``aaData``: first parseable publication date, sorted distinct attachment types. A rejected page is one row with its reasons."""
+    rows = landed.records(landed.pages(spark, path, SINJ, None, strict), schemas.SINJ_PAGE, "aaData").select("page_reject", "r._id", "r._source.*")
     signed, kind, remote = any_date(F.col("dt_assinatura")), _text("nm_tipo_norma"), F.lower(_text("ch_norma"))
     number = F.when(_text("nr_norma").isin("", "0"), "s/n").otherwise(_text("nr_norma"))
     dates = F.array_compact(F.transform("fontes", lambda f: any_date(f["dt_publicacao"])))
@@ -70,7 +77,7 @@ def sinj(spark: SparkSession, path: str) -> DataFrame:
         F.left(F.concat(kind, F.lit(" "), number, F.lit(" de "), F.date_format(signed, "dd/MM/yyyy")), F.lit(300)).alias("title"), _text("ds_ementa").alias("description"),
         F.left(F.coalesce(F.nullif(_text("nm_situacao"), F.lit("")), F.lit("Não verificado")), F.lit(48)).alias("status"),
         F.array_sort(F.array_distinct(F.filter(mimes, lambda m: m.isNotNull() & (m != "")))).alias("attachments"),
-        _reason({"id": ~remote.rlike("^([0-9a-f]{32}|[0-9]{1,24})$") | ~_text("_id").rlike("^[0-9]+$"), "type": (kind == "") | (F.length(kind) > 48), "number": F.length(number) > 96, "date": signed.isNull()}),
+        _reason({"id": ~remote.rlike("^([0-9a-f]{32}|[0-9]{1,24})$") | ~_text("_id").rlike("^[0-9]+$"), "type": (kind == "") | (F.length(kind) > 48), "number": F.length(number) > 96, "date": signed.isNull()}, "page_reject"),
     )
 
 

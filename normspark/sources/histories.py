@@ -79,13 +79,6 @@ def sapl_relations(spark: SparkSession, path: str, types: DataFrame) -> DataFram
     return last_wins(out, ["norm", "id", "other"], "i").drop("i")
 
 
-def committee_votes(rows: DataFrame, law: str, doc: str) -> DataFrame:
-    """One row per ballot; a list may also come as a single object."""
-    d = F.from_json(F.col(doc), schemas.COMMITTEE_VOTES)
-    sessions = rows.select(law, F.explode_outer(d["VotacoesComissao"]["Votacoes"]["Votacao"]).alias("s"))
-    return sessions.select(law, F.coalesce("s.NomeColegiado", "s.SiglaColegiado").alias("committee"), F.col("s.DataHoraInicioReuniao").alias("held_at"), F.explode_outer("s.Votos.Voto").alias("b")).select(law, "committee", "held_at", F.col("b.NomeParlamentar").alias("member"), F.col("b.Voto").alias("vote"))
-
-
 def text_versions(docs: DataFrame, law: str, doc: str) -> DataFrame:
     """Dated texts of provisions found at any depth below ``hasPart`` of JSON-LD documents, in document order.
 

@@ -2,6 +2,8 @@ import json
 
 from normspark.sources import catalogs as C
 from normspark.sources import histories as H
+from normspark.sources import landed as L
+from normspark.sources import proceedings as P
 
 
 def put(path, name, body):
@@ -77,9 +79,70 @@ def test_relations(spark, tmp_path):
 
 def test_votes_and_text_versions(spark):
     votes = {"VotacoesComissao": {"Votacoes": {"Votacao": [{"SiglaColegiado": "CCJ", "Votos": {"Voto": [{"NomeParlamentar": "A", "Voto": "SIM"}, {"NomeParlamentar": "B", "Voto": "NÃO"}]}}]}}}
-    rows = H.committee_votes(spark.createDataFrame([("l", json.dumps(votes)), ("m", "{}")], "law string, doc string"), "law", "doc").collect()
+    rows = P.committee_votes(spark.createDataFrame([("l", json.dumps(votes)), ("m", "{}")], "law string, doc string"), "law", "doc").collect()
     assert [(r.law, r.member, r.vote) for r in rows if r.member] == [("l", "A", "SIM"), ("l", "B", "NÃO")]
     ident, src = "urn:x!art7_par2", {"@id": "urn:lex:br:federal:lei:2012-07-09;15321@2012", "name": "Lei 15.321"}
     part = {"hasPart": [{"workExample": [{"legislationIdentifier": ident, "text": "um ", "legislationDate": "2000-01-01"}], "hasPart": {"workExample": {"legislationIdentifier": ident, "text": "dois", "legislationDate": "2012-07-09", "additionalType": "Text_Change", "legislationConsolidates": [src]}}}]}
     got = H.text_versions(spark.createDataFrame([("l", json.dumps(part)), ("bad", "{")], "law string, doc string"), "law", "doc").orderBy("seq").collect()
     assert [(r.node_id, r.text, r.source_number, r.source_year) for r in got] == [("art:7.par:2", "um", None, None), ("art:7.par:2", "dois", "15321", 2012)]
+
+
+def test_bad_pages_are_rejected_whole(spark, tmp_path):
+    row = {"idNorma": "1", "tipo": "Lei", "nuNorma": "1", "data": "09/03/1987", "nomeNorma": "Lei nº 1"}
+    page = lambda n, rows, **more: {"number": n, "totalElements": 9, "totalPages": 3, "content": rows} | more
+    good = json.dumps(page(0, [row, row | {"idNorma": "2"}]))
+    bodies = {0: good, 1: json.dumps(page(1, [row]))[:-30], 2: {"error": "busy"}, 3: page(8, [row]), 4: page(4, [row, row]), 5: page(5, [row, "x"]), 6: page(6, [], totalPages=None), 7: page(7, []), 8: "", 9: page(9, {"0": row}), 10: "[1]"}
+    for n, body in bodies.items():
+        put(tmp_path, f"page={n}.json", body)
+    path = f"file://{tmp_path}/*.json"
+    landed = L.pages(spark, path, C.ALESP, r"page=(\d+)", True)
+    got = {int(r.file.rsplit("=", 1)[1][:-5]): r.reject for r in landed.collect()}
+    assert got == {0: None, 1: "broken", 2: "no_list,page,total", 3: "page", 4: "repeated", 5: "record", 6: "total", 7: None, 8: "broken", 9: "no_list", 10: "no_list,page,total"}
+    rows = C.alesp(spark, path, r"page=(\d+)", True).collect()
+    assert sorted(r.remote_id for r in rows if r.reject is None) == ["1", "2"]
+    assert sorted(r.reject for r in rows if r.reject) == sorted(f"page:{x}" for x in got.values() if x) and all(r.title == "" for r in rows if r.reject)
+    kept = {r.file.rsplit("=", 1)[1]: r.value for r in L.quarantined(landed).collect()}
+    assert len(kept) == 9 and kept["1.json"] == bodies[1]
+    # without a number to hold it against, only what makes a page unreadable counts
+    assert {r.reject for r in C.alesp(spark, f"file://{tmp_path}/page=[012].json").collect()} == {None, "page:broken", "page:no_list"}
+
+
+def test_sinj_and_sapl_pages_fail_closed(spark, tmp_path):
+    types = spark.createDataFrame([("1", "Lei")], "id string, law_type string")
+    put(tmp_path, "a.json", {"pagination": {"page": 1}, "results": [{"id": 1, "tipo": 1, "ano": 1999}, {"id": 1, "tipo": 1, "ano": 1999}]})
+    assert [(r.remote_id, r.reject) for r in C.sapl(spark, f"file://{tmp_path}/a.json", types).collect()] == [("", "page:repeated")]
+    assert [r.reject for r in C.sinj(spark, f"file://{tmp_path}/a.json").collect()] == ["page:no_list"]
+
+
+PROCESS = {"id": 77, "sigla": "PL", "numero": "12", "ano": 2009}
+
+
+def entries_of(spark, fn, *docs):
+    df = spark.createDataFrame([(i, d if d is None or isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)], "law long, doc string")
+    return fn(df, "law", "doc").collect()
+
+
+def test_lists_in_any_shape(spark):
+    one, two = {"id": 1}, {"id": 2}
+    docs = [[one, two], {"emendas": [one, two]}, {"dados": {"Emendas": {"Emenda": [one, two]}}}, {"Emenda": one}, one, [one, "x", 3, None, [two]], {"emendas": None}, {}, [], "no json", None, {"emendas": {"dados": []}}, "7"]
+    got = {}
+    for r in entries_of(spark, P.amendments, *docs):
+        got.setdefault(r.law, []).append((r.seq, r.amendment_id))
+    both = [(0, "1"), (1, "2")]
+    assert {k: sorted(v) for k, v in got.items()} == {0: both, 1: both, 2: both, 3: both[:1], 4: both[:1], 5: both[:1]}
+
+
+def test_processes_and_what_they_made(spark):
+    docs = [{"processos": [PROCESS | {"normaGerada": {"siglaTipo": "LEI", "numero": "11.340", "anoAssinatura": "2006"}}]}, {"items": {"processo": PROCESS | {"normaGerada": "Lei Complementar nº 0.095-2 de 26/02/1998"}}}, [PROCESS | {"normaGerada": "sem número"}], PROCESS]
+    got = [(r.process_id, r.norm_type, r.norm_number, r.norm_year) for r in sorted(entries_of(spark, P.processes, *docs), key=lambda r: r.law)]
+    assert got == [("77", "LEI", "11340", 2006), ("77", "lei complementar", "95-2", 1998), ("77", None, None, None), ("77", None, None, None)]
+
+
+def test_committee_sessions_in_any_shape(spark):
+    ballot = {"NomeParlamentar": "A", "Voto": "Sim"}
+    session = lambda votes: {"SiglaColegiado": "CCJ", "Votos": votes}
+    docs = [{"VotacoesComissao": {"Votacoes": {"Votacao": session({"Voto": ballot})}}}, {"Votacoes": [session([ballot, ballot])]}, {"VotacoesComissao": {"Votacoes": [session(None)]}}, {"VotacoesComissao": {}}, []]
+    got = {}
+    for r in entries_of(spark, P.committee_votes, *docs):
+        got.setdefault(r.law, []).append((r.committee, r.member, r.vote))
+    assert got == {0: [("CCJ", "A", "Sim")], 1: [("CCJ", "A", "Sim")] * 2, 2: [("CCJ", None, None)]}
