@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from normspark.plans.registry import Tables, query
 from normspark.storage import shared_dir
 from normspark.streaming import jobs as I  # noqa: E741
+from normspark.streaming import lifecycle
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -39,7 +40,7 @@ def _events(t: Tables) -> DataFrame:
 def i2_deduplicated(t: Tables) -> DataFrame:
     rows = _events(t)
     source = _landed(rows.unionByName(rows), "twice", 6)  # an event and its repeat mostly land in different files
-    out = I.drained(t.spark, source, rows.schema, lambda s: I.deduplicated(s, "event_id", "ts", "400 days"), "append", _folder(t.spark, "state"), _folder(t.spark, "out"))
+    out = I.drained(t.spark, source, rows.schema, lambda s: I.deduplicated(s, "event_id", "ts", "400 days"), "append", _folder(t.spark, "state"), _folder(t.spark, "out"), files=2)
     return out.select("event_id", "user_id")
 
 
@@ -89,7 +90,13 @@ def i5_job_states(t: Tables) -> DataFrame:
 _LIFE = ("claimed", "claimed", "claimed", "claimed", "claimed", "failed", "queued", "failed", "succeeded", "cancelled", "unavailable", "started")
 
 
-@query("""
+def _lives(t: Tables) -> DataFrame:
+    kinds = F.array(*(F.lit(k) for k in _LIFE))
+    kind = F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % len(_LIFE)).cast("int"))
+    return t.lineitem.select(F.col("l_orderkey").alias("job"), F.col("l_shipdate").alias("at"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), kind.alias("kind"))
+
+
+_LIVES = """
 WITH e AS (SELECT l_orderkey AS job, l_shipdate AS ts, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
   ['claimed','claimed','claimed','claimed','claimed','failed','queued','failed','succeeded','cancelled','unavailable','started'][((l_partkey + l_linenumber) % 12)::INTEGER + 1] AS kind FROM lineitem),
 n AS (SELECT *, sum((kind = 'claimed')::INTEGER) OVER (PARTITION BY job ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n FROM e WHERE kind <> 'started'),
@@ -101,15 +108,41 @@ s AS (SELECT job, n::BIGINT AS attempts,
   CASE WHEN kind = 'failed' AND NOT ends THEN 'retry_wait' WHEN kind = 'unavailable' THEN 'failed' ELSE kind END AS stage,
   CASE WHEN kind = 'claimed' THEN epoch(ts)::BIGINT + 7776000 END AS lease_until,
   CASE WHEN kind = 'failed' AND NOT ends THEN epoch(ts)::BIGINT + least(3600, 15 * 2 ** greatest(n - 1, 0))::BIGINT END AS retry_at FROM r)
-SELECT *, (status = 'queued' OR coalesce(lease_until <= 883612800, false)) AND coalesce(retry_at, 0) <= 883612800 AS claimable FROM s""")
+"""
+
+
+@query(_LIVES + """SELECT *, (status = 'queued' OR coalesce(lease_until <= 883612800, false)) AND coalesce(retry_at, 0) <= 883612800 AS claimable FROM s""")
 def i5_job_lifecycle(t: Tables) -> DataFrame:
-    kinds = F.array(*(F.lit(k) for k in _LIFE))
-    kind = F.get(kinds, ((F.col("l_partkey") + F.col("l_linenumber")) % len(_LIFE)).cast("int"))
-    rows = t.lineitem.select(F.col("l_orderkey").alias("job"), F.col("l_shipdate").alias("at"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), kind.alias("kind"))
-    out = I.job_lifecycle(rows, "job", "id", "kind", "at", F.timestamp_seconds(F.lit(883612800)), lease=7776000, give_up=3)
+    out = I.job_lifecycle(_lives(t), "job", "id", "kind", "at", F.timestamp_seconds(F.lit(883612800)), lease=7776000, give_up=3)
     return out.select("job", "status", "stage", "attempts", F.unix_seconds("lease_until").alias("lease_until"), F.unix_seconds("retry_at").alias("retry_at"), "claimable")
 
 
+#: Days that an event may lie under way, and days from the last event to the end of the stream.
+_LATE, _AFTER = 60, 30
+
+
+@query(_LIVES + f""", o AS (SELECT epoch(max(l_shipdate))::BIGINT + {_AFTER} * 86400 AS as_of FROM lineitem)
+SELECT s.*, (status = 'queued' OR coalesce(lease_until <= as_of, false)) AND coalesce(retry_at, 0) <= as_of AS claimable FROM s, o""")
+def i5_job_lifecycle_stream(t: Tables) -> DataFrame:
+    """The events arrive up to 60 days late and out of order in four batches; leases of 90 days end between and after them by timers alone."""
+    rows = _lives(t).withColumn("at", F.col("at").cast("timestamp"))
+    arrives = F.date_add(F.col("at").cast("date"), F.pmod(F.crc32("id"), F.lit(_LATE)).cast("int"))
+    source = _folder(t.spark, "lives")
+    last = rows.agg(F.max("at").alias("m")).first()["m"]  # one value
+    edges = ["1000-01-01", "1994-01-01", "1996-01-01", "1997-06-01", "9999-01-01"]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        rows.where((arrives >= F.lit(low)) & (arrives < F.lit(high))).repartition(2).write.mode("append").parquet(source)
+    # a row of no job moves the watermark to the end
+    clock = F.lit(last) + F.make_interval(days=F.lit(_AFTER + _LATE + 1), secs=F.lit(1))
+    t.spark.range(1).select(F.lit(None).cast("bigint").alias("job"), clock.alias("at"), F.lit("").alias("id"), F.lit("clock").alias("kind")).write.mode("append").parquet(source)
+    with lifecycle.rocksdb(t.spark):
+        build = lambda s: lifecycle.job_lifecycle_stream(s, "job", "id", "kind", "at", f"{_LATE + 1} days", lease=7776000, give_up=3)
+        out = I.drained(t.spark, source, rows.schema, build, "update", _folder(t.spark, "state"), _folder(t.spark, "out"), files=2)
+    seconds = lambda c: F.floor(F.col(c) / 1_000_000).cast("long").alias(c)
+    x = out.select("job", "batch", F.struct("status", "stage", "attempts", seconds("lease_until"), seconds("retry_at"), "claimable").alias("x"))
+    return x.groupBy("job").agg(F.max_by("x", "batch").alias("x")).select("job", "x.*")
+
+
 @query(_FOLD)
 def i5_job_states_stream(t: Tables) -> DataFrame:
     rows = _events(t)
@@ -146,17 +179,28 @@ def i8_late_rows(t: Tables) -> DataFrame:
     return I.late_rows(_events(t), "ts", F.expr(f"timestamp '{_CUT}'"))
 
 
-@query(f"SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE::VARCHAR AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{_CUT}' GROUP BY 1")
-def i8_late_rows_stream(t: Tables) -> DataFrame:
-    """Events from the cut on land first and move the watermark past it; those before it come behind and are dropped."""
+def _late_stream(t: Tables, progress: list | None = None) -> DataFrame:
+    """Each day's last count. Events from the cut on land first and move the watermark past it; those before it come behind and are dropped."""
     rows = _events(t)
     source = _folder(t.spark, "late")
     late = F.col("ts") < F.expr(f"timestamp '{_CUT}'")
     rows.where(~late).repartition(1).write.parquet(source)
     span = rows.where(~late).agg(F.datediff(F.max("ts"), F.lit(_CUT)).alias("d")).first()["d"] or 0  # one number
-    build = lambda s: I.daily(s, "ts", f"{span} days")
+    build = lambda s: I.daily(I.seen(s), "ts", f"{span} days")
     target, state = _folder(t.spark, "out"), _folder(t.spark, "state")
-    I.drained(t.spark, source, rows.schema, build, "update", state, target)
+    I.drained(t.spark, source, rows.schema, build, "update", state, target, progress=progress)
     rows.where(late).repartition(2).write.mode("append").parquet(source)
-    out = I.drained(t.spark, source, rows.schema, build, "update", state, target)
-    return out.groupBy("day").agg(F.max_by("n", "batch").alias("n")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+    out = I.drained(t.spark, source, rows.schema, build, "update", state, target, progress=progress)
+    return out.groupBy("day").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE::VARCHAR AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{_CUT}' GROUP BY 1")
+def i8_late_rows_stream(t: Tables) -> DataFrame:
+    return _late_stream(t).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query(f"SELECT count(*) FILTER (ts < TIMESTAMP '{_CUT}') AS late, count(*) FILTER (ts >= TIMESTAMP '{_CUT}') AS in_time FROM events")
+def i8_counted_late_rows(t: Tables) -> DataFrame:
+    """Dropped and counted events as the stream itself reports them."""
+    progress: list = []
+    return I.late_counts(progress, _late_stream(t, progress))

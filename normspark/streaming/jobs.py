@@ -13,7 +13,10 @@ from normspark.functions import scalars as S
 
 
 def feed(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append rows with unseen keys to the table at ``target``; seen keys are the stream's state. A replayed batch changes nothing."""
+    """Append rows with unseen keys to the table at ``target``. A replayed batch changes nothing.
+
+    Seen keys are the stream's state for ever, as a catalog's key may come again at any time; ``deduplicated`` is the form with a horizon.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         # a batch overwrites its own partition, so writing it again is harmless
@@ -129,9 +132,29 @@ def daily(events: DataFrame, at: str, watermark: str) -> DataFrame:
     return events.withWatermark(at, watermark).groupBy(F.window(at, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "n")
 
 
-def drained(spark: SparkSession, path: str, schema, build: Callable[[DataFrame], DataFrame], mode: str, checkpoint: str, target: str) -> DataFrame:
-    """Run ``build`` over the files at ``path`` as a stream until all are read; every emitted row is in the result table."""
-    stream = spark.readStream.schema(schema).parquet(path)
+def seen(stream: DataFrame) -> DataFrame:
+    """``stream`` whose batches report how many rows they read, before any watermark takes some."""
+    return stream.observe("seen", F.count("*").alias("n"))
+
+
+def late_counts(progress: list, in_time: DataFrame, n: str = "n") -> DataFrame:
+    """Rows that a stream with ``seen`` read but that are in no window of its result: those that came behind the watermark.
+
+    ``in_time`` holds each window's last count. The numbers of dropped rows in the progress itself are of partial
+    aggregates, not of events. Sums a few numbers a batch; streams of over a hundred batches need
+    ``spark.sql.streaming.numRecentProgressUpdates`` raised to keep them all.
+    """
+    read = sum(p.observedMetrics["seen"]["n"] for p in progress if "seen" in p.observedMetrics)
+    return in_time.agg(F.coalesce(F.sum(n), F.lit(0)).alias("in_time")).select((F.lit(read) - F.col("in_time")).alias("late"), "in_time")
+
+
+def drained(spark: SparkSession, path: str, schema, build: Callable[[DataFrame], DataFrame], mode: str, checkpoint: str, target: str, files: int | None = None, progress: list | None = None) -> DataFrame:
+    """Run ``build`` over the files at ``path`` as a stream until all are read, ``files`` of them a batch; every emitted row is in the result table.
+
+    ``progress`` gets the progress of the run's batches.
+    """
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     out = build(stream)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -139,4 +162,6 @@ def drained(spark: SparkSession, path: str, schema, build: Callable[[DataFrame],
 
     query = out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out.schema)}, batch long").parquet(target)

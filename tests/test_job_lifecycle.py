@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from normspark.streaming import jobs
+from normspark.streaming import jobs, lifecycle
 
 START = datetime(2024, 1, 1)
 
@@ -30,3 +30,33 @@ def test_rules(spark):
         "four": ("queued", "retry_wait", 4, True), "five": ("failed", "failed", 5, False), "six": ("failed", "failed", 5, False),
     }
     assert states(spark, []) == {}
+
+
+def streamed(spark, tmp_path, *batches):
+    """Rows that the stream emits, batch by batch; a batch lists (job, event, minute, kind)."""
+    kind = "job string, event string, at timestamp, kind string"
+    for i, events in enumerate(batches):
+        rows = [(j, e, START + timedelta(minutes=m), k) for j, e, m, k in events]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with lifecycle.rocksdb(spark):
+            build = lambda s: lifecycle.job_lifecycle_stream(s, "job", "event", "kind", "at", "10 minutes")
+            out = jobs.drained(spark, f"{tmp_path}/in", kind, build, "update", f"{tmp_path}/state", f"{tmp_path}/out")
+        yield sorted((r.job, r.status, r.stage, r.attempts, r.claimable) for r in out.where(f"batch > {getattr(streamed, 'last', -1)}").distinct().collect())
+        streamed.last = out.agg(F.max("batch")).first()[0] or -1
+
+
+def test_timers_without_further_events(spark, tmp_path):
+    """A lease of five minutes and a wait of fifteen seconds end while only another job's events arrive."""
+    streamed.last = -1
+    clock = lambda m: ("clock", str(m), m, "queued")
+    got = list(streamed(
+        spark, tmp_path,
+        [("held", "2", 3, "claimed"), ("held", "1", 1, "queued"), ("fails", "1", 1, "claimed"), ("fails", "2", 2, "failed"), ("done", "1", 1, "claimed"), ("done", "2", 2, "succeeded"), clock(14)],
+        [clock(19)], [("done", "3", 18, "claimed"), ("done", "0", 1, "claimed"), clock(40)],
+    ))
+    first, second, third = ([x for x in g if x[0] != "clock"] for g in got)
+    # the watermark stands at minute 4: the lease is held, the wait of 15 seconds after minute 2 is over
+    assert first == [("done", "succeeded", "succeeded", 1, False), ("fails", "queued", "retry_wait", 1, True), ("held", "running", "claimed", 1, False)]
+    assert second == [("held", "running", "claimed", 1, True)]
+    # a closed job takes no more events, and one behind the watermark has no effect
+    assert third == [("done", "succeeded", "succeeded", 1, False)]

@@ -91,7 +91,7 @@ def test_bad_pages_are_rejected_whole(spark, tmp_path):
     row = {"idNorma": "1", "tipo": "Lei", "nuNorma": "1", "data": "09/03/1987", "nomeNorma": "Lei nº 1"}
     page = lambda n, rows, **more: {"number": n, "totalElements": 9, "totalPages": 3, "content": rows} | more
     good = json.dumps(page(0, [row, row | {"idNorma": "2"}]))
-    bodies = {0: good, 1: json.dumps(page(1, [row]))[:-30], 2: {"error": "busy"}, 3: page(8, [row]), 4: page(4, [row, row]), 5: page(5, [row, "x"]), 6: page(6, [], totalPages=None), 7: page(7, []), 8: "", 9: page(9, {"0": row}), 10: "[1]"}
+    bodies = {0: good, 1: json.dumps(page(1, [row]))[:-30], 2: {"error": "busy"}, 3: page(8, [row]), 4: page(4, [row, row]), 5: page(5, [row, "x"]), 6: page(6, [], totalPages=None), 7: page(7, []), 8: " ", 9: page(9, {"0": row}), 10: "[1]"}
     for n, body in bodies.items():
         put(tmp_path, f"page={n}.json", body)
     path = f"file://{tmp_path}/*.json"
