@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Known, model, per_text, slices, stored
 
 CAPACITY, END_ID = 4096, 2
-#: Bytes of remembered words per Python worker.
-CACHE = 64_000_000
+#: Bytes of remembered words per Python worker, by default and where packing is all that the workers do.
+CACHE, ALONE = 64_000_000, 160_000_000
 #: What a remembered word takes besides its characters and ids.
 ENTRY = 100
 
@@ -38,7 +38,7 @@ class WordIds:
     distinct word goes through the tokenizer once while it stays cached.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,7 +46,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.normal = self.tokenizer.normalizer
-        self.known = Known(CACHE)
+        self.known = Known(memory)
+        self.plain: set[str] = set()
         suffix = self.tokenizer.model.end_of_word_suffix
         if not suffix:
             raise ValueError("the tokenizer must mark the ends of words")
@@ -93,10 +94,18 @@ class WordIds:
         letters, mark = (word[:-1], word[-1]) if word[-1:] in (*".,;:!?",) else (word, "")
         if letters.isascii() and letters.isalpha():
             return letters.lower(), mark
-        if mark and letters.isalpha() and (self.normal.normalize_str(letters) if self.normal else letters).isalpha():
+        if mark and letters.isalpha() and (self.plain.issuperset(letters) or self._stay_letters(letters)):
             return letters, mark
         return word, ""
 
+    def _stay_letters(self, letters: str) -> bool:
+        for c in letters:
+            if c not in self.plain:
+                if not (self.normal.normalize_str(c) if self.normal else c).isalpha():
+                    return False
+                self.plain.add(c)
+        return True
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -104,13 +113,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, memory: int = CACHE) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: one row per piece, made in one pass over the texts."""
     path = path or default_tokenizer()
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(texts: list[str | None]) -> tuple[list, list]:
-        ids, sizes, sums = model(("words", path), lambda: WordIds(path)), [], []
+        ids, sizes, sums = model(("words", path, memory), lambda: WordIds(path, memory)), [], []
         for s in slices([len(t or "") for t in texts], 2_000_000):
             for raw in ids.encode([t or "" for t in texts[s]]):
                 raw += end
@@ -190,11 +199,11 @@ def ranked(rows: DataFrame, total: int) -> DataFrame:
     return salted.withColumn("within", within).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, memory: int = CACHE) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``."""
     import pyarrow as pa
 
-    rows = stored(pieces(docs, path, capacity), "pieces")
+    rows = stored(pieces(docs, path, capacity, memory), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = docs.sparkSession.sparkContext.broadcast(slots(pack(histogram, capacity)))  # bounded by the capacity, not the input
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -218,7 +227,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
 def digest(docs: DataFrame) -> DataFrame:
     """The columns of query ``op3_packing``."""
-    return packed(docs)
+    return packed(docs, memory=ALONE)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
