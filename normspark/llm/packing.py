@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Known, model, per_text, slices, stored
 
 CAPACITY, END_ID = 4096, 2
-#: Bytes of remembered words per Python worker, by default and where packing is all that the workers do.
-CACHE, ALONE = 64_000_000, 160_000_000
+#: Bytes of remembered words per Python worker.
+CACHE = 64_000_000
 #: What a remembered word takes besides its characters and ids.
 ENTRY = 100
 
@@ -227,7 +227,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, m
 
 def digest(docs: DataFrame) -> DataFrame:
     """The columns of query ``op3_packing``."""
-    return packed(docs, memory=ALONE)
+    return packed(docs)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
