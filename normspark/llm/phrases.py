@@ -33,6 +33,8 @@ WORDS, LEAST, TOP = 4, 30, 2000
 #: A candidate goes if a longer one that contains it has this share of its count, in hundredths.
 ABSORBED = 80
 SCORE = 2_000_000
+#: Parts in which a language's phrases are ranked before they meet.
+SALTS = 32
 #: Counters of one hash partition at most, as planned from the size of the texts.
 COUNTERS = 1 << 18
 #: Bits of a bitmap of survivors at most, as a power of two (32 MB).
@@ -359,8 +361,11 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, absorbed: int =
     inside = known.where(F.size("w") > 2).select("lang", F.explode(inner).alias("phrase"), F.col("a").alias("longer"))
     inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     left = scored.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (_big(F.col("longer")) * 100 < _big(F.col("a")) * absorbed))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    scored = left.select("lang", "phrase", "a", "best.l", "best.r", "best.score", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt"))
+    # the first of a language are among the first of each of its salts, so that the last sort has at most SALTS * top rows
+    first = scored.withColumn("at", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("at") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
