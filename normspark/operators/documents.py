@@ -182,8 +182,8 @@ def carried(rows: DataFrame, doc: str) -> DataFrame:
     prefix = F.when(F.col("component") == "adct", "adct:art:").otherwise("art:")
     out = out.withColumn("art", F.when(F.col("kind") == "article", F.concat(prefix, canonical_article(get(ARTICLE, 1)))))
     out = out.withColumn("a", F.count("art").over(upto("component"))).withColumn("article", F.last("art", ignorenulls=True).over(upto("component"))).where("article is not null")
-    unico = F.lower(get(PARAGRAPH, 1)).startswith("parágrafo")
-    par = F.when(F.col("kind") == "paragraph", F.concat("article", F.lit(".par:"), F.when(unico, "unico").otherwise(get(PARAGRAPH, 2).cast("int").cast("string"))))
+    unico, number = F.lower(get(PARAGRAPH, 1)).startswith("parágrafo"), F.regexp_replace(get(PARAGRAPH, 2), r"^0+(?=\d)", "")
+    par = F.when(F.col("kind") == "paragraph", F.concat("article", F.lit(".par:"), F.when(unico, "unico").otherwise(number)))
     out = out.withColumn("par", par).withColumn("p", F.count("par").over(upto("component", "a")))
     out = out.withColumn("parent", F.coalesce(F.last("par", ignorenulls=True).over(upto("component", "a")), "article"))
     out = out.withColumn("inc", F.when(F.col("kind") == "item", F.concat("parent", F.lit(".inciso:"), F.upper(get(ITEM, 1)))))
@@ -195,7 +195,7 @@ def carried(rows: DataFrame, doc: str) -> DataFrame:
         doc, "pos", "kind", "note",
         F.coalesce(by(F.col("art"), F.col("par"), F.col("inc"), F.concat(holder, F.lit(".alinea:"), F.lower(get(SUBITEM, 1)))), "parent").alias("node_id"),
         by(F.lit(None), F.col("article"), F.col("parent"), holder).alias("parent_id"),
-        F.coalesce(by(article_label(get(ARTICLE, 1)), F.when(unico, "Parágrafo único").otherwise(F.concat(F.lit("§ "), get(PARAGRAPH, 2).cast("int").cast("string"), F.lit("º"))), F.upper(get(ITEM, 1)), F.lower(get(SUBITEM, 1))), F.lit("")).alias("label"),
+        F.coalesce(by(article_label(get(ARTICLE, 1)), F.when(unico, "Parágrafo único").otherwise(F.concat(F.lit("§ "), number, F.lit("º"))), F.upper(get(ITEM, 1)), F.lower(get(SUBITEM, 1))), F.lit("")).alias("label"),
         collapse(F.coalesce(by(get(ARTICLE, 2), get(PARAGRAPH, 3), get(ITEM, 2), get(SUBITEM, 2)), "text")).alias("text"),
     )
 

@@ -10,6 +10,7 @@ from normspark.functions import scalars as S
 from normspark.operators import documents as B
 from normspark.operators.changes import latest
 from normspark.plans.registry import Tables, query
+from normspark.sql import register
 
 
 def _drafted(t: Tables) -> DataFrame:
@@ -172,11 +173,27 @@ def b16_amending_law(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.note_law_number(note).alias("number"), S.note_law_year(note).alias("year"))
 
 
-@query()
+_NODES = f"""WITH {_MARKED},
+c AS (SELECT *, CASE WHEN kind IN ('article', 'paragraph') THEN regexp_replace(raw, '^[.\\-–—]?\\s*', '') ELSE raw END AS own FROM ids JOIN l USING (doc_id, pos)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS order_index FROM c WHERE kind <> 'continuation' AND (own <> '' OR kind = 'article'))
+SELECT doc_id, node_id, parent_id AS parent_node_id, kind AS node_type, CASE pos % 6 WHEN 0 THEN 'Art. ' || (pos // 6 + 1) || 'º' WHEN 1 THEN 'I' WHEN 2 THEN 'a' WHEN 3 THEN '§ 1º' ELSE 'II' END AS label,
+  CASE WHEN kind = 'paragraph' AND follow IS NOT NULL AND NOT contains(own, follow) THEN own || ' ' || follow ELSE own END AS text, '' AS source_note, order_index::INTEGER AS order_index
+FROM k LEFT JOIN (SELECT doc_id, pos - 2 AS pos, 'seguem ' || raw AS follow FROM l WHERE pos % 6 = 5) USING (doc_id, pos)"""
+
+
+@query(_NODES)
 def b_legal_nodes(t: Tables) -> DataFrame:
     return B.legal_nodes(_drafted(t), "doc_id")
 
 
+@query(_NODES)
+def k_legal_nodes(t: Tables) -> DataFrame:
+    """The same from SQL: the table function on documents as partitions."""
+    register(t.spark)
+    _drafted(t).createOrReplaceTempView("drafted_documents")
+    return t.spark.sql("SELECT * FROM legal_nodes(TABLE(drafted_documents) PARTITION BY (doc_id), 'doc_id', 'lines')")
+
+
 @query("""
 WITH n AS (SELECT doc_id, (len(x) + 5) // 6 AS k FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '[ \t\r]+', ' ', 'g'), ' ')), lambda s: s <> '') AS x FROM documents))
 SELECT doc_id, k AS source_articles, k AS parsed_articles, 0 AS missing, 'review_required' AS assessment FROM n""")

@@ -1,5 +1,5 @@
 """SQL-callable forms of the scalar functions, query parsing and the document parser, for ad-hoc queries:
-temporary SQL functions, one table function and a view of provisions."""
+temporary SQL functions, two table functions and a view of provisions."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql.functions import udtf
 from normspark.functions import scalars
 from normspark.functions.scalars import ACCENTED, PLAIN
 from normspark.operators.documents import legal_nodes, paragraphs_of
+from normspark.operators.node_table import LegalNodes
 
 _FOLD = f"translate(lower(x), '{ACCENTED}', '{PLAIN}')"
 _DIGITS = "regexp_replace(x, '[^0-9]', '')"
@@ -88,12 +89,13 @@ def register(spark: SparkSession) -> list[str]:
     for name, params, kind, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
     spark.udtf.register("html_paragraphs", HtmlParagraphs)
-    return [f[0] for f in FUNCTIONS] + ["html_paragraphs"]
+    spark.udtf.register("legal_nodes", LegalNodes)
+    return [f[0] for f in FUNCTIONS] + ["html_paragraphs", "legal_nodes"]
 
 
 def nodes_view(spark: SparkSession, documents: str, doc: str, name: str = "legal_nodes", lines: str = "lines") -> None:
     """Make the provisions of the view ``documents`` (columns ``doc`` and ``lines``, an array of paragraphs) a temporary view.
 
-    The parser is joins and windows over whole tables, so it is a view and no table function by row.
+    This is the parser as joins and windows over whole tables; ``legal_nodes(TABLE(...) PARTITION BY ...)`` gives the same rows.
     """
     legal_nodes(spark.table(documents), doc, lines).createOrReplaceTempView(name)
