@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normspark.operators.ranges import previous
 from normspark.storage import stored
 
 
@@ -56,8 +57,7 @@ def page_completeness(rows: DataFrame, source: str, page: str, declared: str, si
 
 def order_breaks(rows: DataFrame, source: str, position: Sequence[str], key: str) -> DataFrame:
     """Rows whose key is not above the key before, within a source."""
-    before = F.lag(key).over(Window.partitionBy(source).orderBy(*position))
-    return rows.withColumn("previous", before).where(F.col("previous") >= F.col(key))
+    return previous(rows, source, position, key).where(F.col("previous") >= F.col(key))
 
 
 def duplicate_routes(rows: DataFrame, key: str) -> DataFrame:

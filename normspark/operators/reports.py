@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normspark.operators.ranges import greedy, running
+
 
 def catalog_stats(rows: DataFrame, by: str, with_text: Column, unavailable: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("total"), F.count_if(with_text).alias("with_text"), F.count_if(unavailable).alias("unavailable"))
@@ -63,31 +65,12 @@ def bad_checksums(rows: DataFrame, key: str, body: str, checksum: str) -> DataFr
 
 def cumulative_bins(rows: DataFrame, bucket: str, order: Sequence[str], size: str, budget: int) -> DataFrame:
     """Consecutive rows of a bucket in bins by the running sum of sizes before them."""
-    before = F.sum(size).over(Window.partitionBy(bucket).orderBy(*order)) - F.col(size)
-    return rows.withColumn("bin", F.floor(before / budget))
+    return running(rows, bucket, order, F.col(size), "__upto").withColumn("bin", F.floor((F.col("__upto") - F.col(size)) / budget)).drop("__upto")
 
 
 def greedy_batches(rows: DataFrame, bucket: str, key: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """Consecutive rows of a bucket until the count or the byte budget is full; an oversized row stands alone.
-
-    The cut depends on all rows before it, so a bucket is folded in one task; buckets bound its size.
-    """
-    import pandas as pd
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        batch = n = total = 0
-        out = []
-        for s in pdf[size]:
-            if n and (n >= max_rows or total + s > max_bytes):
-                batch, n, total = batch + 1, 0, 0
-            out.append(batch)
-            n, total = n + 1, total + s
-        return pdf.assign(batch=out)
-
-    part = rows.select(bucket, key, size)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema)
-    return part.groupBy(bucket).applyInPandas(cut, f"{kinds}, batch long")
+    """Consecutive rows of a bucket until the count or the byte budget is full; an oversized row stands alone."""
+    return greedy(rows.select(bucket, key, size), bucket, [key], size, max_rows, max_bytes)
 
 
 def coverage_status(laws: DataFrame, key: str, snapshots: DataFrame, nodes: DataFrame, changes: DataFrame) -> DataFrame:

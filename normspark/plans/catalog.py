@@ -116,6 +116,14 @@ def c5_order_breaks(t: Tables) -> DataFrame:
     return C.order_breaks(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", ["l_linenumber", "l_partkey"], "l_partkey")
 
 
+@query("""
+SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS previous FROM lineitem) WHERE previous >= l_partkey""")
+def c5_order_breaks_one_source(t: Tables) -> DataFrame:
+    """All rows in one source: cut into ranges, whose last keys are passed on."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").withColumn("source", F.lit("all"))
+    return C.order_breaks(rows, "source", ["l_orderkey", "l_linenumber", "l_partkey"], "l_partkey").drop("source")
+
+
 @query("""
 SELECT text_id, n, CASE WHEN a = b AND c = d THEN 'repeat' ELSE 'conflict' END AS route FROM (
   SELECT sha256(text) AS text_id, count(*) AS n, min(source) AS a, max(source) AS b, min(lang) AS c, max(lang) AS d FROM documents GROUP BY 1) WHERE n > 1""")

@@ -155,6 +155,17 @@ def f18_greedy_batches(t: Tables) -> DataFrame:
     return R.greedy_batches(rows, "bucket", "doc_id", "n_chars", 25, 20_000)
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT doc_id, n_chars, k, 0 AS batch, 1 AS n, n_chars AS total FROM o WHERE k = 1 UNION ALL
+  SELECT o.doc_id, o.n_chars, o.k, CASE WHEN f.n >= 25 OR f.total + o.n_chars > 20000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n >= 25 OR f.total + o.n_chars > 20000 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN f.n >= 25 OR f.total + o.n_chars > 20000 THEN o.n_chars ELSE f.total + o.n_chars END FROM f JOIN o ON o.k = f.k + 1)
+SELECT doc_id, n_chars, batch::BIGINT AS batch FROM f""")
+def f18_greedy_batches_one_bucket(t: Tables) -> DataFrame:
+    """The whole table as one bucket."""
+    return R.greedy_batches(t.documents.select(F.lit(0).alias("bucket"), "doc_id", "n_chars"), "bucket", "doc_id", "n_chars", 25, 20_000).drop("bucket")
+
+
 @query("""
 SELECT count(*) FILTER (text IS NULL) AS pending, count(*) FILTER (text IS NOT NULL) AS pointed, count(DISTINCT source) AS keys, coalesce(sum(n_chars), 0)::BIGINT AS bytes,
   count(*) FILTER (n_chars <> length(text)) AS inconsistent, round(100.0 * count(text) / count(*), 2)::DOUBLE AS progress FROM documents""")
