@@ -78,6 +78,41 @@ def blame(nodes: DataFrame, changes: DataFrame, key: Sequence[str], order: Seque
     return out.withColumn("status", F.when(F.col("__has"), "identified").otherwise("not_identified")).drop("__has")
 
 
+def with_ancestors(nodes: DataFrame, law: str, node: str, carried: Sequence[str] = ()) -> DataFrame:
+    """Each node with itself and all provisions above it: ``holder`` and ``distance`` (0 for itself). ``art:1.par:2`` is below ``art:1``."""
+    parts = F.split(node, r"\.")
+    depth = F.size(parts)
+    above = F.transform(F.sequence(F.lit(0), depth - 1), lambda d: F.struct(F.array_join(F.slice(parts, F.lit(1), depth - d), ".").alias("holder"), d.alias("distance")))
+    return nodes.select(law, node, *carried, F.inline(above))
+
+
+def device_relations(nodes: DataFrame, relations: DataFrame, law: str, node: str) -> DataFrame:
+    """The relations of every node and of the provisions that hold it: ``law``, ``node``, ``holder``, ``distance`` and the relation's columns, one row each.
+
+    A node's path is exploded once, into as many keys as it is deep, and joined by (law, path); nothing is collected by node.
+    """
+    paths = with_ancestors(nodes.select(law, node).where(F.col(node).isNotNull()).distinct(), law, node)
+    related = relations.withColumnRenamed(node, "holder")
+    return paths.join(related, [law, "holder"]).select(law, node, "holder", "distance", *(c for c in related.columns if c not in (law, "holder")))
+
+
+def provenance(nodes: DataFrame, changes: DataFrame, relations: DataFrame, law: str, node: str, change: str, comparable: str, order: Sequence[Column]) -> DataFrame:
+    """Every node's change (the first comparable one in ``order``, else the first), its own relations and those of the provisions above it, counted, and ``status``.
+
+    verified: there is a comparable change; partial: another change or a relation of its own; else not_identified.
+    """
+    chosen = latest(changes, [law, node], [F.desc(F.coalesce(F.col(comparable), F.lit(False))), *order]).select(law, node, F.col(change).alias("change_id"), F.coalesce(F.col(comparable), F.lit(False)).alias("__comparable"))
+    # counted by provision first, so that a provision with many relations meets those below it as one row
+    known = relations.groupBy(law, F.col(node).alias("holder")).agg(F.count("*").alias("__n"))
+    counted = with_ancestors(nodes.select(law, node).where(F.col(node).isNotNull()).distinct(), law, node).join(known, [law, "holder"])
+    counted = counted.groupBy(law, node).agg(F.sum(F.when(F.col("distance") == 0, F.col("__n")).otherwise(0)).alias("relations"), F.sum(F.when(F.col("distance") > 0, F.col("__n")).otherwise(0)).alias("inherited"))
+    out = nodes.join(chosen, [law, node], "left").join(counted, [law, node], "left")
+    none = F.lit(0).cast("long")
+    out = out.withColumn("relations", F.coalesce("relations", none)).withColumn("inherited", F.coalesce("inherited", none))
+    status = F.when(F.col("__comparable"), "verified").when(F.col("__comparable").isNotNull() | (F.col("relations") > 0), "partial").otherwise("not_identified")
+    return out.withColumn("status", status).drop("__comparable")
+
+
 def timeline(changes: DataFrame, events: DataFrame) -> DataFrame:
     """One schema (law, kind, id, day) for changes and events; a missing date sorts as 0000-01-01, the newest first."""
     both = changes.withColumn("kind", F.lit("change")).unionByName(events.withColumn("kind", F.lit("event")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,61 @@ def compare_copies(left: DataFrame, right: DataFrame, key: str, cols: Sequence[s
     return out.withColumn("verdict", F.when(F.col("only_left") + F.col("only_right") + F.col("different") == 0, "equal").otherwise("different"))
 
 
+LANES = 8
+
+
+def row_text(rows: DataFrame) -> Column:
+    """A row as one text that tells any two rows apart: names in order, each value with its length, null as ``-``."""
+    def value(name: str) -> Column:
+        text = rows[name].cast("string") if rows.schema[name].dataType.typeName() not in ("struct", "array", "map", "variant") else F.to_json(rows[name])
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.concat_ws(",", *(value(c) for c in sorted(rows.columns)))
+
+
+def schema_digest(rows: DataFrame) -> str:
+    """SHA-256 of names and types in the order of names."""
+    return hashlib.sha256(",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(rows.schema.fields, key=lambda f: f.name)).encode()).hexdigest()
+
+
+def dataset_fingerprint(rows: DataFrame, status: str, required: dict[str, Column] | None = None) -> DataFrame:
+    """One row: ``n``, ``rows_digest``, ``status_counts`` and ``checks`` (JSON objects), ``schema_digest``.
+
+    ``rows_digest`` is of the multiset of rows: the eight 32-bit words of each row's SHA-256 are summed by themselves, so no
+    order and no sort is needed, repeats count, and partial sums are merged. ``required`` names records that must be there by a
+    condition; ``checks`` holds the digest of the rows that meet it (the greatest, if several do) or an empty text.
+    A null status counts as ``null``. An empty table has n = 0 and a digest too.
+    """
+    hashed = rows.withColumn("__h", F.sha2(row_text(rows), 256)).withColumn("__status", F.coalesce(rows[status].cast("string"), F.lit("null")))
+    words = [F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(LANES)]
+    checks = {name: F.max(F.when(c, F.col("__h"))) for name, c in sorted((required or {}).items())}
+    counts = hashed.groupBy("__status").agg(F.count("*").alias("n"), *(F.sum(w).alias(f"w{i}") for i, w in enumerate(words)), *(c.alias(f"check_{k}") for k, c in checks.items()))
+    total = [F.coalesce(F.sum(F.col(f"w{i}")), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(LANES)]
+    found = [x for k in checks for x in (F.lit(k), F.coalesce(F.max(f"check_{k}"), F.lit("")))]
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("__status").alias("k"), F.col("n").alias("v"))))  # one entry a status
+    return counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.concat_ws(",", *total), 256).alias("rows_digest"), F.to_json(F.map_from_entries(pairs)).alias("status_counts"),
+        F.to_json(F.create_map(*found) if found else F.lit(None).cast("map<string,string>")).alias("checks"), F.lit(schema_digest(rows)).alias("schema_digest"),
+    )
+
+
+def compare_fingerprints(restored: DataFrame, expected: DataFrame) -> DataFrame:
+    """``verdict`` (equal, different) and ``reasons`` of two fingerprints: row counts, schema, status counts, rows, and each required record that is missing in ``expected``, lost or changed."""
+    a, b = (df.select(F.struct(*df.columns).alias(x)) for df, x in ((restored, "a"), (expected, "b")))
+    both = a.crossJoin(F.broadcast(b))  # one row each
+    differs = lambda name, what: F.when(~F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}")), what)
+    ours, theirs = (F.coalesce(F.from_json(f"{x}.checks", "map<string,string>"), F.create_map().cast("map<string,string>")) for x in "ab")
+
+    def record(k: Column) -> Column:
+        mine, wanted = (F.coalesce(F.try_element_at(m, k), F.lit("")) for m in (ours, theirs))
+        what = F.when(wanted == "", "no required record ").when(mine == "", "lost record ").when(mine != wanted, "changed record ")
+        return F.concat(what, k)
+
+    keys = F.array_sort(F.array_union(F.map_keys(ours), F.map_keys(theirs)))
+    found = F.array(differs("n", "row counts"), differs("schema_digest", "schema"), differs("status_counts", "status counts"), differs("rows_digest", "rows"))
+    return both.select(F.array_compact(F.concat(found, F.transform(keys, record))).alias("reasons")).select(F.when(F.size("reasons") == 0, "equal").otherwise("different").alias("verdict"), "reasons")
+
+
 def bad_checksums(rows: DataFrame, key: str, body: str, checksum: str) -> DataFrame:
     """Keys whose payload is missing or does not have the recorded sha256."""
     reason = F.when(F.col(body).isNull(), "missing").when(F.sha2(F.col(body), 256) != F.col(checksum), "mismatch")

@@ -129,6 +129,42 @@ def d11_provenance(t: Tables) -> DataFrame:
     return out.select("l_partkey", "l_orderkey", "l_linenumber", F.when(comparable, "verified").otherwise("partial").alias("status"))
 
 
+_TREE = """
+WITH d AS (SELECT o_orderkey AS law, unnest(['art:1', 'art:1.par:1', 'art:1.par:1.inciso:I', 'art:1.par:1.inciso:II', 'art:10', 'art:10.par:unico', 'art:2']) AS node_id FROM orders),
+x AS (SELECT l_orderkey AS law, ['art:1', 'art:1.par:1', 'art:1.par:1.inciso:I', 'art:1.par:1.inciso:II', 'art:10', 'art:10.par:unico', 'art:2'][l_linenumber] AS node_id, * FROM lineitem WHERE l_linenumber <= 7),
+c AS (SELECT *, l_returnflag = 'A' AS comparable FROM x WHERE l_returnflag <> 'N'), r AS (SELECT * FROM x WHERE l_returnflag = 'N')"""
+
+
+@query(f"""{_TREE},
+b AS (SELECT *, row_number() OVER (PARTITION BY law, node_id ORDER BY comparable DESC, l_shipdate DESC NULLS LAST, l_suppkey, l_partkey) AS rn FROM c),
+n AS (SELECT d.law, d.node_id, count(r.law) FILTER (r.node_id = d.node_id) AS relations, count(r.law) FILTER (r.node_id <> d.node_id) AS inherited
+  FROM d LEFT JOIN r ON r.law = d.law AND (r.node_id = d.node_id OR starts_with(d.node_id, r.node_id || '.')) GROUP BY 1, 2)
+SELECT n.law, n.node_id, b.l_suppkey AS change_id, relations, inherited, CASE WHEN comparable THEN 'verified' WHEN b.law IS NOT NULL OR relations > 0 THEN 'partial' ELSE 'not_identified' END AS status
+FROM n LEFT JOIN b ON b.law = n.law AND b.node_id = n.node_id AND rn = 1""")
+def d11_node_provenance(t: Tables) -> DataFrame:
+    """Every device of every law: its change, relations of its own and from above, and all three kinds of status."""
+    devices, lines = _tree(t)
+    changes = lines.where("l_returnflag <> 'N'").withColumn("comparable", F.col("l_returnflag") == "A")
+    order = [F.desc_nulls_last("l_shipdate"), F.col("l_suppkey"), F.col("l_partkey")]
+    return D.provenance(devices, changes, lines.where("l_returnflag = 'N'"), "law", "node_id", "l_suppkey", "comparable", order)
+
+
+@query(f"""{_TREE}
+SELECT d.law, d.node_id, r.node_id AS holder, length(d.node_id) - length(replace(d.node_id, '.', '')) - length(r.node_id) + length(replace(r.node_id, '.', '')) AS distance, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS signed_at
+FROM d JOIN r ON r.law = d.law AND (r.node_id = d.node_id OR starts_with(d.node_id, r.node_id || '.'))""")
+def d11_device_relations(t: Tables) -> DataFrame:
+    devices, lines = _tree(t)
+    relations = lines.where("l_returnflag = 'N'").select("law", "node_id", "l_suppkey", _day("l_shipdate").alias("signed_at"))
+    return D.device_relations(devices, relations, "law", "node_id").withColumn("distance", F.col("distance").cast("long"))
+
+
+def _tree(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Seven devices a law, and lines as what is known of the device of their number."""
+    paths = F.array(*map(F.lit, ("art:1", "art:1.par:1", "art:1.par:1.inciso:I", "art:1.par:1.inciso:II", "art:10", "art:10.par:unico", "art:2")))
+    lines = t.lineitem.where("l_linenumber <= 7").withColumn("law", F.col("l_orderkey")).withColumn("node_id", F.get(paths, F.col("l_linenumber").cast("int") - 1))
+    return t.orders.select(F.col("o_orderkey").alias("law"), F.explode(paths).alias("node_id")), lines
+
+
 @query("""
 SELECT l_orderkey AS law, 'change' AS kind, l_linenumber::BIGINT AS id, strftime(l_shipdate, '%Y-%m-%d') AS sort_day FROM lineitem
 UNION ALL SELECT o_orderkey, 'event', o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN '0000-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END FROM orders""")

@@ -132,6 +132,55 @@ def f16_compare_copies(t: Tables) -> DataFrame:
     return R.compare_copies(t.nation, right, "n_nationkey", ["n_name", "n_regionkey"])
 
 
+def _part(table: str, cols: list[str]) -> str:
+    text = " || ',' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in sorted(cols))
+    return f"SELECT *, sha256({text}) AS h FROM {table}"
+
+
+_PRINTED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+_WORDS = " || ',' || ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::HUGEINT)::VARCHAR" for i in range(R.LANES))
+
+
+@query(f"""
+WITH p AS ({_part("(SELECT * REPLACE (o_orderdate::DATE AS o_orderdate) FROM orders)", _PRINTED)}), s AS (SELECT o_orderstatus AS k, count(*) AS v FROM p GROUP BY 1)
+SELECT count(*) AS n, sha256({_WORDS}) AS rows_digest, (SELECT '{{' || string_agg('"' || k || '":' || v, ',' ORDER BY k) || '}}' FROM s) AS status_counts,
+  '{{"first":"' || coalesce(max(h) FILTER (o_orderkey = 1), '') || '","none":""}}' AS checks,
+  sha256('o_custkey:bigint,o_orderdate:date,o_orderkey:bigint,o_orderpriority:string,o_orderstatus:string') AS schema_digest FROM p""")
+def f15_dataset_fingerprint(t: Tables) -> DataFrame:
+    """Digest of the multiset of rows, of the schema, status counts and two records, one of which is not there."""
+    return R.dataset_fingerprint(_printed(t), "o_orderstatus", {"first": F.col("o_orderkey") == 1, "none": F.col("o_orderkey") < 0})
+
+
+def _printed(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("date"))
+
+
+@query("""
+WITH c AS (SELECT 'type' AS copy, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders UNION ALL SELECT 'again', o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders
+  UNION ALL SELECT 'lost', o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey <> 1
+  UNION ALL SELECT 'text', o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey = 1 THEN 'x' ELSE o_orderpriority END FROM orders),
+s AS (SELECT copy, string_agg(k || v, ',' ORDER BY k) AS s FROM (SELECT copy, o_orderstatus AS k, count(*) AS v FROM c GROUP BY ALL) GROUP BY 1),
+g AS (SELECT copy, count(*) AS n, count(*) FILTER (o_orderkey = 1) AS has, count(*) FILTER (o_orderkey = 1 AND o_orderpriority <> 'x') AS same,
+  count(*) FILTER (EXISTS (SELECT 1 FROM orders o WHERE (o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_orderpriority) = (c.o_orderkey, c.o_custkey, c.o_orderstatus, c.o_orderpriority))) AS equal FROM c GROUP BY 1)
+SELECT copy, CASE WHEN r = '' THEN 'equal' ELSE 'different' END AS verdict, r AS reasons FROM (SELECT copy, concat_ws(', ', CASE WHEN n <> (SELECT count(*) FROM orders) THEN 'row counts' END, CASE WHEN copy = 'type' THEN 'schema' END,
+  CASE WHEN s <> (SELECT s FROM s WHERE copy = 'again') THEN 'status counts' END, CASE WHEN equal <> (SELECT count(*) FROM orders) THEN 'rows' END,
+  CASE WHEN has = 0 THEN 'lost record first' WHEN same = 0 THEN 'changed record first' END) AS r FROM g JOIN s USING (copy))""")
+def f16_compare_fingerprints(t: Tables) -> DataFrame:
+    """Copies of one table: the same again in another order, one with a changed type, one that lost a record, one with a changed text."""
+    rows = _printed(t).drop("o_orderdate")
+    copies = {
+        "again": rows.repartition(3, "o_custkey"), "type": rows.withColumn("o_custkey", F.col("o_custkey").cast("string")), "lost": rows.where("o_orderkey <> 1"),
+        "text": rows.withColumn("o_orderpriority", F.when(F.col("o_orderkey") == 1, "x").otherwise(F.col("o_orderpriority"))),
+    }
+    required = {"first": F.col("o_orderkey") == 1}
+    expected, out = R.dataset_fingerprint(rows, "o_orderstatus", required), None
+    for name, copy in copies.items():
+        one = R.compare_fingerprints(R.dataset_fingerprint(copy, "o_orderstatus", required), expected)
+        one = one.select(F.lit(name).alias("copy"), "verdict", F.array_join("reasons", ", ").alias("reasons"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'missing' ELSE 'mismatch' END AS reason FROM documents WHERE doc_id % 50 = 0 OR doc_id % 77 = 1")
 def f17_bad_checksums(t: Tables) -> DataFrame:
     body = F.encode("text", "UTF-8")
