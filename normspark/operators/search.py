@@ -8,7 +8,7 @@ anything for. Nothing scans the catalog per query: every stage is an equi join o
 from __future__ import annotations
 
 import difflib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,18 +24,20 @@ def parsed(queries: DataFrame) -> DataFrame:
     # exploding a single element keeps the parsed struct from being computed anew by each of its many readers
     out = queries.select("query_id", "query", F.explode(F.array(parse_query(F.col("query")))).alias("p")).withColumn("normal", normalize_query(F.col("query")))
     one = F.size(F.split("p.terms", " ")) == 1
-    return out.select("*", F.when(one, adjacent_transpositions(F.col("p.terms"))).otherwise(F.array().cast("array<string>")).alias("swapped"))
+    return out.select("*", F.when(one, adjacent_transpositions(F.col("p.terms"))).otherwise(F.array().cast("array<string>")).alias("swapped"), letters(F.col("p.terms")).alias("letters"))
 
 
 def prepared(catalog: DataFrame) -> DataFrame:
     """The catalog with its normalised forms and number parts."""
     base = F.regexp_extract("number", r"^(.*?)(?:-(\d+))?$", 1)
     names = F.concat(F.array("title"), "aliases", F.array(F.concat("law_type", F.lit(" "), "number", F.lit("/"), F.col("year").cast("string")), F.concat("number", F.lit("/"), F.col("year").cast("string")), F.col("number")))
-    return catalog.select(
+    out = catalog.select(
         "*", digits_only(base).alias("number_base"), F.nullif(F.regexp_extract("number", r"-(\d+)$", 1), F.lit("")).alias("sequence"),
         F.array_distinct(F.transform(names, normalize_query)).alias("names"), normalize_query(F.col("title")).alias("n_title"),
         normalize_query(F.coalesce("description", F.lit(""))).alias("n_description"), F.transform("aliases", normalize_query).alias("n_aliases"),
     )
+    words = F.array_distinct(F.filter(F.split(F.concat_ws(" ", "names", "n_description"), " "), lambda w: w != ""))
+    return out.select("*", F.transform("names", letters).alias("name_letters"), words.alias("name_words"))
 
 
 def _typed(q: DataFrame) -> Column:
@@ -124,6 +126,39 @@ def first_stage(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("least", least).where("stage = least").select("query_id", "slug", "stage")
 
 
+# Classes of characters, four bits each: the first 16 in one number, the others in a second one.
+_CLASSES = (*"abcdefghijklmnopqrstuvwxyz", " ", "01", "23", "45", "67", "89")
+
+
+def letters(text: Column) -> Column:
+    """How often each class of characters occurs, up to four times as that many set bits; ``rest``: all further characters; ``n``: the length."""
+    n = F.length(text)
+    counts = [n - F.length(F.translate(text, c, "")) for c in _CLASSES]
+    bits = [F.shiftleft(F.get(F.array(*(F.lit(x).cast("long") for x in (0, 1, 3, 7, 15))), F.least(c, F.lit(4))), 4 * (i % 16)) for i, c in enumerate(counts)]
+    low, high = (reduce(lambda a, b: a.bitwiseOR(b), bits[i : i + 16]) for i in (0, 16))
+    return F.struct(low.alias("low"), high.alias("high"), (n - sum((F.least(c, F.lit(4)) for c in counts), F.lit(0))).alias("rest"), n.alias("n"))
+
+
+def most_alike(a: Column, b: Column) -> Column:
+    """No ratio of two texts with these ``letters`` is greater: it counts characters in common blocks, and no more can be common than both have."""
+    both = F.bit_count(a["low"].bitwiseAND(b["low"])) + F.bit_count(a["high"].bitwiseAND(b["high"])) + F.least(a["rest"], b["rest"])
+    return 2.0 * both / (a["n"] + b["n"])
+
+
+def _maybe_alike(t: Column, w: Column) -> Column:
+    """False where the ratio of two words is surely below 0.72: by their lengths, then by the characters that the other one has, too."""
+    n, m = F.length(t), F.length(w)
+    both = F.least(n - F.length(F.call_function("translate", t, w, F.lit(""))), m - F.length(F.call_function("translate", w, t, F.lit(""))))
+    return (2.0 * F.least(n, m) / (n + m) >= 0.72) & (2.0 * both / (n + m) >= 0.72)
+
+
+def could_match(terms: Column, asked: Column, name_letters: Column, name_words: Column) -> Column:
+    """False where ``best_ratio`` is surely 0: no name can reach 0.56, and some word of ``terms`` is close to no word of the names and the description."""
+    near = F.exists(name_letters, lambda x: (x["n"] > 0) & (most_alike(asked, x) >= 0.56))
+    close = F.forall(F.filter(F.split(terms, " "), lambda t: t != ""), lambda t: F.exists(name_words, lambda w: _maybe_alike(t, w)))
+    return F.coalesce((terms != "") & (near | close), F.lit(False))
+
+
 @lru_cache(maxsize=200_000)
 def _alike(token: str, word: str) -> bool:
     """Two words with a ratio of at least 0.72; the cheap upper bounds are tried first."""
@@ -230,7 +265,12 @@ def search(queries: DataFrame, catalog: DataFrame, articles: DataFrame | None =
     if native:
         best = F.array_max(F.transform("names", lambda n: edit_ratio(terms, n)))
     else:
-        best = best_ratio(terms, F.col("names"), F.col("n_description"))
+        # rows that cannot reach 0.56 send nothing to Python; exploding one element keeps the bound from being computed anew by each reader
+        may = could_match(terms, F.col("letters"), F.col("name_letters"), F.col("name_words"))
+        sent = F.when(may, F.struct(terms.alias("terms"), F.col("names").alias("names"), F.col("n_description").alias("description"))).otherwise(
+            F.struct(F.lit("").alias("terms"), F.array().cast("array<string>").alias("names"), F.lit("").alias("description")))
+        rows = rows.withColumn("__sent", F.explode(F.array(sent)))
+        best = best_ratio(F.col("__sent.terms"), F.col("__sent.names"), F.col("__sent.description"))
     rows = scored(rows.withColumn("__best", best), F.col("__best"))
     if articles is not None:
         rows = boosted(rows, articles)
