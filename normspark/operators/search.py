@@ -8,6 +8,7 @@ anything for. Nothing scans the catalog per query: every stage is an equi join o
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable, Iterable
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -250,9 +251,14 @@ def ranked(rows: DataFrame, limit: int) -> DataFrame:
 
 def search(queries: DataFrame, catalog: DataFrame, articles: DataFrame | None = None, limit: int = 10, native: bool = False) -> DataFrame:
     """``query_id, rank, slug, score, stage, suggestion``. ``native`` scores by edit distance without Python."""
-    q, laws = stored(parsed(queries), "queries"), stored(prepared(catalog), "laws")
+    stages = (by_number, by_transposition, by_terms, by_prefix, fallback)
+    return answers(stored(parsed(queries), "queries"), stored(prepared(catalog), "laws"), stages, articles, limit, native)
+
+
+def answers(q: DataFrame, laws: DataFrame, stages: Iterable[Callable[[DataFrame, DataFrame], DataFrame]], articles: DataFrame | None, limit: int, native: bool) -> DataFrame:
+    """``search`` over ``parsed`` queries and ``prepared`` laws that are read several times: stored ones."""
     found, left = None, q
-    for stage in (by_number, by_transposition, by_terms, by_prefix, fallback):
+    for stage in stages:
         # a stage runs for the queries that none before it has found anything for
         hits = stored(stage(left, laws), "hits")
         found = hits if found is None else found.unionByName(hits)

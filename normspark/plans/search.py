@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from normspark.functions import scalars as S
 from normspark.operators import search as E
-from normspark.plans.registry import Tables, query
+from normspark.operators import search_index as X
+from normspark.plans.registry import SQL, Tables, query
+from normspark.storage import shared_dir
 
 
 def _catalog(t: Tables) -> DataFrame:
@@ -145,6 +147,40 @@ def e8_prefix_lookup(t: Tables) -> DataFrame:
     return E.by_prefix(E.parsed(queries), E.prepared(_catalog(t).withColumn("aliases", F.array().cast("array<string>")))).select("query_id", "slug")
 
 
+def _index(t: Tables, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An index in three versions: half of the catalog with other titles, then all of it as it is, then without laws that are no part."""
+    root = shared_dir(t.spark, "search_index")
+    early = catalog.where("cast(slug as long) % 2 = 0").withColumn("title", F.concat("title", F.lit(" Widget Bolt"))).withColumn("description", F.lit("LARGE SMALL"))
+    strays = catalog.withColumn("slug", F.concat(F.lit("x"), "slug")).where("hot")
+    X.extend(root, early.unionByName(strays))
+    X.extend(root, catalog)
+    X.extend(root, catalog.limit(0), strays)
+    return X.laws(t.spark, root), X.postings(t.spark, root)
+
+
+@query(SQL["e6_transposed_alias_all"])
+def e6_stored_aliases(t: Tables) -> DataFrame:
+    """As ``e6_transposed_alias_all``, from a stored index that was extended."""
+    first = F.get(F.split("p_name", " "), F.lit(0))
+    swap = F.concat(F.left(first, F.lit(1)), F.substring(first, 3, 1), F.substring(first, 2, 1), F.substr(first, F.lit(4)))
+    queries = t.part.select(swap.alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
+    return X.by_transposition(E.parsed(queries), *_index(t, _catalog(t).withColumn("aliases", F.array("title")))).select("query_id", "slug")
+
+
+@query(SQL["e7_term_lookup_all"])
+def e7_stored_terms(t: Tables) -> DataFrame:
+    """As ``e7_term_lookup_all``, from a stored index that was extended."""
+    queries = t.part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).distinct()
+    return X.by_terms(E.parsed(queries), *_index(t, _catalog(t))).select("query_id", "slug")
+
+
+@query(SQL["e8_prefix_lookup"])
+def e8_stored_prefixes(t: Tables) -> DataFrame:
+    """As ``e8_prefix_lookup``, from a stored index that was extended."""
+    queries = t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("query"))
+    return X.by_prefix(E.parsed(queries), *_index(t, _catalog(t).withColumn("aliases", F.array().cast("array<string>")))).select("query_id", "slug")
+
+
 @query("""
 WITH hot AS (SELECT p_partkey FROM part WHERE p_size > 40 ORDER BY p_retailprice DESC NULLS LAST, p_name, p_partkey::VARCHAR LIMIT 200)
 SELECT q.p_partkey::VARCHAR AS query_id, hot.p_partkey::VARCHAR AS slug FROM part q, hot WHERE q.p_partkey % 100 = 0""")
