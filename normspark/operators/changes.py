@@ -44,6 +44,13 @@ def unseen(events: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFram
     return events.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti")
 
 
+def event_id(provider: str, law: Column, source: Column, device: Column) -> Column:
+    """The id of an event, the same whenever it is met: of provider, law, source and device (null: empty)."""
+    from normspark.functions.scalars import uuid5
+
+    return uuid5(F.concat(F.lit(f"{provider}:"), law.cast("string"), F.lit(":"), source.cast("string"), F.lit(":"), F.coalesce(device.cast("string"), F.lit(""))))
+
+
 def match_events(events: DataFrame, changes: DataFrame, equal: Sequence[str], residual: Sequence[str]) -> DataFrame:
     """Pairs that agree on ``equal`` and on each of ``residual`` that the event names: an equi join with a filter."""
     e, c = events.alias("e"), changes.alias("c")
@@ -119,6 +126,28 @@ def timeline(changes: DataFrame, events: DataFrame) -> DataFrame:
     return both.withColumn("sort_day", F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("0000-01-01")))
 
 
+def history_status(laws: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``law, status``: that of the newest history job still queued or running, else the coverage's ``history``, else ``not_requested``.
+
+    ``laws``: law, history; ``jobs``: law, job_id, job_type, status, created_at.
+    """
+    active = jobs.where("job_type = 'history' and status in ('queued', 'running')").groupBy("law").agg(F.max(F.struct("created_at", "job_id", "status")).alias("j"))
+    return laws.join(active, "law", "left").select("law", F.coalesce("j.status", F.nullif("history", F.lit("")), F.lit("not_requested")).alias("status"))
+
+
+def history(laws: DataFrame, jobs: DataFrame, changes: DataFrame, events: DataFrame) -> DataFrame:
+    """The timeline of ``laws`` with each law's overall ``status``; events that were compared are changes already and don't come twice.
+
+    ``changes``: law, id, day, comparable (then a ``diff``, else a ``relation``); ``events``: law, id, day, event_status (null: not compared).
+    """
+    rows = timeline(
+        changes.select("law", "id", "day", "comparable"),
+        events.where("event_status is null or event_status <> 'compared'").select("law", "id", "day", F.lit(False).alias("comparable")),
+    )
+    rows = rows.withColumn("item", F.when(F.coalesce("comparable", F.lit(False)), "diff").otherwise("relation"))
+    return rows.join(history_status(laws, jobs), "law").select("law", "status", "kind", "item", "id", "sort_day")
+
+
 def version_diff(old: DataFrame, new: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """ADD, MODIFY and REVOKE between two versions by stable id; unchanged nodes are left out."""
     both = old.select(*key, F.col(text).alias("old_text"), F.lit(1).alias("__o")).join(new.select(*key, F.col(text).alias("new_text"), F.lit(1).alias("__n")), list(key), "full_outer")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normspark.functions.scalars import article_label, canonical_article, collapse
+from normspark.functions.scalars import article_label, canonical_article, collapse, effects_spacing
 
 # The markers of legal drafting, as patterns on one paragraph.
 ARTICLE = r"(?iu)^Art\.\s*((?:\d{1,3}(?:\.\d{3})+|\d+)(?:[A-NP-Za-np-z]|-(?:\d+|[A-Za-z]))?(?:\s*(?:º|°|o))?(?:-[A-Za-z0-9]+)?)\s*[.\-–—]?\s*(.*)$"
@@ -284,6 +284,43 @@ def audit(lines: DataFrame, nodes: DataFrame, doc: str) -> DataFrame:
     return out.withColumn("assessment", F.when(gaps, "gaps_detected").otherwise("review_required")).withColumn("completeness_certified", F.lit(False))
 
 
+def corpus_audit(laws: DataFrame, versions: DataFrame, snapshots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``audit`` of every law's current version against its archived source, with ``status``: ``audited`` or ``skipped_without_snapshot``.
+
+    ``laws``: law, current_version (null: not examined); ``versions``: version, checksum; ``snapshots``: law, checksum,
+    retrieved_at, lines, struck, pdfs (the oldest of equal law and checksum is read); ``nodes``: version and what ``audit`` reads.
+    """
+    current = laws.where("current_version is not null").select("law", F.col("current_version").alias("version"))
+    current = current.join(versions.select("version", "checksum"), "version", "left")
+    first = snapshots.groupBy("law", "checksum").agg(F.min(F.struct("retrieved_at", "lines", "struck", "pdfs")).alias("s"))
+    found = current.join(first, ["law", "checksum"]).select("law", "version", F.col("checksum").alias("source_checksum"), F.col("s.retrieved_at").alias("audited_at"), "s.lines", "s.struck", "s.pdfs")
+    audits = audit(found, nodes.join(found.select("law", "version"), "version"), "law")
+    out = current.select("law", "version").join(found.select("law", "source_checksum", "audited_at"), "law", "left").join(audits, "law", "left")
+    status = F.when(F.col("source_checksum").isNull(), "skipped_without_snapshot").otherwise("audited")
+    return out.withColumn("status", status).withColumn("completeness_certified", F.lit(False))
+
+
+def audit_totals(audited: DataFrame) -> DataFrame:
+    """One row: laws examined, audited and skipped; none is ever certified as complete."""
+    skipped = F.count_if(F.col("status") == "skipped_without_snapshot")
+    return audited.agg(F.count("*").alias("examined"), (F.count("*") - skipped).alias("audited"), skipped.alias("skipped_without_snapshot"), F.count_if("completeness_certified").alias("completeness_certified"))
+
+
+def reader_groups(nodes: DataFrame, doc: str) -> DataFrame:
+    """Each article with the provisions up to the next one: doc, order_index, article, number, title, text and ``clauses``
+    (node_id, kind, label, text) in order. What stands before the first article belongs to none; the array holds one article.
+    """
+    before = Window.partitionBy(doc).orderBy("order_index").rowsBetween(Window.unboundedPreceding, 0)
+    heads = F.col("node_type") == "article"
+    rows = nodes.withColumn("__head", F.last(F.when(heads, F.col("order_index")), ignorenulls=True).over(before)).where("__head is not null")
+    label = F.concat("label", F.when(F.col("node_type") == "paragraph", " ").otherwise(" — "))
+    clause = F.struct("order_index", "node_id", F.when(F.col("node_type").isin("item", "subitem"), F.col("node_type")).otherwise("").alias("kind"), label.alias("label"), effects_spacing(F.col("text")).alias("text"))
+    head = F.struct("node_id", "label", effects_spacing(F.col("text")).alias("text"))
+    out = rows.groupBy(doc, F.col("__head").alias("order_index")).agg(F.max(F.when(heads, head)).alias("a"), F.array_sort(F.array_compact(F.collect_list(F.when(~heads, clause)))).alias("c"))
+    title = F.when(F.col("a.label").rlike("[º.]$"), F.col("a.label")).otherwise(F.concat("a.label", F.lit(".")))
+    return out.select(doc, "order_index", F.col("a.node_id").alias("article"), F.regexp_replace("a.node_id", "^art:", "").alias("number"), title.alias("title"), "a.text", F.transform("c", lambda c: c.dropFields("order_index")).alias("clauses"))
+
+
 def subset(nodes: DataFrame, node_id: str, prefix: str) -> DataFrame:
     """A provision and all below it."""
     return nodes.where((F.col(node_id) == prefix) | F.col(node_id).startswith(prefix + "."))

@@ -37,6 +37,12 @@ def resolved(refs: DataFrame, candidates: DataFrame, key: list[str], candidate:
     return out.withColumn("outcome", F.when(F.col("n") == 0, "not_found").when(F.col("n") == 1, "found").otherwise("ambiguous")).withColumn("resolved_id", F.when(F.col("n") == 1, F.col("one"))).drop("one")
 
 
+def ambiguous(refs: DataFrame, candidates: DataFrame, key: list[str], candidate: str) -> DataFrame:
+    """The candidates of each reference that several fit, one row each: the list beside ``resolved``, of any length."""
+    several = candidates.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").select(*key)
+    return refs.join(several, key, "left_semi").join(candidates.select(*key, candidate), key)
+
+
 def ballots(sessions: DataFrame, process: str, votes: str) -> DataFrame:
     """One row per ballot of nested sessions. ``votes``: array of (session, ballots: array of (member, vote))."""
     rows = sessions.select(process, F.explode_outer(votes).alias("s")).select(process, "s.session", F.explode_outer("s.ballots").alias("b"))

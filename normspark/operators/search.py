@@ -287,7 +287,22 @@ def answers(q: DataFrame, laws: DataFrame, stages: Iterable[Callable[[DataFrame,
     return ranked(rows, limit).select("query_id", "rank", "slug", "score", "stage", "suggestion")
 
 
+#: The weights of a law's names by their kind.
+WEIGHTS = {"official_title": 100, "number_year": 100, "acronym": 95, "popular_name": 90, "generated": 60}
+
+
 def alias_weights(catalog: DataFrame) -> DataFrame:
-    """Each law's names with their weights, normalised; the heaviest of equal ones."""
-    pairs = F.concat(F.array(F.struct(normalize_query(F.col("title")).alias("name"), F.lit(100).alias("weight")), F.struct(normalize_query(F.concat("number", F.lit("/"), F.col("year").cast("string"))).alias("name"), F.lit(100).alias("weight"))), F.transform("aliases", lambda a: F.struct(normalize_query(a).alias("name"), F.lit(90).alias("weight"))))
-    return catalog.select("slug", F.inline(pairs)).groupBy("slug", "name").agg(F.max("weight").alias("weight"))
+    """Each law's names with their weights, normalised; the heaviest of equal ones, empty ones left out.
+
+    An alias of capitals and digits alone is an acronym, any other one a popular name; generated are the number and
+    year after the type, and both and the number alone without dots.
+    """
+    of = lambda name, weight: F.struct(normalize_query(name).alias("name"), weight.alias("weight"))
+    kind = {k: F.lit(w) for k, w in WEIGHTS.items()}
+    year, plain = F.col("year").cast("string"), F.translate("number", ".", "")
+    number_year = F.concat("number", F.lit("/"), year)
+    generated = (F.concat("law_type", F.lit(" "), number_year), F.concat(plain, F.lit("/"), year), plain)
+    fixed = F.array(of(F.col("title"), kind["official_title"]), of(number_year, kind["number_year"]), *(of(g, kind["generated"]) for g in generated))
+    given = F.transform("aliases", lambda a: of(a, F.when(a.rlike(r"^\p{Lu}[\p{Lu}\d]+$"), kind["acronym"]).otherwise(kind["popular_name"])))
+    names = catalog.select("slug", F.inline(F.concat(fixed, F.coalesce(given, F.array().cast("array<struct<name:string,weight:int>>")))))
+    return names.where("name <> ''").groupBy("slug", "name").agg(F.max("weight").alias("weight"))

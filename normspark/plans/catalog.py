@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from normspark.operators import catalog as C
 from normspark.plans.registry import Tables, query
-from normspark.sources.catalogs import archive
+from normspark.sources.catalogs import archive, seed_catalog, with_version_ids
 from normspark.sources.histories import both_directions
 
 
@@ -42,6 +42,27 @@ def a13_archive(t: Tables) -> DataFrame:
     return archive(held, rows).select("law_slug", "checksum", "sha_prefix", "object_key")
 
 
+@query("""
+WITH h AS (SELECT source AS law_slug, sha256(text) AS checksum, min(CASE WHEN doc_id % 2 = 0 THEN doc_id END) AS version_id FROM documents GROUP BY ALL),
+i AS (SELECT source AS law_slug, sha256(text) AS checksum, min(doc_id + 1000000) AS new_id FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+SELECT law_slug, checksum, coalesce(version_id, new_id) AS version_id FROM h LEFT JOIN i USING (law_slug, checksum)""")
+def a13_version_ids(t: Tables) -> DataFrame:
+    """Snapshots without a version take the one that a later sync names."""
+    rows = t.documents.select("doc_id", F.col("source").alias("law_slug"), F.sha2("text", 256).alias("checksum"))
+    held = rows.groupBy("law_slug", "checksum").agg(F.min(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))).alias("version_id"))
+    return with_version_ids(held, rows.where("doc_id % 3 = 0").withColumn("version_id", F.col("doc_id") + 1_000_000))
+
+
+@query("""
+WITH s AS (SELECT CASE p_partkey WHEN 1 THEN 'lgpd' WHEN 2 THEN 'codigo-civil' ELSE p_partkey::VARCHAR END AS slug, p_name AS title, p_type AS status FROM part),
+n AS (SELECT * FROM (VALUES ('lgpd', 'Lei Geral de Proteção de Dados Pessoais'), ('codigo-civil', 'Código Civil'), ('maria-da-penha', 'Lei Maria da Penha')) v(slug, new_title))
+SELECT coalesce(s.slug, n.slug) AS slug, coalesce(new_title, title) AS title, status, CASE WHEN s.slug IS NULL THEN 'added' WHEN n.slug IS NULL THEN 'untouched' ELSE 'refreshed' END AS change FROM s FULL JOIN n ON s.slug = n.slug""")
+def a6_seed_catalog(t: Tables) -> DataFrame:
+    """The seed laws merged into a catalog: titles are refreshed, states stay."""
+    held = t.part.select(F.when(F.col("p_partkey") == 1, "lgpd").when(F.col("p_partkey") == 2, "codigo-civil").otherwise(F.col("p_partkey").cast("string")).alias("slug"), F.col("p_name").alias("title"), F.col("p_type").alias("status"))
+    return C.upsert(held, seed_catalog(t.spark).select("slug", "title"), "slug", ["title"])
+
+
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 10000 AS shard FROM orders")
 def a16_sharded_listing(t: Tables) -> DataFrame:
     return C.sharded(t.orders, "o_orderkey", 10_000).select("o_orderkey", F.col("shard").cast("long").alias("shard"))

@@ -51,6 +51,18 @@ def d5_unseen_events(t: Tables) -> DataFrame:
     return D.unseen(t.orders.select(*key), t.orders.where("o_orderkey % 2 = 0"), key)
 
 
+@query("""
+WITH e AS (SELECT DISTINCT l_orderkey, l_suppkey, CASE WHEN l_linenumber > 1 THEN l_linenumber END AS device FROM lineitem),
+h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('register:' || l_orderkey || ':' || l_suppkey || ':' || coalesce(device::VARCHAR, ''))) AS d FROM e)
+SELECT l_orderkey, l_suppkey, device, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || ['8','9','a','b'][(CASE WHEN d[17:17] BETWEEN '0' AND '9' THEN d[17:17]::INTEGER ELSE ascii(d[17:17]) - 87 END) % 4 + 1] || d[18:20] || '-' || d[21:32] AS id
+FROM h WHERE l_suppkey % 3 <> 0""")
+def d5_event_ids(t: Tables) -> DataFrame:
+    """Unseen events with their ids; what the store has is told by the id alone."""
+    events = t.lineitem.select("l_orderkey", "l_suppkey", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("device"))
+    events = events.withColumn("id", D.event_id("register", F.col("l_orderkey"), F.col("l_suppkey"), F.col("device")))
+    return D.unseen(events, events.where("l_suppkey % 3 = 0"), ["id"])
+
+
 _EV = """
 e AS (SELECT o_orderkey AS event_id, o_orderkey AS law, year(o_orderdate) AS y, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS item, CASE WHEN o_orderkey % 5 = 0 THEN 2 END AS par FROM orders),
 c AS (SELECT l_orderkey * 10 + l_linenumber AS change_id, l_orderkey AS law, year(l_shipdate) AS y, l_linestatus AS item, l_linenumber AS par FROM lineitem),
@@ -174,6 +186,24 @@ def d12_timeline(t: Tables) -> DataFrame:
     return D.timeline(changes, events).select("law", "kind", "id", "sort_day")
 
 
+@query("""
+WITH j AS (SELECT l_orderkey AS law, arg_max(CASE l_linestatus WHEN 'O' THEN 'running' ELSE 'queued' END, (l_shipdate, l_linenumber, l_linestatus)) AS job FROM lineitem WHERE l_returnflag = 'A' AND l_quantity <= 25 GROUP BY 1),
+s AS (SELECT o_orderkey AS law, coalesce(job, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'partial' END, 'not_requested') AS status FROM orders LEFT JOIN j ON o_orderkey = law),
+r AS (SELECT l_orderkey AS law, 'change' AS kind, CASE WHEN l_linestatus = 'O' THEN 'diff' ELSE 'relation' END AS item, l_linenumber::BIGINT AS id, strftime(l_shipdate, '%Y-%m-%d') AS sort_day FROM lineitem
+UNION ALL SELECT o_orderkey, 'event', 'relation', o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN '0000-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT law, status, kind, item, id, sort_day FROM r JOIN s USING (law)""")
+def d12_history(t: Tables) -> DataFrame:
+    """Every law's history with its overall status: lines as changes and as jobs, orders as laws and as events."""
+    laws = t.orders.select(F.col("o_orderkey").alias("law"), F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "partial").otherwise("").alias("history"))
+    jobs = t.lineitem.select(
+        F.col("l_orderkey").alias("law"), F.struct("l_linenumber", "l_linestatus").alias("job_id"), F.when(F.col("l_returnflag") == "R", "text").otherwise("history").alias("job_type"), F.col("l_shipdate").alias("created_at"),
+        F.when((F.col("l_returnflag") == "N") | (F.col("l_quantity") > 25), "done").when(F.col("l_linestatus") == "O", "running").otherwise("queued").alias("status"))
+    changes = t.lineitem.select(F.col("l_orderkey").alias("law"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_shipdate").alias("day"), (F.col("l_linestatus") == "O").alias("comparable"))
+    state = F.when(F.col("o_orderkey") % 3 == 0, "compared").when(F.col("o_orderkey") % 3 == 1, "discovered")
+    events = t.orders.select(F.col("o_orderkey").alias("law"), F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("day"), state.alias("event_status"))
+    return D.history(laws, jobs, changes, events)
+
+
 @query("SELECT l_orderkey, count(*) AS relations, count(*) FILTER (l_returnflag = 'R') AS comparisons, count(*) FILTER (l_linestatus = 'O') AS pending FROM lineitem GROUP BY 1")
 def d13_history_counters(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("relations"), F.count_if(F.col("l_returnflag") == "R").alias("comparisons"), F.count_if(F.col("l_linestatus") == "O").alias("pending"))
@@ -258,6 +288,16 @@ def h3_resolved(t: Tables) -> DataFrame:
     return H.resolved(refs, pool, ["n_nationkey", "s"], "c_custkey")
 
 
+@query("""
+SELECT s_suppkey, s_nationkey, seg, c_custkey FROM (SELECT s_suppkey, s_nationkey, ['BUILDING', 'MACHINERY', 'NONE'][s_suppkey % 3 + 1] AS seg FROM supplier) s
+JOIN (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) c ON s_nationkey = c_nationkey AND seg = c_mktsegment WHERE n > 1""")
+def h3_candidates(t: Tables) -> DataFrame:
+    """What suppliers' references could mean, where several customers of their nation and a segment fit."""
+    seg = F.get(F.array(F.lit("BUILDING"), F.lit("MACHINERY"), F.lit("NONE")), (F.col("s_suppkey") % 3).cast("int"))
+    pool = t.customer.select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_mktsegment").alias("seg"), "c_custkey")
+    return H.ambiguous(t.supplier.select("s_suppkey", "s_nationkey", seg.alias("seg")), pool, ["s_nationkey", "seg"], "c_custkey")
+
+
 @query("""
 SELECT l_orderkey, l_returnflag AS session, l_suppkey AS member, CASE l_linestatus WHEN 'O' THEN 'Sim' ELSE 'Abstenção' END AS vote FROM lineitem""")
 def h4_ballots(t: Tables) -> DataFrame:

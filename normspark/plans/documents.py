@@ -160,12 +160,6 @@ def b14_provision_subset(t: Tables) -> DataFrame:
     return B.subset(t.part.select("p_partkey", "p_type"), "p_type", "SMALL")
 
 
-@query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS parts FROM lineitem GROUP BY 1")
-def b15_reader_groups(t: Tables) -> DataFrame:
-    parts = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("x"))
-    return parts.select("l_orderkey", F.array_join(F.transform("x", lambda s: F.concat_ws(":", s["l_linenumber"].cast("string"), s["l_returnflag"])), ",").alias("parts"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_partkey::VARCHAR END AS number, CASE WHEN p_size % 3 <> 0 THEN 1990 + p_size % 30 END AS year FROM part")
 def b16_amending_law(t: Tables) -> DataFrame:
     year = (1990 + F.col("p_size") % 30).cast("string")
@@ -205,11 +199,49 @@ def b17_audit(t: Tables) -> DataFrame:
     return out.select("doc_id", none(F.col("source_articles")).alias("source_articles"), none(F.col("parsed_articles")).alias("parsed_articles"), F.coalesce(F.size("missing"), F.lit(0)).alias("missing"), "assessment")
 
 
-@query("SELECT o_orderstatus, count(*) AS laws, count(k) AS audited, count(*) - count(k) AS skipped FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS k FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1")
+@query(f"""
+WITH n AS MATERIALIZED ({_NODES}), g AS (SELECT *, max(CASE WHEN node_type = 'article' THEN order_index END) OVER (PARTITION BY doc_id ORDER BY order_index) AS a FROM n)
+SELECT doc_id, a AS order_index, max(CASE WHEN node_type = 'article' THEN node_id END) AS article, max(CASE WHEN node_type = 'article' THEN label END) AS title, sha256(max(CASE WHEN node_type = 'article' THEN text END)) AS head,
+  count(*) - 1 AS n, sha256(coalesce(string_agg(node_id || '|' || CASE WHEN node_type IN ('item', 'subitem') THEN node_type ELSE '' END || '|' || label || CASE WHEN node_type = 'paragraph' THEN ' ' ELSE ' — ' END || text, chr(10) ORDER BY order_index) FILTER (node_type <> 'article'), '')) AS clauses
+FROM g WHERE a IS NOT NULL GROUP BY doc_id, a""")
+def b15_reader_groups(t: Tables) -> DataFrame:
+    out = B.reader_groups(B.legal_nodes(_drafted(t), "doc_id"), "doc_id")
+    text = F.array_join(F.transform("clauses", lambda c: F.concat(c["node_id"], F.lit("|"), c["kind"], F.lit("|"), c["label"], c["text"])), "\n")
+    return out.select("doc_id", "order_index", "article", "title", F.sha2("text", 256).alias("head"), F.size("clauses").cast("long").alias("n"), F.sha2(text, 256).alias("clauses"))
+
+
+def _audited(t: Tables) -> DataFrame:
+    """Every document as a law; some without a version, some without a snapshot, some whose first article is lost or stands twice in the source."""
+    docs = _drafted(t)
+    laws = t.documents.select(F.col("doc_id").alias("law"), F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") + 7).alias("current_version"), F.sha2("text", 256).alias("checksum"))
+    versions = laws.select(F.col("current_version").alias("version"), "checksum").where("version is not null")
+    lines = F.when(F.col("doc_id") % 6 == 0, F.concat("lines", F.slice("lines", 1, 1))).otherwise(F.col("lines"))
+    snapshots = docs.where("doc_id % 4 <> 1").join(t.documents.select("doc_id", F.sha2("text", 256).alias("checksum")), "doc_id").select(
+        F.col("doc_id").alias("law"), "checksum", F.timestamp_seconds("doc_id").alias("retrieved_at"), lines.alias("lines"), F.lit(0).alias("struck"), F.lit(0).alias("pdfs"))
+    nodes = B.legal_nodes(docs, "doc_id").where("doc_id % 5 <> 0 or node_id <> 'art:1'").withColumn("version", F.col("doc_id") + 7).drop("doc_id")
+    return B.corpus_audit(laws, versions, snapshots, nodes)
+
+
+_AUDITED = """
+WITH n AS (SELECT doc_id, (len(x) + 5) // 6 AS k FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '[ \t\r]+', ' ', 'g'), ' ')), lambda s: s <> '') AS x FROM documents)),
+a AS (SELECT doc_id AS law, CASE WHEN doc_id % 4 = 1 THEN 'skipped_without_snapshot' ELSE 'audited' END AS status, CASE WHEN doc_id % 4 <> 1 THEN coalesce(k, 0) END AS k, doc_id FROM documents LEFT JOIN n USING (doc_id) WHERE doc_id % 11 <> 0)"""
+
+
+@query(_AUDITED + """
+SELECT law, status, k + CASE WHEN doc_id % 6 = 0 AND k > 0 THEN 1 ELSE 0 END AS source_articles, k - CASE WHEN doc_id % 5 = 0 AND k > 0 THEN 1 ELSE 0 END AS parsed_articles,
+  CASE WHEN k IS NOT NULL THEN CASE WHEN doc_id % 5 = 0 AND k > 0 THEN 'art:1' ELSE '' END END AS missing, CASE WHEN k IS NOT NULL THEN CASE WHEN doc_id % 6 = 0 AND k > 0 THEN 'art:1' ELSE '' END END AS repeated,
+  CASE WHEN k IS NOT NULL THEN CASE WHEN doc_id % 5 = 0 AND k > 0 THEN 'gaps_detected' ELSE 'review_required' END END AS assessment FROM a""")
 def b18_corpus_audit(t: Tables) -> DataFrame:
-    snaps = t.lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("k"))
-    rows = t.orders.join(snaps, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("laws"), F.count("k").alias("audited"), F.count_if(F.col("k").isNull()).alias("skipped"))
+    out = _audited(t)
+    whole = lambda c, none: F.when(F.col("status") == "audited", F.coalesce(c, F.lit(none)))
+    return out.select(
+        "law", "status", whole(F.col("source_articles"), 0).cast("long").alias("source_articles"), whole(F.col("parsed_articles"), 0).cast("long").alias("parsed_articles"),
+        whole(F.array_join("missing", ","), "").alias("missing"), whole(F.array_join("repeated", ","), "").alias("repeated"), "assessment")
+
+
+@query(_AUDITED + " SELECT count(*) AS examined, count(k) AS audited, count(*) - count(k) AS skipped_without_snapshot, 0 AS completeness_certified FROM a")
+def b18_audit_totals(t: Tables) -> DataFrame:
+    return B.audit_totals(_audited(t))
 
 
 @query(f"WITH {_LINES}, n AS (SELECT doc_id, sum(length(raw)) AS n FROM l GROUP BY 1) SELECT doc_id, coalesce(n, 0) >= 80 AS legible FROM documents LEFT JOIN n USING (doc_id)")

@@ -222,6 +222,54 @@ def e12_scores(t: Tables) -> DataFrame:
     return E.scored(pairs, F.lit(0.0)).select(F.col("slug").cast("long").alias("p_partkey"), "score")
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN 950 WHEN 1 THEN 1100 WHEN 3 THEN 900 WHEN 4 THEN 780 WHEN 5 THEN 820 WHEN 6 THEN 760 WHEN 7 THEN CASE WHEN length(string_split(p_name, ' ')[1]) >= 4 THEN 840 ELSE 0 END WHEN 8 THEN 525 ELSE 0 END AS score, p_partkey % 11 IN (0, 1, 3) AS exact FROM part""")
+def e12_score_branches(t: Tables) -> DataFrame:
+    """Each part against its own query of one of eleven kinds: number, number and year, another year, title, description, part of the title,
+    part of an alias, an alias of four letters or more with two exchanged (shorter ones don't count), ratios of 0.75 and 0.55, nothing asked.
+    """
+    k, word = F.col("p_partkey") % 11, F.get(F.split("p_name", " "), F.lit(0))
+    number, year = S.dotted((F.col("p_partkey") + 1000).cast("string")), (F.lit(1950) + F.col("p_size"))
+    asked = (
+        F.when(k == 0, F.concat(F.lit("lei "), number)).when(k == 1, F.concat(F.lit("lei "), number, F.lit("/"), year.cast("string"))).when(k == 2, F.concat(F.lit("lei "), number, F.lit("/"), (year + 1).cast("string")))
+        .when(k == 3, F.upper("p_name")).when(k == 4, F.col("p_type")).when(k == 5, word).when(k == 6, "apelid")
+        .when(k == 7, F.concat(F.left(word, F.lit(1)), F.substring(word, 3, 1), F.substring(word, 2, 1), F.substr(word, F.lit(4)))).when(k < 10, "zzzz yyyy").otherwise("")
+    )
+    rows = t.part.select(
+        F.col("p_partkey").cast("string").alias("slug"), F.initcap("p_name").alias("title"), F.when(k == 4, F.concat(F.lit("texto "), "p_type")).alias("description"), F.array(F.when(k == 7, word).otherwise("Apelido")).alias("aliases"),
+        F.lit("Lei").alias("law_type"), number.alias("number"), year.alias("year"), F.lit(True).alias("hot"), F.lit(0).alias("hydrated_at"), asked.alias("query"), F.when(k == 8, 0.75).otherwise(0.55).alias("best"))
+    q = E.parsed(rows.select(F.col("slug").alias("query_id"), "query"))
+    pairs = E.prepared(rows.drop("query")).join(q, F.col("query_id") == F.col("slug"))
+    return E.scored(pairs, F.col("best")).select(F.col("slug").cast("long").alias("p_partkey"), "score", "exact")
+
+
+@query("""
+WITH h AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 5),
+r AS (SELECT o_orderkey, l_orderkey IS NOT NULL AS has, o_orderkey % 2 = 1 AS asks, o_orderkey // 2 % 2 = 1 AS terms, CASE WHEN o_orderkey // 4 % 2 = 1 THEN 400 + o_orderkey // 8 % 2 * 300 ELSE 0 END AS s FROM orders LEFT JOIN h ON o_orderkey = l_orderkey)
+SELECT o_orderkey, CASE WHEN NOT asks THEN s WHEN has AND terms THEN CASE WHEN s > 0 THEN s + 260 ELSE 0 END WHEN has THEN greatest(s, 600) WHEN s > 0 THEN s + 30 ELSE 0 END AS score, asks AND has AND NOT terms AS exact FROM r""")
+def e13_boost_branches(t: Tables) -> DataFrame:
+    """With and without an article asked for, words and a score."""
+    bit = lambda n: F.shiftright("o_orderkey", n) % 2 == 1
+    p = F.struct(F.when(bit(0), "5").alias("article"), F.when(bit(1), "words").otherwise("").alias("terms")).alias("p")
+    score = F.when(bit(2), 400 + F.shiftright("o_orderkey", 3) % 2 * 300).otherwise(0)
+    rows = t.orders.select(F.col("o_orderkey").cast("string").alias("slug"), p, score.alias("score"), F.lit(False).alias("exact"))
+    articles = t.lineitem.select(F.col("l_orderkey").cast("string").alias("slug"), F.concat(F.lit("art:"), F.col("l_linenumber").cast("string")).alias("node_id")).distinct()
+    return E.boosted(rows, articles).select(F.col("slug").cast("long").alias("o_orderkey"), F.col("score").cast("long").alias("score"), "exact")
+
+
+@query("""
+SELECT query_id, slug, rank, suggestion FROM (SELECT l_orderkey AS query_id, l_linenumber::VARCHAR AS slug, l_returnflag <> 'R' AS suggestion,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 100 DESC, l_suppkey::DOUBLE DESC, l_linestatus = 'O' DESC, l_linenumber::VARCHAR)::INTEGER AS rank
+  FROM (SELECT *, bool_or(l_returnflag = 'R' AND l_partkey % 100 > 0) OVER (PARTITION BY l_orderkey) AS any_exact FROM lineitem) WHERE l_partkey % 100 > 0 AND (l_orderkey % 2 = 0 OR NOT any_exact OR l_returnflag = 'R')) WHERE rank <= 3""")
+def e14_ranking_articles(t: Tables) -> DataFrame:
+    """Even orders ask for an article, where exact hits hide no others."""
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("string").alias("slug"), (F.col("l_partkey") % 100).alias("score"), F.col("l_suppkey").cast("double").alias("similarity"), (F.col("l_linestatus") == "O").alias("hot"),
+        (F.col("l_returnflag") == "R").alias("exact"), F.struct(F.when(F.col("l_orderkey") % 2 == 0, "5").alias("article")).alias("p"),
+    )
+    return E.ranked(rows, 3).select("query_id", "slug", "rank", "suggestion")
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN CASE WHEN o_orderkey % 2 = 0 THEN 430 ELSE 0 END WHEN o_orderkey % 2 = 0 THEN 660 ELSE 0 END AS score
 FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 5) ON o_orderkey = l_orderkey""")
@@ -254,11 +302,13 @@ def e15_batch_search_native(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT p_partkey::VARCHAR AS slug, lower(p_name) AS name, 100 AS weight FROM part UNION ALL SELECT p_partkey::VARCHAR, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), 90 FROM part
-UNION ALL SELECT p_partkey::VARCHAR, replace(format('{:,}', p_partkey + 1000), ',', ' ') || CASE WHEN p_partkey % 10 = 0 THEN ' 1 ' ELSE ' ' END || (1950 + p_size), 100 FROM part)
-SELECT slug, name, max(weight) AS weight FROM n GROUP BY ALL""")
+WITH p AS (SELECT *, p_partkey::VARCHAR AS slug, CASE WHEN p_partkey % 10 = 0 THEN ' 1' ELSE '' END AS seq, ' ' || (1950 + p_size) AS y FROM part),
+n AS (SELECT slug, lower(p_name) AS name, 100 AS weight FROM p UNION ALL SELECT slug, lower(p_type), CASE WHEN regexp_matches(p_type, '^[A-Z][A-Z0-9]+$') THEN 95 ELSE 90 END FROM p UNION ALL SELECT slug, lower(p_type) || ' popular', 90 FROM p
+UNION ALL SELECT slug, x || replace(format('{:,}', p_partkey + 1000), ',', ' ') || seq || y, w FROM p, (VALUES ('', 100), ('lei ', 60)) v(x, w)
+UNION ALL SELECT slug, (p_partkey + 1000) || seq || y, 60 FROM p UNION ALL SELECT slug, (p_partkey + 1000) || seq, 60 FROM p)
+SELECT slug, trim(regexp_replace(name, '[^a-z0-9]+', ' ', 'g')) AS name, max(weight) AS weight FROM n GROUP BY ALL""")
 def e16_alias_weights(t: Tables) -> DataFrame:
-    return E.alias_weights(_catalog(t).withColumn("aliases", F.array("description")))
+    return E.alias_weights(_catalog(t).withColumn("aliases", F.array(F.col("description"), F.concat("description", F.lit(" popular")))))
 
 
 # ------------------------------------------------------------------ scalar functions

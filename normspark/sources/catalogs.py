@@ -108,6 +108,13 @@ def archive(snapshots: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.withColumn("sha_prefix", F.left("checksum", F.lit(2))).withColumn("object_key", F.concat(F.lit("sha256/"), F.left("checksum", F.lit(2)), F.lit("/"), "checksum"))
 
 
+def with_version_ids(snapshots: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The archive's rows, those without a ``version_id`` taking the least one that ``incoming`` (law_slug, checksum, version_id) has for them."""
+    known = incoming.where("version_id is not null").groupBy("law_slug", "checksum").agg(F.min("version_id").alias("__id"))
+    out = snapshots.join(known, ["law_slug", "checksum"], "left").withColumn("version_id", F.coalesce("version_id", "__id")).drop("__id")
+    return out.select(*snapshots.columns)
+
+
 def write_partitioned(rows: DataFrame, path: str, by: str) -> None:
     """Replace only the partitions that ``rows`` touch."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
