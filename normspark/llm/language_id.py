@@ -37,8 +37,13 @@ PAD, SPACE, OTHER = 0, 1, 2
 
 
 def fold(text: str) -> str:
-    """Lower-case letters, with each run of anything else as one space."""
-    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    """Lower-case letters, with each run of anything else as one space; a letter's fold does not hang on its neighbours."""
+    return " ".join("".join(letter(c) if c.isalpha() else " " for c in text).split())
+
+
+def letter(c: str) -> str:
+    """What samples and texts know a letter as: the first code point of its lower-case form."""
+    return c.lower()[0]
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -149,7 +154,7 @@ class CrossParser:
             c = chr(cp)
             if c.isalpha():
                 self.letter[cp] = True
-                self.codes[cp] = code.get(c.lower()[0], OTHER)
+                self.codes[cp] = code.get(letter(c), OTHER)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and whether the text has a letter."""

@@ -31,6 +31,12 @@ def test_counts_equal_brute_force():
     check(samples, [prose(3, 120), "das und nicht", "zzz qqq", "x", "", "12 34", "Das, DAS!  und?nicht ß", prose(1, 200), "the中cat", "中", "the cat中中", " mat ", prose(5, 3000)])
 
 
+def test_a_text_is_one_phrase_of_itself():
+    for text in ("ΟΔΟΣ ΛΟΓΟΣ", "İSTANBUL İzmir", "STRAẞE ǅ Ǆ", "ὈΔΥΣΣΕΎΣ ᾼ"):
+        counts, _ = L.CrossParser((("a", text), ("b", "zz"))).phrases([text, text + " ;"])
+        assert counts[:, 0].tolist() == [1, 1], text
+
+
 def test_counts_over_many_blocks(monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 16)
     rnd = random.Random(4)
