@@ -6,12 +6,18 @@ the starts stores the back pointer. Ids are then read off the back pointers word
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts with U+2581 decode
 it as a space (the mark's meaning), all other texts decode to themselves; repeated rows repeat; an empty
-table stays empty. Very long words are segmented whole.
+table stays empty. Very long words are segmented whole: a word of more than ``LONG`` code points has no
+others of its length to advance with, so its substrings are hashed and probed for all starts of a block at
+once and only what was found is walked, with the same sums in the same order. Columns of any name may come
+along.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +30,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 CACHE, ENTRY = 80_000_000, 180
 #: Cells of the tables of one group of words: words by code points.
 CELLS = 1_000_000
+#: Code points from which a word goes on its own, and starts that are probed at once.
+LONG, BLOCK = 400, 65_536
 
 
 def _points(strings: list[str]) -> np.ndarray:
@@ -76,18 +84,57 @@ class Encoder:
             total = base + self.vocabulary.unknown
             better = ~single & (total > best[start + 1])
             best[start + 1][better], back[start + 1][better], piece[start + 1][better] = total[better], start, -1
-        out = []
-        for i, word in enumerate(strings):
-            ids, end = [], size
-            while end:
-                start, p = int(back[end, i]), int(piece[end, i])
-                if p >= 0:
-                    ids.append(p)
-                else:
-                    ids += [self.vocabulary.byte[b] for b in reversed(word[start:end].encode("utf-8", "surrogatepass"))]
-                end = start
-            out.append(np.array(ids[::-1], "<u4").tobytes())
-        return out
+        return [self._read(word, back[:, i], piece[:, i]) for i, word in enumerate(strings)]
+
+    def _matches(self, points: np.ndarray, first: int) -> tuple[list, list, list]:
+        """Starts (from ``first``, a block of them), ends and places in ``keys`` of all pieces in a word, by start and then by end."""
+        count = min(BLOCK, len(points) - first)
+        h = np.zeros(count, np.uint64)
+        starts, ends, places = [], [], []
+        for size in range(1, self.vocabulary.longest + 1):
+            h = h[: min(count, len(points) - first - size + 1)]
+            h = mix64(h * _STEP + points[first + size - 1 : first + size - 1 + len(h)])
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == h)
+            starts.append(hit + first)
+            ends.append(hit + first + size)
+            places.append(at[hit])
+        start = np.concatenate(starts)
+        order = np.argsort(start, kind="stable")
+        return start[order].tolist(), np.concatenate(ends)[order].tolist(), np.concatenate(places)[order].tolist()
+
+    def _long(self, word: str) -> bytes:
+        """Ids of one long word, as ``_group`` gives them."""
+        points = _points([word])[0].astype(np.uint64) + np.uint64(1)
+        size, scores, ids, unknown = len(word), self.scores.tolist(), self.ids.tolist(), self.vocabulary.unknown
+        best = array("d", [float("-inf")]) * (size + 1)
+        back, piece = array("q", [0]) * (size + 1), array("q", [-1]) * (size + 1)
+        best[0] = 0.0
+        for first in range(0, size, BLOCK):
+            starts, ends, places = self._matches(points, first)
+            i, n = 0, len(starts)
+            for start in range(first, min(size, first + BLOCK)):
+                base, single = best[start], False
+                while i < n and starts[i] == start:
+                    end, at = ends[i], places[i]
+                    single = single or end == start + 1
+                    if base + scores[at] > best[end]:
+                        best[end], back[end], piece[end] = base + scores[at], start, ids[at]
+                    i += 1
+                if not single and base + unknown > best[start + 1]:
+                    best[start + 1], back[start + 1], piece[start + 1] = base + unknown, start, -1
+        return self._read(word, back, piece)
+
+    def _read(self, word: str, back: Sequence[int], piece: Sequence[int]) -> bytes:
+        ids, end = [], len(word)
+        while end:
+            start, p = int(back[end]), int(piece[end])
+            if p >= 0:
+                ids.append(p)
+            else:
+                ids += [self.vocabulary.byte[b] for b in reversed(word[start:end].encode("utf-8", "surrogatepass"))]
+            end = start
+        return np.array(ids[::-1], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [words(t) for t in texts]
@@ -99,6 +146,9 @@ class Encoder:
             for w in sorted(new):
                 by_size.setdefault(len(w), []).append(w)
             for size, group in by_size.items():
+                if size > LONG:
+                    self.known.update((w, self._long(w)) for w in group)
+                    continue
                 for i in range(0, len(group), step := max(1, CELLS // size)):
                     part = group[i : i + step]
                     self.known.update(zip(part, self._group(part), strict=True))

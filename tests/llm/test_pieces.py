@@ -88,3 +88,24 @@ def test_encode_then_decode_columns(docs):
     ids = E.encoded(docs, ["doc_id", "text"]).select("__keep.*", "ids")
     back = E.decoded(ids, ["text"]).select("__keep.text", "text")
     assert all((a or "") == b for a, b in back.toDF("a", "b").collect())
+
+
+def test_long_words_equal_brute_force(monkeypatch):
+    import random
+    import time
+
+    import numpy as np
+
+    monkeypatch.setattr(E, "BLOCK", 97)
+    rnd, enc = random.Random(7), E.Encoder(default_model())
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    words = ["".join(rnd.choices(letters, k=n)) for n in (E.LONG - 1, E.LONG, E.LONG + 1, 3000)] + ["a" * 970, "é中😀́" * 200, "the" * 333, "=" * 1200 + "x"]
+    for w in words:
+        raw = enc.encode([w])[0]
+        assert np.frombuffer(raw, "<u4").tolist() == brute(w)[0], w[:40]
+        assert enc._long(marked(w)) == enc._group([marked(w)])[0] == raw
+    # a word of 300,000 letters took over two minutes when it advanced by itself
+    monkeypatch.setattr(E, "BLOCK", 65_536)
+    word, began = "".join(rnd.choices(letters, k=300_000)), time.time()
+    raw = enc.encode([word])[0]
+    assert time.time() - began < 30 and enc.decode(raw) == word
