@@ -97,8 +97,9 @@ def device_relations(nodes: DataFrame, relations: DataFrame, law: str, node: str
     """The relations of every node and of the provisions that hold it: ``law``, ``node``, ``holder``, ``distance`` and the relation's columns, one row each.
 
     A node's path is exploded once, into as many keys as it is deep, and joined by (law, path); nothing is collected by node.
+    Spark sizes exploded rows as if there were one per row before, so the merge hint keeps them from being sent to the driver.
     """
-    paths = with_ancestors(nodes.select(law, node).where(F.col(node).isNotNull()).distinct(), law, node)
+    paths = with_ancestors(nodes.select(law, node).where(F.col(node).isNotNull()).distinct(), law, node).hint("merge")
     related = relations.withColumnRenamed(node, "holder")
     return paths.join(related, [law, "holder"]).select(law, node, "holder", "distance", *(c for c in related.columns if c not in (law, "holder")))
 
@@ -111,7 +112,7 @@ def provenance(nodes: DataFrame, changes: DataFrame, relations: DataFrame, law:
     chosen = latest(changes, [law, node], [F.desc(F.coalesce(F.col(comparable), F.lit(False))), *order]).select(law, node, F.col(change).alias("change_id"), F.coalesce(F.col(comparable), F.lit(False)).alias("__comparable"))
     # counted by provision first, so that a provision with many relations meets those below it as one row
     known = relations.groupBy(law, F.col(node).alias("holder")).agg(F.count("*").alias("__n"))
-    counted = with_ancestors(nodes.select(law, node).where(F.col(node).isNotNull()).distinct(), law, node).join(known, [law, "holder"])
+    counted = with_ancestors(nodes.select(law, node).where(F.col(node).isNotNull()).distinct(), law, node).hint("merge").join(known, [law, "holder"])
     counted = counted.groupBy(law, node).agg(F.sum(F.when(F.col("distance") == 0, F.col("__n")).otherwise(0)).alias("relations"), F.sum(F.when(F.col("distance") > 0, F.col("__n")).otherwise(0)).alias("inherited"))
     out = nodes.join(chosen, [law, node], "left").join(counted, [law, node], "left")
     none = F.lit(0).cast("long")
