@@ -26,3 +26,11 @@ def test_device_relations_broadcast_no_exploded_paths(spark, tmp_path):
     got = D.device_relations(nodes, lines.select("law", "node_id", "n"), "law", "node_id")
     assert "BroadcastExchange" not in plan(got)
     assert got.count() == 17 * 3 + 17 * 2 + 16
+
+
+def test_provenance_broadcasts_no_exploded_paths(spark, tmp_path):
+    nodes, lines = devices(spark, tmp_path)
+    got = D.provenance(nodes, lines, lines, "law", "node_id", "n", "ok", [F.col("n")])
+    counting = plan(got).split("holder")
+    assert len(counting) > 2 and not any("BroadcastHashJoin [law" in x for x in plan(got).splitlines() if "holder" in x)
+    assert got.agg(F.sum("relations"), F.sum("inherited")).first()[:] == (50, 17 * 2 + 17)
