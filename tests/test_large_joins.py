@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from normspark.operators import changes as D
+from normspark.operators import search as E
+from tests.test_term_lookup import LAWS
 
 PATHS = ("art:1", "art:1.par:1", "art:1.par:1.inciso:I")
 
@@ -34,3 +36,27 @@ def test_provenance_broadcasts_no_exploded_paths(spark, tmp_path):
     counting = plan(got).split("holder")
     assert len(counting) > 2 and not any("BroadcastHashJoin [law" in x for x in plan(got).splitlines() if "holder" in x)
     assert got.agg(F.sum("relations"), F.sum("inherited")).first()[:] == (50, 17 * 2 + 17)
+
+
+def repeated(spark):
+    """200 laws of two titles, 30 queries of three texts; an id of two texts on either side."""
+    laws = [(f"s{i:03}", ("Lei do Meio", "Lei Penal")[i % 2], "Texto", [], "Lei", str(i), 1990, True, None) for i in range(200)] + [("s000", "Outra coisa", "", [], "Lei", "1", 1990, True, None)]
+    asked = [(f"q{i:02}", ("meio", "penal texto", "zzzz")[i % 3]) for i in range(30)] + [("q02", "outra")]
+    return E.parsed(spark.createDataFrame(asked, "query_id string, query string")), E.prepared(spark.createDataFrame(laws, LAWS))
+
+
+def test_equal_texts_are_compared_once(spark, monkeypatch):
+    q, laws = repeated(spark)
+    seen, holding = [], E.holding
+    monkeypatch.setattr(E, "holding", lambda needles, rows, fields: seen.append((needles.count(), rows.count())) or holding(needles, rows, fields))
+    out = E.by_terms(q, laws)
+    got = [(r.query_id, r.slug) for r in out.collect()]
+    assert seen == [(7, 4)]  # meio; penal texto, penal, texto; zzzz; zzzz and outra of q02; two titles and the two of s000
+    assert len(got) == len(set(got)) == 10 * 100 + 10 * 200 + 1 and ("q02", "s000") in got
+
+
+def test_pairs_are_not_shuffled_after_they_arise(spark):
+    q, laws = repeated(spark)
+    for stage in (E.by_terms, E.by_word, E.by_prefix, E.by_transposition, E.by_transposed_word):
+        top = plan(stage(q, laws)).split("Join")[0]
+        assert "Aggregate" not in top and "Exchange" not in top, stage
