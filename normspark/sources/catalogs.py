@@ -96,8 +96,8 @@ def jurisdictions(spark: SparkSession, states: str, places: str) -> DataFrame:
 
 
 def raw_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Bytes, path, size and time of landed documents."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("raw_body"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("retrieved_at"))
+    """Bytes, path, size and time of landed documents: all files below a folder, which executors list (a glob is walked by the driver, folder by folder)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").alias("raw_body"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("retrieved_at"))
 
 
 def archive(snapshots: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -146,3 +146,12 @@ def test_committee_sessions_in_any_shape(spark):
     for r in entries_of(spark, P.committee_votes, *docs):
         got.setdefault(r.law, []).append((r.committee, r.member, r.vote))
     assert got == {0: [("CCJ", "A", "Sim")], 1: [("CCJ", "A", "Sim")] * 2, 2: [("CCJ", None, None)]}
+
+
+def test_raw_documents_below_a_folder(spark, tmp_path):
+    """Files of any depth, without a glob that the driver would walk."""
+    for name in ("one.txt", "a/two.txt", "a/b/three.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = C.raw_documents(spark, f"file://{tmp_path}").collect()
+    assert sorted(bytes(r.raw_body).decode() for r in got) == ["a/b/three.txt", "a/two.txt", "one.txt"]
