@@ -114,7 +114,8 @@ def provenance(nodes: DataFrame, changes: DataFrame, relations: DataFrame, law:
     known = relations.groupBy(law, F.col(node).alias("holder")).agg(F.count("*").alias("__n"))
     counted = with_ancestors(nodes.select(law, node).where(F.col(node).isNotNull()).distinct(), law, node).hint("merge").join(known, [law, "holder"])
     counted = counted.groupBy(law, node).agg(F.sum(F.when(F.col("distance") == 0, F.col("__n")).otherwise(0)).alias("relations"), F.sum(F.when(F.col("distance") > 0, F.col("__n")).otherwise(0)).alias("inherited"))
-    out = nodes.join(chosen, [law, node], "left").join(counted, [law, node], "left")
+    # changes of well-compressed files look small, too
+    out = nodes.join(chosen.hint("merge"), [law, node], "left").join(counted.hint("merge"), [law, node], "left")
     none = F.lit(0).cast("long")
     out = out.withColumn("relations", F.coalesce("relations", none)).withColumn("inherited", F.coalesce("inherited", none))
     status = F.when(F.col("__comparable"), "verified").when(F.col("__comparable").isNotNull() | (F.col("relations") > 0), "partial").otherwise("not_identified")

@@ -38,6 +38,15 @@ def test_provenance_broadcasts_no_exploded_paths(spark, tmp_path):
     assert got.agg(F.sum("relations"), F.sum("inherited")).first()[:] == (50, 17 * 2 + 17)
 
 
+def test_provenance_sends_no_changes_to_the_driver(spark, tmp_path):
+    """The changes are read from small files, too, so that Spark takes them for small."""
+    devices(spark, tmp_path)[1].write.parquet(f"{tmp_path}/lines")
+    nodes, lines = devices(spark, f"{tmp_path}/more")[0], spark.read.parquet(f"{tmp_path}/lines")
+    got = D.provenance(nodes, lines, lines, "law", "node_id", "n", "ok", [F.col("n")])
+    assert "Broadcast" not in plan(got)
+    assert got.where("change_id is not null").count() == 50 and got.count() == 150
+
+
 def repeated(spark):
     """200 laws of two titles, 30 queries of three texts; an id of two texts on either side."""
     laws = [(f"s{i:03}", ("Lei do Meio", "Lei Penal")[i % 2], "Texto", [], "Lei", str(i), 1990, True, None) for i in range(200)] + [("s000", "Outra coisa", "", [], "Lei", "1", 1990, True, None)]
