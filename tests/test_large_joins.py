@@ -69,3 +69,16 @@ def test_pairs_are_not_shuffled_after_they_arise(spark):
     for stage in (E.by_terms, E.by_word, E.by_prefix, E.by_transposition, E.by_transposed_word):
         top = plan(stage(q, laws)).split("Join")[0]
         assert "Aggregate" not in top and "Exchange" not in top, stage
+
+
+def test_a_text_asked_often_is_answered_once(spark, monkeypatch):
+    laws = [(f"s{i:03}", ("Lei do Meio", "Lei Penal")[i % 2], "Texto", [], "Lei", str(i), 1990, True, None) for i in range(60)]
+    asked = [(f"q{i:02}", ("meio", "lei penal")[i % 2]) for i in range(30)]
+    seen, scored = [], E.scored
+    monkeypatch.setattr(E, "scored", lambda pairs, best: seen.append(pairs.count()) or scored(pairs, best))
+    out = E.search(spark.createDataFrame(asked, "query_id string, query string"), spark.createDataFrame(laws, LAWS), limit=5, native=True)
+    got = {(r.query_id, r["rank"], r.slug, r.score) for r in out.collect()}
+    best = {k: [f"s{i:03}" for i in range(k, 60, 2)][:5] for k in (0, 1)}
+    assert {(q, n, s) for q, n, s, _ in got} == {(f"q{i:02}", n + 1, s) for i in range(30) for n, s in enumerate(best[i % 2])}
+    # of two texts, not of 30 queries; then only the laws that bear a name or hold the word themselves
+    assert seen == [30 + 30, 30 + 30]
