@@ -60,3 +60,34 @@ def test_timers_without_further_events(spark, tmp_path):
     assert second == [("held", "running", "claimed", 1, True)]
     # a closed job takes no more events, and one behind the watermark has no effect
     assert third == [("done", "succeeded", "succeeded", 1, False)]
+
+
+def test_stream_keeps_jobs_in_buckets(spark):
+    """One state and timer a job took milliseconds each (150,000 jobs did not end in five minutes): the stream groups by bucket, and any number of buckets gives the same rows."""
+    source = spark.readStream.format("rate").load().selectExpr("value as job", "cast(value as string) as event", "timestamp as at", "'queued' as kind")
+    out = lifecycle.job_lifecycle_stream(source, "job", "event", "kind", "at", "1 minute")
+    assert out.schema["job"].dataType.simpleString() == "bigint"
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "__bucket" in plan
+
+
+def test_stream_as_batch(spark, tmp_path):
+    """Large job ids, a null time, a null job and unknown kinds; few buckets, so that many jobs share one."""
+    big = 2**60
+    kinds = ("claimed", "failed", "queued", "claimed", "failed", "other", "claimed", "succeeded")
+    events = [(big + j, f"{j}-{i}", START + timedelta(minutes=7 * i + j % 5), kinds[(i * (j + 1)) % len(kinds)]) for j in range(40) for i in range(6)]
+    events += [(big, "n", None, "succeeded"), (None, "x", START, "claimed"), (big + 99, "u", START, "other")]
+    df = spark.createDataFrame(events, "job long, event string, at timestamp, kind string")
+    for part, clock in ((0, 0), (1, 5000)):
+        rows = df.where(F.pmod(F.crc32(F.col("event")), F.lit(2)) == part)
+        tick = spark.createDataFrame([(None, "c", START + timedelta(minutes=clock), "clock")], df.schema)
+        rows.unionByName(tick).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with lifecycle.rocksdb(spark):
+        build = lambda s: lifecycle.job_lifecycle_stream(s, "job", "event", "kind", "at", "100 minutes", give_up=2, buckets=3)
+        out = jobs.drained(spark, f"{tmp_path}/in", df.schema, build, "update", f"{tmp_path}/state", f"{tmp_path}/out", files=1)
+    cols = ("status", "stage", "attempts", "lease_until", "retry_at", "claimable")
+    last = out.groupBy("job").agg(F.max_by(F.struct(*cols), "batch").alias("x")).select("job", "x.*")
+    want = jobs.job_lifecycle(df, "job", "event", "kind", "at", F.lit(START + timedelta(minutes=4900)), give_up=2)
+    want = want.select("job", "status", "stage", "attempts", F.unix_micros("lease_until").alias("lease_until"), F.unix_micros("retry_at").alias("retry_at"), "claimable")
+    key = lambda r: (r.job is None, r.job)
+    assert sorted(map(tuple, sorted(last.collect(), key=key)), key=str) == sorted(map(tuple, sorted(want.collect(), key=key)), key=str)
