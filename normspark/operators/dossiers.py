@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normspark.functions.scalars import comparable_number
+from normspark.storage import salted_join
 
 # How ballots are shown.
 VOTE_LABELS = {"SIM": "Sim", "NÃO": "Não", "NAO": "Não", "ABSTENCAO": "Abstenção", "OBSTRUCAO": "Obstrução"}
@@ -40,7 +41,7 @@ def resolved(refs: DataFrame, candidates: DataFrame, key: list[str], candidate:
 def ambiguous(refs: DataFrame, candidates: DataFrame, key: list[str], candidate: str) -> DataFrame:
     """The candidates of each reference that several fit, one row each: the list beside ``resolved``, of any length."""
     several = candidates.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").select(*key)
-    return refs.join(several, key, "left_semi").join(candidates.select(*key, candidate), key)
+    return salted_join(refs.join(several, key, "left_semi"), candidates.select(*key, candidate), key, candidate)
 
 
 def ballots(sessions: DataFrame, process: str, votes: str) -> DataFrame:

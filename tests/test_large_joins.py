@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from normspark.operators import changes as D
+from normspark.operators import dossiers as H
 from normspark.operators import search as E
 from tests.test_term_lookup import LAWS
 
@@ -82,3 +83,13 @@ def test_a_text_asked_often_is_answered_once(spark, monkeypatch):
     assert {(q, n, s) for q, n, s, _ in got} == {(f"q{i:02}", n + 1, s) for i in range(30) for n, s in enumerate(best[i % 2])}
     # of two texts, not of 30 queries; then only the laws that bear a name or hold the word themselves
     assert seen == [30 + 30, 30 + 30]
+
+
+def test_candidates_of_one_key_are_spread(spark):
+    """All references and candidates share a key: one task made all rows before."""
+    refs = spark.range(40).select(F.col("id").alias("r"), F.when(F.col("id") < 30, "a").when(F.col("id") < 35, "b").alias("k"))
+    pool = spark.range(500).select(F.when(F.col("id") < 490, "a").when(F.col("id") < 491, "b").otherwise(F.lit(None)).alias("k"), F.col("id").alias("c"))
+    got = H.ambiguous(refs, pool, ["k"], "c")
+    parts = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("r", "c").alias("d")).collect()
+    assert sum(x.n for x in parts) == sum(x.d for x in parts) == 30 * 490 and len(parts) == 4
+    assert got.where("k <> 'a' or c >= 490").count() == 0 and got.columns == ["k", "r", "c"]
