@@ -93,3 +93,12 @@ def test_candidates_of_one_key_are_spread(spark):
     parts = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("r", "c").alias("d")).collect()
     assert sum(x.n for x in parts) == sum(x.d for x in parts) == 30 * 490 and len(parts) == 4
     assert got.where("k <> 'a' or c >= 490").count() == 0 and got.columns == ["k", "r", "c"]
+
+
+def test_pairs_of_one_class_are_made_by_all_partitions(spark):
+    """The sides are small, so that Spark would join them in one partition, however many pairs come of them."""
+    met = spark.range(600).select(F.concat(F.lit("s"), "id").alias("slug"), (F.col("id") % 1).cast("string").alias("k"))
+    asked = spark.range(50).select(F.concat(F.lit("q"), "id").alias("query_id"), (F.col("id") % 1).cast("string").alias("k"))
+    got = E.spread(met, asked)
+    parts = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("query_id", "slug").alias("d")).collect()
+    assert sum(x.n for x in parts) == sum(x.d for x in parts) == 600 * 50 and len(parts) == 4
