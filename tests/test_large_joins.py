@@ -102,3 +102,14 @@ def test_pairs_of_one_class_are_made_by_all_partitions(spark):
     got = E.spread(met, asked)
     parts = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("query_id", "slug").alias("d")).collect()
     assert sum(x.n for x in parts) == sum(x.d for x in parts) == 600 * 50 and len(parts) == 4
+
+
+def test_texts_of_laws_are_made_once_and_spread(spark, tmp_path):
+    """A catalog of few bytes is one task's, and both the members and the classes (twice) made all its texts anew."""
+    spark.createDataFrame([(f"s{i}", "Lei do Meio", "", [], "Lei", str(i), 1990, True, None) for i in range(40)], LAWS).coalesce(1).write.parquet(f"{tmp_path}/laws")
+    laws = E.prepared(spark.read.parquet(f"{tmp_path}/laws"))
+    assert laws.rdd.getNumPartitions() == 4
+    members, classes = E.classed(laws, "slug", "n_title", "law_type")
+    assert members.count() == 40 and classes.count() == 1
+    for df in (members, classes):
+        assert "translate" not in plan(df) and "regexp_replace" not in plan(df) and "Exchange" not in plan(df)
