@@ -40,3 +40,9 @@ def test_entry_has_rows(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_parsing_queries_is_spread(spark, tmp_path):
+    """A table of short rows is one task's, however long a query takes to parse."""
+    spark.range(50).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert plans.queries()["e2_parse_query"](spark, str(tmp_path)).rdd.getNumPartitions() == 4
