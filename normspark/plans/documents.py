@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from normspark.functions import scalars as S
 from normspark.operators import documents as B
 from normspark.operators.changes import latest
+from normspark.operators.search import parted
 from normspark.plans.registry import Tables, query
 from normspark.sql import register
 
@@ -104,8 +105,11 @@ def b8_components(t: Tables) -> DataFrame:
 
 
 def _by_order(t: Tables, line: Column) -> DataFrame:
-    """``l_orderkey`` and the lines that its items give, in order."""
-    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))).alias("s"))
+    """``l_orderkey`` and the lines that its items give, in order.
+
+    The parser keeps these partitions. Their number is set: like lines pack well, so that Spark would choose few by their bytes.
+    """
+    items = parted(t.lineitem, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))).alias("s"))
     return items.select("l_orderkey", F.transform("s", lambda s: s["x"]).alias("lines"))
 
 
