@@ -11,7 +11,7 @@ from encodings.aliases import aliases
 from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ SUBITEM = r"(?iu)^([a-z])\)\s*(.+)$"
 NOTE = r"(?iu)\s*\((?=(?:Redação dada|Incluído|Revogado|Vigência|Vide|Acrescentado)[^)]{0,260}(?:Lei|Medida Provisória|Emenda Constitucional))[^)]*\)\s*(?:Vigência)?"
 HEADINGS = ("ato das disposições constitucionais transitórias", "disposições constitucionais transitórias")
 STRUCK = ("⟦REDAÇÃO MARCADA COMO REVOGADA NA FONTE:", "⟧")
+#: Pages that a Python worker holds parsed at a time.
+PAGES = 64
 VARIANT_NOTE = "Passagem repetida no mesmo documento oficial; escopo precisa de revisão. "
 
 _META = re.compile(rb"<meta[^>]+charset\s*=\s*['\"]?([a-z0-9._-]+)", re.I)
@@ -140,13 +142,15 @@ def paragraphs_of(html: str) -> tuple[list[str], int, int]:
 def paragraphs(docs: DataFrame, doc: str, body: str) -> DataFrame:
     """``doc``, ``lines`` (array), ``struck``, ``pdfs`` of pages given as text or bytes; null pages have no lines."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [paragraphs_of(decode_body(bytes(b)) if isinstance(b, (bytes, bytearray)) else (b or "")) for b in pdf[body]]
-            yield pd.DataFrame({doc: pdf[doc], "lines": [g[0] for g in got], "struck": [g[1] for g in got], "pdfs": [g[2] for g in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch of Spark's may hold thousands of pages; a few at a time become Python's
+        for part in (b.slice(i, PAGES) for b in batches for i in range(0, b.num_rows, PAGES)):
+            got = [paragraphs_of(decode_body(b) if isinstance(b, bytes) else (b or "")) for b in part.column(1).to_pylist()]
+            columns = [part.column(0), pa.array([g[0] for g in got], pa.list_(pa.string())), *(pa.array([g[i] for g in got], pa.int32()) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, [doc, "lines", "struck", "pdfs"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(doc, body).mapInPandas(run, f"{doc} {kind}, lines array<string>, struck int, pdfs int")
+    return docs.select(doc, body).mapInArrow(run, f"{doc} {kind}, lines array<string>, struck int, pdfs int")
 
 
 def text_lines(text: Column, least: int = 0) -> Column:
@@ -156,11 +160,20 @@ def text_lines(text: Column, least: int = 0) -> Column:
 
 
 def without_notes(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(line, NOTE, ""), r"(?iu)\s+Vigência\s*$", ""))
+    # most lines have no bracket, which is found faster than the pattern fails
+    bare = F.when(F.contains(line, F.lit("(")), F.regexp_replace(line, NOTE, "")).otherwise(line)
+    return F.trim(F.regexp_replace(bare, r"(?iu)\s+Vigência\s*$", ""))
 
 
 def notes(line: Column) -> Column:
-    return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(NOTE), F.lit(0)), lambda x: F.trim(x)), " ")
+    found = F.array_join(F.transform(F.regexp_extract_all(line, F.lit(NOTE), F.lit(0)), lambda x: F.trim(x)), " ")
+    return F.when(F.contains(line, F.lit("(")), found).when(line.isNotNull(), "")
+
+
+def is_heading(line: Column) -> Column:
+    """One of ``HEADINGS``, but for case, white space and dots; only lines with their last word are taken apart."""
+    flat = F.lower(F.regexp_replace(collapse(line), r"^[ .:]+|[ .:]+$", ""))
+    return F.contains(F.lower(line), F.lit(HEADINGS[1].split()[-1])) & flat.isin(*HEADINGS)
 
 
 def kind_of(text: Column) -> Column:
@@ -208,8 +221,8 @@ def legal_nodes(docs: DataFrame, doc: str, lines: str = "lines") -> DataFrame:
     so each node's events are folded in order. Markers without text emit nothing but still carry context.
     """
     rows = docs.select(doc, F.posexplode(lines).alias("pos", "raw"))
-    rows = rows.select(doc, "pos", without_notes(F.col("raw")).alias("text"), notes(F.col("raw")).alias("note"), F.lower(F.regexp_replace(collapse(F.col("raw")), r"^[ .:]+|[ .:]+$", "")).alias("flat"))
-    rows = after_last_heading(rows, doc, "pos", F.col("flat").isin(*HEADINGS))
+    rows = rows.select(doc, "pos", without_notes(F.col("raw")).alias("text"), notes(F.col("raw")).alias("note"), is_heading(F.col("raw")).alias("heading"))
+    rows = after_last_heading(rows, doc, "pos", F.col("heading")).drop("heading")
     rows = rows.withColumn("kind", F.when(F.col("text") == "", "note").otherwise(kind_of(F.col("text"))))
     events = carried(rows, doc)
     real = events.where("kind <> 'note' and (text <> '' or kind = 'article')")
@@ -265,8 +278,7 @@ def audit(lines: DataFrame, nodes: DataFrame, doc: str) -> DataFrame:
     ``lines``: doc, lines, struck, pdfs; ``nodes``: doc, node_id, node_type, text.
     """
     rows = lines.select(doc, "struck", "pdfs", F.posexplode_outer("lines").alias("pos", "raw"))
-    rows = rows.withColumn("flat", F.lower(F.regexp_replace(collapse(F.col("raw")), r"^[ .:]+|[ .:]+$", "")))
-    heads = F.sum(F.col("flat").isin(*HEADINGS).cast("int")).over(Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    heads = F.sum(is_heading(F.col("raw")).cast("int")).over(Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("after", heads)
     marked = rows.where(F.col("raw").rlike(ARTICLE)).select(
         doc, F.concat(F.when(F.col("after") > 0, "adct:art:").otherwise("art:"), canonical_article(F.regexp_extract("raw", ARTICLE, 1))).alias("node_id"), (F.trim(F.regexp_extract("raw", ARTICLE, 2)) == "").alias("empty"))
