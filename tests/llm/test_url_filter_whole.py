@@ -39,3 +39,14 @@ def test_scores_use_every_gram(spark):
 def test_hot_rows_and_no_examples(spark):
     df = spark.createDataFrame([(i, "http://x.com/a") for i in range(5)], "page_id long, url string")
     assert [(r.score, r.verdict) for r in U.digest(df).collect()] == [(0.0, "allow")] * 5
+
+
+def test_no_grams_or_urls_are_sent_to_the_driver(spark, monkeypatch, tmp_path):
+    """They are read from small files, so that Spark takes them for few."""
+    plans, stored = [], U.stored
+    monkeypatch.setattr(U, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    urls = [f"http://x.net/{i}" for i in range(40)] + [f"http://x.org/fr/{i}" for i in range(40)] + ["http://x.com/1", "", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages")
+    out = U.digest(spark.read.parquet(f"{tmp_path}/pages"))
+    assert out.count() == len(urls)
+    assert sum("Join" in x for x in plans) == 1 and not any("Broadcast" in x for x in plans)
