@@ -113,3 +113,33 @@ def test_texts_of_laws_are_made_once_and_spread(spark, tmp_path):
     assert members.count() == 40 and classes.count() == 1
     for df in (members, classes):
         assert "translate" not in plan(df) and "regexp_replace" not in plan(df) and "Exchange" not in plan(df)
+
+
+def test_pairs_arise_list_by_list_and_are_not_held(spark):
+    """Pairs of one list follow each other, so that a file of them stays small, and no step holds all pairs of two lists."""
+    met = spark.range(600).select(F.concat(F.lit("s"), "id").alias("slug"), (F.col("id") % 2).cast("string").alias("k"))
+    asked = spark.range(80).select(F.concat(F.lit("q"), "id").alias("query_id"), (F.col("id") % 2).cast("string").alias("k"))
+    got = E.spread(met, asked)
+    rows = [(r.query_id, r.slug) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == 2 * 300 * 40
+    assert 1 + sum(a[1] != b[1] for a, b in zip(rows, rows[1:], strict=False)) == 600
+    steps = [x for x in plan(got).split("Initial Plan")[0].splitlines() if "Generate explode(transform" in x]
+    assert len(steps) == 1 and "*(" not in steps[0]
+
+
+def test_lists_are_bounded_and_lose_nothing(spark, monkeypatch):
+    """Classes larger than a list on either side, one id that is null, a class that the other side lacks."""
+    from normspark import storage
+
+    monkeypatch.setattr(storage, "LIST", 16)
+    queries = spark.range(101).select(F.when(F.col("id") > 0, F.col("id")).alias("query_id"), F.when(F.col("id") < 90, "a").otherwise("b").alias("k"))
+    laws = spark.range(1000).select(F.col("id").alias("slug"), F.when(F.col("id") < 900, "x").when(F.col("id") < 990, "y").otherwise("z").alias("k"))
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("c", "x")], "k string, law_k string")
+    for side, id in ((queries, "query_id"), (laws, "slug")):
+        lists = storage.listed(side, "k", id, storage.parts_of(side, "k"))
+        most = lists.groupBy("k").agg(F.max(F.size("ids")).alias("most"), F.sum(F.size("ids")).alias("all"))
+        assert most.agg(F.max("most")).first()[0] <= 40 and most.agg(F.sum("all")).first()[0] == side.count()
+    got = [tuple(r) for r in E.expanded(pairs, queries, laws).select("query_id", "slug").collect()]
+    ids = lambda a, b: [i or None for i in range(a, b)]
+    want = {(q, s) for q in ids(0, 90) for s in range(990)} | {(q, s) for q in ids(90, 101) for s in range(900, 990)}
+    assert len(got) == len(want) and set(got) == want
