@@ -341,8 +341,10 @@ def a12_committee_shapes(t: Tables) -> DataFrame:
 @query("SELECT s_suppkey, length(s_name) + 1 AS size_bytes, sha256(s_name || chr(10)) AS checksum FROM supplier")
 def a14_raw_documents(t: Tables) -> DataFrame:
     path = shared_dir(t.spark, "raw")
-    # the folder is new and read after the write only, so tasks may move their many files there themselves
-    landing = t.supplier.select("s_suppkey", "s_name").repartition("s_suppkey").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    # the folder is new and read after the write only, so tasks may move their many files there themselves; the number of
+    # tasks is set, as short rows would else become one task's, which made and moved all files
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    landing = t.supplier.select("s_suppkey", "s_name").repartition(parts, "s_suppkey").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     landing.partitionBy("s_suppkey").text(path)
     got = A.raw_documents(t.spark, path)
     return got.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), "size_bytes", F.sha2("raw_body", 256).alias("checksum"))

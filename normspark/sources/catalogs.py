@@ -96,8 +96,18 @@ def jurisdictions(spark: SparkSession, states: str, places: str) -> DataFrame:
 
 
 def raw_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Bytes, path, size and time of landed documents: all files below a folder, which executors list (a glob is walked by the driver, folder by folder)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").alias("raw_body"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("retrieved_at"))
+    """Bytes, path, size and time of landed documents: all files below a folder, which executors list (a glob is walked by the driver, folder by folder).
+
+    The folders are listed when this is called, by a few tasks for each of a shuffle's; Spark would start up to 10,000, most for one folder each.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    finally:
+        spark.conf.set(name, before)
+    return files.select("path", F.col("content").alias("raw_body"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("retrieved_at"))
 
 
 def archive(snapshots: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -155,3 +155,35 @@ def test_raw_documents_below_a_folder(spark, tmp_path):
         (tmp_path / name).write_text(name)
     got = C.raw_documents(spark, f"file://{tmp_path}").collect()
     assert sorted(bytes(r.raw_body).decode() for r in got) == ["a/b/three.txt", "a/two.txt", "one.txt"]
+
+
+def test_raw_documents_are_listed_and_written_by_a_set_number_of_tasks(spark, tmp_path):
+    """A task a folder is mostly waiting; and short rows became one task's, which made and moved every file."""
+    import re
+
+    from normspark import plans
+
+    for i in range(60):
+        (tmp_path / f"in/{i}").mkdir(parents=True)
+        (tmp_path / f"in/{i}/x.txt").write_text("x")
+    sc, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+
+    def tasks(group, run):
+        """Tasks of each stage of the jobs that ``run`` starts."""
+        sc.setJobGroup(group, group)
+        try:
+            out = run()
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        status = sc.statusTracker()
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds]
+        return out, [s.numTasks for s in stages if s]
+
+    got, listing = tasks("listing", lambda: C.raw_documents(spark, f"file://{tmp_path}/in"))
+    assert got.count() == 60 and listing == [16] and spark.conf.get(name) == before
+    spark.range(200).select("id").selectExpr("id AS s_suppkey", "concat('s', id) AS s_name").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got, landing = tasks("landing", lambda: plans.queries()["a14_raw_documents"](spark, str(tmp_path)))
+    assert got.count() == 200 and 4 in landing
+    made = {re.search(r"part-(\d+)-", f).group(1) for f in got.inputFiles()}
+    assert len(made) == 4
